@@ -1,8 +1,8 @@
 """MD5 as a number, in built-in expressions only.
 
-``md5_index`` equals ``int(md5(text).hexdigest(), 16) % n``. The digest is read as two
-64-bit halves. ``conv`` to base -10 gives a half as a signed number that fits BIGINT; where
-it came out negative, ``2**64 % n`` is added back.
+``md5_index`` equals ``int(md5(text).hexdigest(), 16) % n``. The 32 digits are read by ``conv``
+as three words that fit BIGINT; each is weighted by its place value modulo ``n``, and one
+remainder of the sum gives the index.
 """
 
 from __future__ import annotations
@@ -10,7 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_MODULUS = 2**31
+MAX_MODULUS = 2**30
+# Up to here a weighted word and the sum of all three stay below 2**63.
+MAX_PLAIN_MODULUS = 2**17
+# First digit and length of each word.
+WORDS = ((1, 10), (11, 11), (22, 11))
 
 
 def md5_hex(value: Column) -> Column:
@@ -22,13 +26,15 @@ def digest_mod(digest: Column, n: int) -> Column:
     """A 32-digit hex digest, read as a whole number, modulo ``n`` (BIGINT)."""
     if not 0 < n <= MAX_MODULUS:
         raise ValueError(f"modulus out of range: {n}")
-    wrap = 2**64 % n
-
-    def half(start: int) -> Column:
-        signed = F.conv(F.substring(digest, start, 16), 16, -10).cast("bigint")
-        return F.pmod(signed, F.lit(n)) + F.when(signed < 0, F.lit(wrap)).otherwise(F.lit(0))
-
-    return (half(1) * F.lit(wrap) + half(17)) % F.lit(n)
+    total = None
+    for first, length in WORDS:
+        word = F.conv(F.substring(digest, first, length), 16, 10).cast("bigint")
+        if n > MAX_PLAIN_MODULUS:
+            word = word % F.lit(n)
+        place = 16 ** (33 - first - length) % n
+        term = word if place == 1 else word * F.lit(place)
+        total = term if total is None else total + term
+    return total % F.lit(n)
 
 
 def md5_index(value: Column, n: int) -> Column:
@@ -36,38 +42,36 @@ def md5_index(value: Column, n: int) -> Column:
     return digest_mod(md5_hex(value), n).cast("int")
 
 
-def hash_below(rate: float, *parts: Column | str) -> Column:
-    """True for about ``rate`` of all rows, decided by a hash of ``parts`` alone.
+def hash_of(*parts: Column | str) -> Column:
+    """Hex MD5 of parts joined by ``|``."""
+    columns = [F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]
+    return md5_hex(F.concat_ws("|", *columns))
 
-    Compares the first eight hex digits with a literal, so it needs neither ``conv`` nor a
-    second pass, and the answer for a row does not depend on any other row.
-    """
-    if not 0.0 <= rate <= 1.0:
-        raise ValueError(f"rate out of range: {rate}")
-    if rate == 1.0:
-        return F.lit(True)
-    return F.substring(hash_of(*parts), 1, 8) < F.lit(rate_digits(rate))
 
+# Draws: a digest holds four 32-bit words, so it answers four independent questions.
 
-def rate_digits(rate: float) -> str:
-    """Eight hex digits that about ``rate`` of all digests sort below."""
-    return f"{round(rate * 2**32):08x}"
 
+def word(digest: Column, slot: int) -> Column:
+    return F.substring(digest, 1 + 8 * slot, 8)
 
-def hash_of(*parts: Column | str) -> Column:
-    """Hex MD5 of parts joined by ``|``."""
-    columns = [F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]
-    return md5_hex(F.concat_ws("|", *columns))
+
+def draw(digest: Column, slot: int, n: int) -> Column:
+    """A whole number below ``n``, for ``n`` far below 2**32 (INT)."""
+    return (F.conv(word(digest, slot), 16, 10).cast("bigint") % F.lit(n)).cast("int")
 
 
-def pick_from(pool: list[str], *parts: Column | str) -> Column:
-    """One entry of a pool, chosen by a hash of ``parts``."""
-    return F.get(text_array(pool), digest_mod(hash_of(*parts), len(pool)).cast("int"))
+def draw_from(digest: Column, slot: int, pool) -> Column:
+    """One entry of a pool."""
+    return F.get(text_array(pool), draw(digest, slot, len(pool)))
 
 
-def number_between(low: int, high: int, *parts: Column | str) -> Column:
-    """A whole number in ``[low, high)``, chosen by a hash of ``parts`` (BIGINT)."""
-    return F.lit(low) + digest_mod(hash_of(*parts), high - low)
+def drawn_below(digest: Column, slot: int, rate: float) -> Column:
+    """True for about ``rate`` of all digests; compares digits, so it needs no ``conv``."""
+    if not 0.0 <= rate <= 1.0:
+        raise ValueError(f"rate out of range: {rate}")
+    if rate == 1.0:
+        return F.lit(True)
+    return word(digest, slot) < F.lit(f"{round(rate * 2**32):08x}")
 
 
 def text_array(pool) -> Column:

@@ -1,6 +1,6 @@
 """Test tables: people by weighted country, and a small business table.
 
-Every value is a hash of the row's key, so a lost task rebuilds the same rows and a table of
+Every value is drawn from a hash of the row's key, so a lost task rebuilds the same rows and a table of
 any size needs no state. ``people`` and ``business`` add the columns to any table of keys;
 ``gen_base`` and ``gen_sample`` start from ``spark.range``.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskloom.functions.hashing import digest_mod, hash_of, number_between, pick_from, text_array
+from maskloom.functions.hashing import draw, draw_from, hash_of, text_array
 from maskloom.session import column
 
 # Country code and weight in thousandths; the weights sum to 1,010.
@@ -66,33 +66,31 @@ def pool_of_country() -> dict[str, int]:
 
 
 def people(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
-    """Add name, e-mail and country, each a hash of the key."""
-    salt, row = str(seed), column(key)
+    """Add name, e-mail and country, all drawn from one digest of the key."""
+    digest = hash_of(str(seed), "people", column(key))
     slots, homes = country_slots(), pool_of_country()
-    # The country's slot also fixes the start of its names, so both come from one array index.
-    starts = F.array(*[F.lit(homes[country] * NAMES_PER_POOL) for country in slots])
-    picked = df.withColumn("__slot", digest_mod(hash_of(salt, "country", row), len(slots)).cast("int")).withColumn(
-        "__name", digest_mod(hash_of(salt, "name", row), NAMES_PER_POOL * (len(INITIALS) + 1)).cast("int")
-    )
-    start = F.get(starts, F.col("__slot"))
-    plain = F.get(text_array(full_names()), start + F.col("__name") % NAMES_PER_POOL)
-    initial = F.get(text_array(INITIALS), F.floor(F.col("__name") / NAMES_PER_POOL).cast("int"))
+    slot = draw(digest, 0, len(slots))
+    # The country's slot also fixes where its names start in the list of all names.
+    start = F.get(F.array(*[F.lit(homes[country] * NAMES_PER_POOL) for country in slots]), slot)
+    place = draw(digest, 1, NAMES_PER_POOL * (len(INITIALS) + 1))
+    plain = F.get(text_array(full_names()), start + place % NAMES_PER_POOL)
+    initial = F.get(text_array(INITIALS), F.floor(place / NAMES_PER_POOL).cast("int"))
     dotted = F.when(start < LATIN_POOLS * NAMES_PER_POOL, F.concat(F.lit(" "), initial, F.lit(".")))
-    name = F.concat(plain, F.coalesce(dotted, F.lit("")))
-    return picked.withColumns(
-        {"name": name, "email": _email(salt, row), "country": F.get(text_array(slots), F.col("__slot"))}
-    ).drop("__slot", "__name")
-
-
-def _email(salt: str, row: Column) -> Column:
-    return F.concat(
-        pick_from(MAIL_USERS, salt, "mail_user", row),
-        number_between(1, 100000, salt, "mail_number", row).cast("string"),
-        F.lit("@"),
-        pick_from(MAIL_HOSTS, salt, "mail_host", row),
+    return df.withColumns(
+        {
+            "name": F.concat(plain, F.coalesce(dotted, F.lit(""))),
+            "email": _email(digest, 2, 3),
+            "country": F.get(text_array(slots), slot),
+        }
     )
 
 
+def _email(digest: Column, box_slot: int, number_slot: int) -> Column:
+    boxes = [f"{user}%@{host}" for user in MAIL_USERS for host in MAIL_HOSTS]
+    number = (F.lit(1) + draw(digest, number_slot, 99999)).cast("string")
+    return F.replace(draw_from(digest, box_slot, boxes), F.lit("%"), number)
+
+
 def gen_base(spark: SparkSession, rows: int = 10_000_000, seed: int = 42, partitions: int | None = None) -> DataFrame:
     """``row_key, name, email, country`` for any number of rows; without shuffle."""
     keys = spark.range(0, rows, 1, partitions) if partitions else spark.range(rows)
@@ -100,26 +98,22 @@ def gen_base(spark: SparkSession, rows: int = 10_000_000, seed: int = 42, partit
 
 
 def business(df: DataFrame, key: str, seed: int = 42, today: str = "2026-01-01") -> DataFrame:
-    """Add the seven text columns of the sample table, each a hash of the key."""
-    salt, row = str(seed), column(key)
-    people_names = [n for n in full_names() if n.isascii()]
-    age = number_between(0, 731, salt, "created_at", row).cast("int")
-    cents = number_between(1000, 500001, salt, "revenue", row)
+    """Add the seven text columns of the sample table, drawn from two digests of the key."""
+    first, second = (hash_of(str(seed), label, column(key)) for label in ("business", "account"))
+    people_names = [name for name in full_names() if name.isascii()]
+    companies = [f"{head} {tail}" for head in COMPANY_HEADS for tail in COMPANY_TAILS]
+    cents = F.lit(1000) + draw(second, 1, 499001)
     # Hundredths are exact in a decimal, whose text always shows both digits.
     revenue = (cents.cast("decimal(12,0)") / F.lit(100).cast("decimal(3,0)")).cast("decimal(12,2)").cast("string")
     return df.withColumns(
         {
-            "name": pick_from(people_names, salt, "name", row),
-            "email": _email(salt, row),
-            "country": pick_from(SAMPLE_COUNTRIES, salt, "country", row),
-            "created_at": F.date_format(F.date_sub(F.lit(today).cast("date"), age), "MM/dd/yyyy"),
+            "name": draw_from(first, 0, people_names),
+            "email": _email(first, 1, 2),
+            "country": draw_from(first, 3, SAMPLE_COUNTRIES),
+            "created_at": F.date_format(F.date_sub(F.lit(today).cast("date"), draw(second, 0, 731)), "MM/dd/yyyy"),
             "revenue": revenue,
-            "merchant": F.concat_ws(
-                " ", pick_from(COMPANY_HEADS, salt, "merchant", row), pick_from(COMPANY_TAILS, salt, "form", row)
-            ),
-            "account_id": F.concat(
-                F.lit("ACC-"), number_between(10000, 100000, salt, "account", row).cast("string")
-            ),
+            "merchant": draw_from(second, 2, companies),
+            "account_id": F.concat(F.lit("ACC-"), (F.lit(10000) + draw(second, 3, 90000)).cast("string")),
         }
     )
 

@@ -1,7 +1,8 @@
 """Dirtying a table of people in seventeen steps.
 
-A step changes a share of the rows, picked by a hash of the row key and the step's name, so
-every run and every retry of a task picks the same rows. Steps that append copies do so by
+A step changes a share of the rows. ``by_rate`` decides each row by a hash of its key, so every
+run and every retry of a task picks the same rows, without a shuffle; the count is the rate up to
+sampling error. ``by_count`` (in ``selection``) picks the exact number in more passes. Steps that append copies do so by
 ``explode`` on the row itself: one scan, where a union with a filtered self would read
 the table once more per step. Copies get a key of their own, so later steps pick them apart
 from their originals.
@@ -15,8 +16,7 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.functions.hashing import hash_below, hash_of, number_between, pick_from
-from maskloom.operators.selection import by_rate
+from maskloom.functions.hashing import draw, draw_from, drawn_below, hash_of
 from maskloom.session import column
 
 # What the steps write, and how often.
@@ -45,7 +45,22 @@ RATES = {
 
 # End of fixed values.
 
+# One digest of the key answers four steps. Appended copies have a new key, so the steps after
+# an append draw from digests of their own.
+DIGEST_STEPS = {
+    "nulls": ("null_country", "null_email", "null_name", "exact_duplicates"),
+    "names": ("name_collisions",),
+    "emails": ("email_collisions",),
+    "late_1": ("diacritics", "mixed_scripts", "emoji", "unusual_tlds"),
+    "late_2": ("subdomains", "plus_addressing", "numeric_emails", "whitespace_name"),
+    "late_3": ("whitespace_email", "double_spaces", "mixed_case", "single_word"),
+    "late_4": ("long_names", "numeric_names"),
+}
+DIGEST_SLOT = {step: (group, slot) for group, steps in DIGEST_STEPS.items() for slot, step in enumerate(steps)}
+LATE_DIGESTS = tuple(group for group in DIGEST_STEPS if group.startswith("late"))
+
 COPY = "__copy"
+DIGEST = "__digest_"
 VALUE = ":value"
 Pick = Callable[[DataFrame, str, float, Column], Column]
 
@@ -63,6 +78,13 @@ class People:
 PEOPLE = People()
 
 
+def by_rate(df: DataFrame, step: str, rate: float, key: Column) -> Column:
+    """Decide each row by one word of a digest of its key."""
+    group, slot = DIGEST_SLOT[step]
+    digest = F.col(DIGEST + group) if DIGEST + group in df.columns else hash_of(group, key)
+    return drawn_below(digest, slot, rate)
+
+
 def _pick(df: DataFrame, step: str, cols: People, pick: Pick) -> Column:
     return pick(df, step, RATES[step], column(cols.key))
 
@@ -72,12 +94,17 @@ def _change(df: DataFrame, step: str, cols: People, pick: Pick, target: str, new
     return df.withColumn(target, F.when(picked, new).otherwise(column(target)))
 
 
+def _value_digest(step: str, cols: People) -> Column:
+    return hash_of(step + VALUE, column(cols.key))
+
+
 def _word(step: str, cols: People, words: list[str]) -> Column:
-    return pick_from(words, step + VALUE, column(cols.key))
+    return draw_from(_value_digest(step, cols), 0, words)
 
 
 def _number(step: str, cols: People, low: int, high: int) -> Column:
-    return number_between(low, high, step + VALUE, column(cols.key)).cast("string")
+    """A whole number in ``[low, high)`` as text."""
+    return (F.lit(low) + draw(_value_digest(step, cols), 0, high - low)).cast("string")
 
 
 def _append(df: DataFrame, step: str, cols: People, pick: Pick, changes: dict[str, Column]) -> DataFrame:
@@ -167,7 +194,7 @@ def mess_double_spaces(df: DataFrame, cols: People = PEOPLE, pick: Pick = by_rat
 
 def mess_mixed_case(df: DataFrame, cols: People = PEOPLE, pick: Pick = by_rate) -> DataFrame:
     step, name = "mixed_case", column(cols.name)
-    coin = hash_below(0.5, step + VALUE, column(cols.key))
+    coin = drawn_below(_value_digest(step, cols), 0, 0.5)
     return _change(df, step, cols, pick, cols.name, F.when(coin, F.upper(name)).otherwise(F.lower(name)))
 
 
@@ -186,12 +213,13 @@ def mess_numeric_names(df: DataFrame, cols: People = PEOPLE, pick: Pick = by_rat
     return _change(df, step, cols, pick, cols.name, _word(step, cols, NUMERIC_NAMES))
 
 
-STEPS = (
-    mess_nulls, mess_exact_duplicates, mess_name_collisions, mess_email_collisions, mess_diacritics,
-    mess_mixed_scripts, mess_emoji, mess_unusual_tlds, mess_subdomains, mess_plus_addressing,
-    mess_numeric_emails, mess_whitespace, mess_double_spaces, mess_mixed_case, mess_single_word,
-    mess_long_names, mess_numeric_names,
+EARLY_STEPS = (mess_nulls, mess_exact_duplicates, mess_name_collisions, mess_email_collisions)
+LATE_STEPS = (
+    mess_diacritics, mess_mixed_scripts, mess_emoji, mess_unusual_tlds, mess_subdomains, mess_plus_addressing,
+    mess_numeric_emails, mess_whitespace, mess_double_spaces, mess_mixed_case, mess_single_word, mess_long_names,
+    mess_numeric_names,
 )
+STEPS = EARLY_STEPS + LATE_STEPS
 
 
 def mess_all(
@@ -205,11 +233,14 @@ def mess_all(
     ``by_count`` reads its input a few times per step; give ``between`` a function that writes
     the table and reads it back, so that a step does not repeat the ones before it.
     """
-    for step in STEPS:
-        df = step(df, cols, pick)
-        if between is not None:
-            df = between(df)
-    return df
+    between = between or (lambda stage: stage)
+    for step in EARLY_STEPS:
+        df = between(step(df, cols, pick))
+    if pick is by_rate:
+        df = df.withColumns({DIGEST + group: hash_of(group, column(cols.key)) for group in LATE_DIGESTS})
+    for step in LATE_STEPS:
+        df = between(step(df, cols, pick))
+    return df.drop(*[DIGEST + group for group in LATE_DIGESTS])
 
 
 def null_profile(df: DataFrame, columns: list[str]) -> DataFrame:

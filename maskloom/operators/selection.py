@@ -1,9 +1,8 @@
-"""Picking a share of the rows by a hash of their key.
+"""Picking an exact number of rows by a hash of their key.
 
-``by_rate`` decides each row on its own: no shuffle and no second pass, and the count is the
-rate up to sampling error. ``by_count`` picks exactly ``int(rows * rate)`` rows: a few counting
-passes find the digest that many rows sort below. Each pass brings at most 4,096 counters to
-the driver; no row is moved, sorted or joined.
+``by_count`` picks ``int(rows * rate)`` rows: a few counting passes find the digest that many
+rows sort below. Each pass brings at most 4,096 counters to the driver; no row is moved, sorted
+or joined.
 """
 
 from __future__ import annotations
@@ -11,15 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.functions.hashing import hash_below, hash_of
+from maskloom.functions.hashing import hash_of
 
 DIGITS_PER_PASS = 3
 
 
-def by_rate(df: DataFrame, step: str, rate: float, key: Column) -> Column:
-    return hash_below(rate, step, key)
-
-
 def by_count(df: DataFrame, step: str, rate: float, key: Column) -> Column:
     digest = hash_of(step, key)
     prefix, before, wanted = "", 0, None

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from maskloom.operators import audit, detect, generate, messiness
 from maskloom.operators.masking import mask_table
 from maskloom.operators.policy import policy_entries, policy_table_read, policy_table_write, read_policy_file
-from maskloom.session import column, scratch_path
+from maskloom.session import column, scratch_path, tune
 from maskloom.sources.tables import anon_path, csv_scan, csv_sink, parquet_scan, parquet_sink
 
 FILE_NAME = "__file_name"
@@ -25,7 +25,7 @@ def mask_csv(spark: SparkSession, path: str | list[str], policy, output: str, *,
     """
     if isinstance(policy, (str, Path)):
         policy = read_policy_file(policy)
-    df = csv_scan(spark, path, multi_line=multi_line, file_name=FILE_NAME)
+    df = csv_scan(tune(spark), path, multi_line=multi_line, file_name=FILE_NAME)
     masked = mask_table(df, policy, column(FILE_NAME), **kwargs)
     named = masked.withColumn(OUTPUT_NAME, anon_path(column(FILE_NAME))).drop(FILE_NAME)
     csv_sink(named, output, by_file=OUTPUT_NAME)
@@ -39,13 +39,13 @@ def propose_policy(spark: SparkSession, df: DataFrame, path: str, threshold: flo
 
 def mask_with_stored_policy(spark: SparkSession, df: DataFrame, policy_path: str, salt, output: str) -> dict:
     """Mask a table by a stored policy, write parquet, and report what was done."""
-    entries = policy_entries(policy_table_read(spark, policy_path))
+    entries = policy_entries(policy_table_read(tune(spark), policy_path))
     return audit.write_with_report(mask_table(df, entries, salt), entries, output)
 
 
 def volume_table(spark: SparkSession, rows: int, output: str, partitions: int | None = None) -> DataFrame:
     """Generate people, dirty the table in all steps, write it as parquet, and read it back."""
-    base = generate.gen_base(spark, rows, partitions=partitions)
+    base = generate.gen_base(tune(spark), rows, partitions=partitions)
     parquet_sink(messiness.mess_all(base), output, mode="overwrite")
     return parquet_scan(spark, output)
 
@@ -59,7 +59,7 @@ def volume_table_exact(spark: SparkSession, rows: int, output: str) -> DataFrame
         parquet_sink(df, path)
         return parquet_scan(spark, path)
 
-    base = store(generate.gen_base(spark, rows))
+    base = store(generate.gen_base(tune(spark), rows))
     parquet_sink(messiness.mess_all(base, pick=by_count, between=store), output, mode="overwrite")
     return parquet_scan(spark, output)
 

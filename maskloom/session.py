@@ -9,6 +9,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+HUGE_METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
 
 _local_scratch: dict[str, str] = {}
 
@@ -28,6 +29,18 @@ def local_session(cores: int | str = 8, **conf) -> SparkSession:
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    return tune(spark)
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Keep generated code within what the JVM compiles.
+
+    A policy over several columns becomes one generated method. Beyond 8,000 bytes of bytecode
+    HotSpot only interprets it, at half the speed or less; with this limit Spark generates
+    many small methods instead. A limit that was already lowered is left alone.
+    """
+    if int(spark.conf.get(HUGE_METHOD_LIMIT, "65535")) > 8000:
+        spark.conf.set(HUGE_METHOD_LIMIT, "8000")
     return spark
 
 

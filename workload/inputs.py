@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from maskloom.functions.hashing import text_array
 from maskloom.functions.pools import DEFAULT_CATEGORY, MERCHANTS
+from maskloom.session import tune
 from maskloom.sources.tables import NA_TOKENS
 
 CATEGORY_KEYS = [key for key in MERCHANTS if key != DEFAULT_CATEGORY]
@@ -19,7 +20,7 @@ POOL_COUNTRIES = ["France", "Kenya", "Peru"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -170,62 +170,61 @@ def per_column(columns, select: str) -> str:
 # Hash picks of the generated and dirtied tables
 
 
-def hashed(*parts: str) -> str:
-    return f"concat_ws('|', {', '.join(parts)})"
+def digest(*parts: str) -> str:
+    return f"md5(concat_ws('|', {', '.join(parts)}))"
 
 
-def number(low: int, high: int, *parts: str) -> str:
-    return f"({low} + {mod_md5(hashed(*parts), high - low)})"
+def draw(h: str, slot: int, n: int) -> str:
+    return f"(CAST('0x' || substr({h}, {1 + 8 * slot}, 8) AS BIGINT) % {n})"
 
 
-def chosen(pool, *parts: str) -> str:
-    return pick(hashed(*parts), pool)
+def draw_from(h: str, slot: int, pool) -> str:
+    return f"{words(pool)}[{draw(h, slot, len(pool))} + 1]"
 
 
-def below(rate: float, *parts: str) -> str:
-    return f"(CAST('0x' || substr(md5({hashed(*parts)}), 1, 8) AS BIGINT) < {round(rate * 2**32)})"
+def below(h: str, slot: int, rate: float) -> str:
+    return f"(CAST('0x' || substr({h}, {1 + 8 * slot}, 8) AS BIGINT) < {round(rate * 2**32)})"
 
 
-def _mail(key: str) -> str:
+def _mail(h: str, box_slot: int, number_slot: int) -> str:
+    users, hosts = generate.MAIL_USERS, generate.MAIL_HOSTS
+    box = draw(h, box_slot, len(users) * len(hosts))
     return (
-        f"{chosen(generate.MAIL_USERS, text('42'), text('mail_user'), key)} || "
-        f"{number(1, 100000, text('42'), text('mail_number'), key)} || '@' || "
-        f"{chosen(generate.MAIL_HOSTS, text('42'), text('mail_host'), key)}"
+        f"{words(users)}[{box} // {len(hosts)} + 1] || (1 + {draw(h, number_slot, 99999)}) || '@' || "
+        f"{words(hosts)}[{box} % {len(hosts)} + 1]"
     )
 
 
-def people(key: str = "row_key") -> str:
+def people() -> str:
     slots, homes = generate.country_slots(), generate.pool_of_country()
     starts = "[" + ", ".join(str(homes[c] * generate.NAMES_PER_POOL) for c in slots) + "]"
-    letters = len(generate.INITIALS)
-    per = generate.NAMES_PER_POOL
+    letters, per = len(generate.INITIALS), generate.NAMES_PER_POOL
     return f"""
     SELECT row_key,
            {words(generate.full_names())}[first + pos % {per} + 1]
              || CASE WHEN first < {generate.LATIN_POOLS * per} AND pos // {per} < {letters}
                      THEN ' ' || substr('{generate.INITIALS}', CAST(pos // {per} + 1 AS BIGINT), 1) || '.' ELSE '' END AS name,
-           {_mail(key)} AS email,
+           {_mail('h', 2, 3)} AS email,
            {words(slots)}[slot + 1] AS country
     FROM (SELECT *, {starts}[slot + 1] AS first
-          FROM (SELECT *, {mod_md5(hashed(text('42'), text('country'), key), len(slots))} AS slot,
-                       {mod_md5(hashed(text('42'), text('name'), key), per * (letters + 1))} AS pos
-                FROM keys))"""
+          FROM (SELECT *, {draw('h', 0, len(slots))} AS slot, {draw('h', 1, per * (letters + 1))} AS pos
+                FROM (SELECT *, {digest(text('42'), text('people'), 'row_key')} AS h FROM keys)))"""
 
 
-def business(source: str, key: str = "row_key") -> str:
-    seed = text("42")
+def business(source: str) -> str:
     ascii_names = [n for n in generate.full_names() if n.isascii()]
-    cents_sql = number(1000, 500001, seed, text("revenue"), key)
-    age = mod_md5(hashed(seed, text("created_at"), key), 731)
+    heads, tails = generate.COMPANY_HEADS, generate.COMPANY_TAILS
+    firm = draw("h2", 2, len(heads) * len(tails))
+    money = f"(1000 + {draw('h2', 1, 499001)})"
     return f"""
-    SELECT *, {chosen(ascii_names, seed, text('name'), key)} AS name, {_mail(key)} AS email,
-           {chosen(generate.SAMPLE_COUNTRIES, seed, text('country'), key)} AS country,
-           strftime(DATE '2026-01-01' - to_days(CAST({age} AS INTEGER)), '%m/%d/%Y') AS created_at,
-           ({cents_sql} // 100) || '.' || lpad(CAST({cents_sql} % 100 AS VARCHAR), 2, '0') AS revenue,
-           {chosen(generate.COMPANY_HEADS, seed, text('merchant'), key)} || ' ' ||
-             {chosen(generate.COMPANY_TAILS, seed, text('form'), key)} AS merchant,
-           'ACC-' || {number(10000, 100000, seed, text('account'), key)} AS account_id
-    FROM {source}"""
+    SELECT * EXCLUDE (h1, h2), {draw_from('h1', 0, ascii_names)} AS name, {_mail('h1', 1, 2)} AS email,
+           {draw_from('h1', 3, generate.SAMPLE_COUNTRIES)} AS country,
+           strftime(DATE '2026-01-01' - to_days(CAST({draw('h2', 0, 731)} AS INTEGER)), '%m/%d/%Y') AS created_at,
+           ({money} // 100) || '.' || lpad(CAST({money} % 100 AS VARCHAR), 2, '0') AS revenue,
+           {words(heads)}[{firm} // {len(tails)} + 1] || ' ' || {words(tails)}[{firm} % {len(tails)} + 1] AS merchant,
+           'ACC-' || (10000 + {draw('h2', 3, 90000)}) AS account_id
+    FROM (SELECT *, {digest(text('42'), text('business'), 'row_key')} AS h1,
+                 {digest(text('42'), text('account'), 'row_key')} AS h2 FROM {source})"""
 
 
 KEYS = "SELECT CAST(o_orderkey AS VARCHAR) AS row_key FROM orders"
@@ -314,15 +313,16 @@ V = messiness.VALUE
 
 
 def _picked(step: str) -> str:
-    return below(messiness.RATES[step], text(step), "row_key")
+    group, slot = messiness.DIGEST_SLOT[step]
+    return below(digest(text(group), "row_key"), slot, messiness.RATES[step])
 
 
 def _num(step: str, low: int, high: int) -> str:
-    return number(low, high, text(step + V), "row_key")
+    return f"({low} + {draw(digest(text(step + V), 'row_key'), 0, high - low)})"
 
 
 def _word(step: str, pool) -> str:
-    return chosen(pool, text(step + V), "row_key")
+    return draw_from(digest(text(step + V), "row_key"), 0, pool)
 
 
 def _set(step: str, target: str, new: str):
@@ -330,7 +330,7 @@ def _set(step: str, target: str, new: str):
 
 
 def _copies(step: str, **changes: str):
-    key = f"md5({hashed(text('dup'), text(step), 'row_key')})"
+    key = digest(text("dup"), text(step), "row_key")
     new = ", ".join(
         [f"CASE WHEN {c} IS NOT NULL THEN {value} END AS {c}" for c, value in changes.items()] + [f"{key} AS row_key"]
     )
@@ -350,7 +350,7 @@ def _whitespace(t: str) -> str:
 
 
 def _cased(t: str) -> str:
-    coin = below(0.5, text("mixed_case" + V), "row_key")
+    coin = below(digest(text("mixed_case" + V), "row_key"), 0, 0.5)
     return _set("mixed_case", "name", f"CASE WHEN {coin} THEN upper(name) ELSE lower(name) END")(t)
 
 
