@@ -6,6 +6,8 @@ sees the text that stood in the file.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,11 +40,13 @@ def csv_scan(
     header = spark.read.options(header=False, **options).csv(path).first()
     if header is None:
         raise ValueError(f"no header in {path}")
-    names = distinct_names(list(header))
+    # Without a header Spark names file columns _c0, _c1, ...; the rest stand in folder names.
+    titles = [header[c] for c in header.__fields__ if re.fullmatch(r"_c\d+", c)]
+    names = distinct_names(titles)
     schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
     # Unique names let Spark check every file's header against the schema: files whose columns
     # stand in another order would otherwise be masked under the wrong rule.
-    enforce = names != list(header)
+    enforce = names != titles
     df = spark.read.options(header=True, enforceSchema=enforce, **options).schema(schema).csv(path)
     if file_name is not None:
         df = df.select("*", file_name_column().alias(file_name))
