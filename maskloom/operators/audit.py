@@ -129,11 +129,13 @@ def audit_null_mask(pairs: DataFrame, columns: list[str]) -> DataFrame:
 
 def audit_leak(original: DataFrame, masked: DataFrame, name: str, pool: list[str] | None = None) -> DataFrame:
     """Original values that also appear as masked values, flagged if they are pool words."""
-    leaked = (
-        original.select(column(name).cast("string").alias("value"))
-        .where(F.col("value").isNotNull())
-        .intersect(masked.select(column(name).cast("string").alias("value")))
-    )
+
+    def values(df: DataFrame) -> DataFrame:
+        # Distinct before the set operation, which would otherwise shuffle every row's value.
+        text = column(name).cast("string")
+        return df.select(text.alias("value")).where(text.isNotNull()).distinct()
+
+    leaked = values(original).join(values(masked), "value", "left_semi")
     return leaked.select(F.lit(name).alias("column"), "value", F.col("value").isin(list(pool or [])).alias("in_pool"))
 
 
