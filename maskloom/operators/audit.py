@@ -152,14 +152,22 @@ def audit_unchanged(pairs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def audit_unconverted(df: DataFrame, policy, salt) -> DataFrame:
-    """Per policy column, the values that pass through because no rule could convert them."""
+    """Per policy column, the values that pass through because no rule could convert them.
+
+    Only dates and amounts can fail, so only they are computed; ids always pass through.
+    """
     entries = as_entries(policy)
-    pairs = mask_side_by_side(df, entries, salt, on_error="null")
-    left = [
-        column(e.column).isNotNull() if e.field_type == "id" else column(e.column).isNotNull() & twin(e.column).isNull()
-        for e in entries
-    ]
-    return _violations(pairs, [e.column for e in entries], {"unconverted": left})
+    can_fail = [e for e in entries if e.field_type in ("date", "amount")]
+    pairs = mask_side_by_side(df, can_fail, salt, on_error="null")
+
+    def left(entry) -> Column:
+        if entry.field_type == "id":
+            return column(entry.column).isNotNull()
+        if entry in can_fail:
+            return column(entry.column).isNotNull() & twin(entry.column).isNull()
+        return F.lit(False)
+
+    return _violations(pairs, [e.column for e in entries], {"unconverted": [left(e) for e in entries]})
 
 
 def table_difference(a: DataFrame, b: DataFrame, columns: list[str] | None = None) -> DataFrame:

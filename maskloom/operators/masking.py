@@ -6,16 +6,21 @@ streaming frames.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskloom.functions import fields
-from maskloom.functions.pools import DEFAULT_POOLS, Pools
+from maskloom.functions.hashing import md5_index, text_array
+from maskloom.functions.pools import DEFAULT_CATEGORY, DEFAULT_POOLS, Pools
 from maskloom.operators.policy import PolicyEntry, as_entries
 from maskloom.session import column
 
 MASKED = "__masked"
+INDEX, DOMAIN_INDEX = "__masked_index", "__masked_domain_index"
 
 
 def mask_value(
@@ -53,20 +58,40 @@ def mask_value(
     raise ValueError(f"unsupported field type: {field_type!r}")
 
 
-def mask_value_by_type(
-    value: Column, field_type: Column, salt: Column | str, on_error: str = "keep", pools: Pools = DEFAULT_POOLS
-) -> Column:
-    """Mask text whose type stands next to it in a long table; an unknown type is an error."""
+def mask_values(
+    df: DataFrame, value: str, field_type: str, salt: Column | str, on_error: str = "keep", pools: Pools = DEFAULT_POOLS
+) -> DataFrame:
+    """Mask a long table: text in ``value``, its type beside it; an unknown type is an error.
+
+    Inside a branch per type nothing is shared, so a row would hash its value several times. The
+    value is hashed once ahead of the branches, modulo the least common multiple of the pool
+    sizes, and only in rows whose type needs it.
+    """
+    text, kind = column(value), column(field_type)
     offset, multiplier = fields.derive_offset(salt), fields.derive_multiplier(salt)
-    chain = None
-    for known in fields.FIELD_TYPES:
-        masked = mask_value(value, known, offset=offset, multiplier=multiplier, pools=pools)
-        if known in ("date", "amount"):
-            masked = fields.keep_on_error(masked, value, on_error)
-        hit = field_type == F.lit(known)
-        chain = F.when(hit, masked) if chain is None else chain.when(hit, masked)
-    unknown = F.concat(F.lit("unsupported field type: "), F.coalesce(field_type, F.lit("NULL")))
-    return chain.otherwise(F.raise_error(unknown).cast("string"))
+    pooled = {
+        "name": pools.names,
+        "email": pools.email_users,
+        "country": pools.countries,
+        "category": pools.categories,
+        "description": pools.merchants[DEFAULT_CATEGORY],
+    }
+    common = math.lcm(*[len(pool) for pool in pooled.values()])
+    hashed = df.withColumns(
+        {
+            INDEX: md5_index(F.when(kind.isin(*pooled), text), common),
+            DOMAIN_INDEX: md5_index(F.when(kind == "email", F.concat(text, F.lit(":domain"))), len(pools.email_domains)),
+        }
+    )
+    picked = {t: F.get(text_array(pool), F.col(INDEX) % len(pool)) for t, pool in pooled.items()}
+    picked["email"] = F.concat(picked["email"], F.lit("@"), F.get(text_array(pools.email_domains), F.col(DOMAIN_INDEX)))
+    picked["date"] = fields.keep_on_error(fields.mask_date(text, offset), text, on_error)
+    picked["amount"] = fields.keep_on_error(fields.mask_amount(text, multiplier, False), text, on_error)
+    picked["id"] = text
+    unknown = F.concat(F.lit("unsupported field type: "), F.coalesce(kind, F.lit("NULL")))
+    masked = reduce(lambda chain, t: chain.when(kind == t, picked[t]), fields.FIELD_TYPES, F)
+    masked = masked.otherwise(F.raise_error(unknown).cast("string"))
+    return hashed.select(*[masked.alias(c) if c == value else column(c) for c in df.columns])
 
 
 def _is_numeric(df: DataFrame, name: str) -> bool:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from maskloom.functions.pools import MERCHANTS
-from maskloom.operators.masking import mask_column, mask_side_by_side, mask_table, mask_value, mask_value_by_type
+from maskloom.operators.masking import mask_column, mask_side_by_side, mask_table, mask_value, mask_values
 
 
 def rows(df):
@@ -125,16 +125,21 @@ def test_one_column_and_unknown_type(small):
 
 
 def test_long_table(spark):
-    df = spark.createDataFrame(
-        [("name", "John Smith"), ("amount", "100"), ("date", "01/01/2025"), ("id", "ACC-1"), ("date", "junk")],
-        "t STRING, v STRING",
-    )
-    got = [r[0] for r in df.select(mask_value_by_type(F.col("v"), F.col("t"), "test.csv")).collect()]
-    assert got == ["Eva Rossi", "318.2", "10/01/2026", "ACC-1", "junk"]
-    with pytest.raises(Exception, match="bogus"):
-        spark.createDataFrame([("bogus", "x")], "t STRING, v STRING").select(
-            mask_value_by_type(F.col("v"), F.col("t"), "test.csv")
-        ).collect()
+    values = {
+        "name": "John Smith", "email": "john@example.com", "country": "US", "category": "small", "description": "shop",
+        "amount": "100", "date": "01/01/2025", "id": "ACC-1",
+    }
+    rows_in = [*values.items(), ("date", "junk"), ("name", None), ("email", None)]
+    df = spark.createDataFrame(rows_in, "t STRING, v STRING")
+    got = [tuple(r) for r in mask_values(df, "v", "t", "test.csv").collect()]
+    wide = spark.createDataFrame([tuple(values.values())], ", ".join(f"`{t}` STRING" for t in values))
+    expected = mask_table(wide, {t: t for t in values}, "test.csv").first().asDict()
+    assert got == [*expected.items(), ("date", "junk"), ("name", None), ("email", None)]
+    assert expected["name"] == "Eva Rossi" and expected["amount"] == "318.2" and expected["date"] == "10/01/2026"
+    for bad in ("bogus", None):
+        broken = spark.createDataFrame([(bad, "x")], "t STRING, v STRING")
+        with pytest.raises(Exception, match="unsupported field type"):
+            mask_values(broken, "v", "t", "test.csv").collect()
 
 
 def plan_of(df) -> str:

@@ -9,7 +9,7 @@ from maskloom.functions import fields
 from maskloom.functions.hashing import digest_mod, md5_hex
 from maskloom.functions.pools import COUNTRIES
 from maskloom.operators import audit, detect, generate, messiness, policy
-from maskloom.operators.masking import mask_column, mask_side_by_side, mask_table, mask_value_by_type
+from maskloom.operators.masking import mask_column, mask_side_by_side, mask_table, mask_values
 from maskloom.session import scratch_path
 from maskloom.sources import tables
 from workload import inputs
@@ -204,9 +204,7 @@ def derive_multiplier(spark, sf_dir) -> DataFrame:
 
 @query
 def mask_value_dispatch(spark, sf_dir) -> DataFrame:
-    long = inputs.typed_values(spark, sf_dir)
-    masked = mask_value_by_type(F.col("value"), F.col("field_type"), SALT)
-    return long.select("row_key", "field_type", masked.alias("value"))
+    return mask_values(inputs.typed_values(spark, sf_dir), "value", "field_type", SALT)
 
 
 @query
