@@ -37,20 +37,28 @@ def _long(counted: DataFrame, columns: list[str], measures: list[str], shared: l
     return counted.select(*shared, F.inline(F.array(*entries))).select("column", *shared, *measures)
 
 
-def pair_tables(original: DataFrame, masked: DataFrame, key: str, columns: list[str]) -> DataFrame:
+def pair_tables(
+    original: DataFrame, masked: DataFrame, key: str, columns: list[str], nulls_only: bool = False
+) -> DataFrame:
     """Both versions of each row, found by key, as ``<column>`` and ``<column>__masked``.
 
     Grouping the two tables together gives one row per key whatever the number of copies, so a
     repeated key cannot multiply. ``rows_original`` and ``rows_masked`` are 1 for a clean pair;
-    see ``unpaired``.
+    see ``unpaired``. ``nulls_only`` replaces each value by whether there is one, which keeps the
+    values out of the shuffle and lets Spark group by hash instead of by sorting.
     """
 
     def side(df: DataFrame, is_original: bool) -> DataFrame:
-        nothing = {f.name: F.lit(None).cast(f.dataType) for f in df.schema.fields}
+        values = {c: column(c) for c in columns}
+        types = {c: df.schema[c].dataType for c in columns}
+        if nulls_only:
+            values = {c: F.when(column(c).isNotNull(), F.lit(True)) for c in columns}
+            types = {c: T.BooleanType() for c in columns}
+        nothing = {c: F.lit(None).cast(types[c]) for c in columns}
         return df.select(
             column(key),
-            *[(column(c) if is_original else nothing[c]).alias(c) for c in columns],
-            *[(nothing[c] if is_original else column(c)).alias(c + MASKED) for c in columns],
+            *[(values[c] if is_original else nothing[c]).alias(c) for c in columns],
+            *[(nothing[c] if is_original else values[c]).alias(c + MASKED) for c in columns],
             F.lit(1 if is_original else 0).alias("rows_original"),
             F.lit(0 if is_original else 1).alias("rows_masked"),
         )

@@ -7,6 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskloom.functions import fields
 from maskloom.operators import audit, detect, generate, messiness
 from maskloom.operators.masking import mask_table
 from maskloom.operators.policy import policy_entries, policy_table_read, policy_table_write, read_policy_file
@@ -65,6 +66,14 @@ def volume_table_exact(spark: SparkSession, rows: int, output: str) -> DataFrame
 
 
 def input_files(spark: SparkSession, path: str) -> DataFrame:
-    """The files of a folder with the output name of each; file contents are not read."""
-    listed = spark.read.format("binaryFile").load(path).select(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("path"))
-    return listed.withColumn("output_path", anon_path(F.col("path")))
+    """The files of a folder: output name, date shift and amount factor; contents are not read."""
+    location = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
+    listed = spark.read.format("binaryFile").load(path).select(location.alias("path"))
+    name = F.substring_index("path", "/", -1)
+    return listed.select(
+        "path",
+        name.alias("file_name"),
+        anon_path(F.col("path")).alias("output_path"),
+        fields.derive_offset(name).alias("offset"),
+        fields.derive_multiplier(name).alias("multiplier"),
+    )

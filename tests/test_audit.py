@@ -68,6 +68,9 @@ def test_lost_rows_and_values_are_found(table, masked):
     assert by_column(A.audit_null_counts(table, moved, ["who"]), "ok") == {"who": True}
     paired = A.pair_tables(table, moved, "row_key", ["who"])
     assert by_column(A.audit_null_mask(paired, ["who"]), "violations") == {"who": 2}
+    flags = A.pair_tables(table, moved, "row_key", ["who"], nulls_only=True)
+    assert by_column(A.audit_null_mask(flags, ["who"]), "violations") == {"who": 2}
+    assert "SortAggregate" not in flags._jdf.queryExecution().executedPlan().toString()
 
 
 def test_pairs_of_stored_tables_equal_pairs_in_one_pass(table, masked, pairs):

@@ -29,7 +29,7 @@ def test_entry(spark):
     assert entry(spark).count() > 0
 
 
-MASKING = [k for k in QUERIES if k.startswith("mask_") or k.startswith("mess_") or k.startswith("gen_")]
+MASKING = [k for k in QUERIES if k.startswith(("mask_", "mess_", "gen_"))]
 
 
 @pytest.mark.parametrize("key", MASKING)

@@ -79,8 +79,9 @@ def test_many_files_each_with_its_own_salt(spark, tmp_path):
         expected = tuple(mask_table(source, {"when": "date", "amount": "amount"}, name).first())
         assert got[name.replace(".csv", "_ANON.csv")] == expected
     assert len(done) == 2
-    listed = {Path(r.path).name: Path(r.output_path).name for r in jobs.input_files(spark, str(folder)).collect()}
-    assert listed == {n: n.replace(".csv", "_ANON.csv") for n in names}
+    listed = {r.file_name: r for r in jobs.input_files(spark, str(folder)).collect()}
+    assert {n: Path(r.output_path).name for n, r in listed.items()} == {n: n.replace(".csv", "_ANON.csv") for n in names}
+    assert (listed["file_a.csv"].offset, listed["file_a.csv"].multiplier) == (210, 2.742)
 
 
 def test_parquet_round_trip(spark, tmp_path, card_payments, card_policy):

@@ -77,6 +77,16 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def event_day(events: DataFrame) -> DataFrame:
+    """Events with their day and user as text; works on streams too."""
+    return events.withColumns(
+        {
+            "day": F.date_format("ts", "MM/dd/yyyy"),
+            "user": F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("@example.com")),
+        }
+    )
+
+
 def names_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(
         "p_partkey", F.concat("p_name", F.col("p_partkey").cast("string"), F.lit(".csv")).alias("file_name")

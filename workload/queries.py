@@ -10,8 +10,10 @@ from maskloom.functions.hashing import digest_mod, md5_hex
 from maskloom.functions.pools import COUNTRIES
 from maskloom.operators import audit, detect, generate, messiness, policy
 from maskloom.operators.masking import mask_column, mask_side_by_side, mask_table, mask_values
+from maskloom.operators.selection import by_count
 from maskloom.session import scratch_path
 from maskloom.sources import tables
+from maskloom.streaming.stream import mask_stream
 from workload import inputs
 
 SALT = "orders.csv"
@@ -34,6 +36,7 @@ SHIPMENT_POLICY = {
     "contact": "email",
     "memo": "description",
 }
+EVENT_POLICY = {"event_type": "category", "value": "amount", "day": "date", "user": "email"}
 MODULI = (6, 8, 10, 20, 30, 35, 551, 2001)
 QUERIES: dict = {}
 
@@ -257,6 +260,19 @@ def mask_table_shipments(spark, sf_dir) -> DataFrame:
     return mask_table(inputs.shipments(spark, sf_dir), SHIPMENT_POLICY, "lineitem.csv")
 
 
+@query
+def mask_stream_query(spark, sf_dir) -> DataFrame:
+    """The events as a file stream, read to its end, next to their masked parquet."""
+    schema = inputs.table(spark, sf_dir, "events").schema
+    output = scratch_path(spark, "mask_stream")
+    stream = mask_stream(
+        spark, f"{sf_dir}/events*.parquet", schema, EVENT_POLICY, "events.csv", output,
+        scratch_path(spark, "mask_stream_checkpoint"), prepare=inputs.event_day,
+    )
+    stream.awaitTermination()
+    return spark.read.parquet(output).select("event_id", *EVENT_POLICY)
+
+
 # Detection
 
 
@@ -317,6 +333,17 @@ def mess_all(spark, sf_dir) -> DataFrame:
     return messiness.mess_all(inputs.clerks(spark, sf_dir))
 
 
+@query
+def mess_nulls_by_count(spark, sf_dir) -> DataFrame:
+    """Exactly ``int(rows * rate)`` NULLs per column."""
+    return messiness.mess_nulls(inputs.clerks(spark, sf_dir), pick=by_count)
+
+
+@query
+def mess_exact_duplicates_by_count(spark, sf_dir) -> DataFrame:
+    return messiness.mess_exact_duplicates(inputs.clerks(spark, sf_dir), pick=by_count)
+
+
 @query
 def null_profile(spark, sf_dir) -> DataFrame:
     return messiness.null_profile(messiness.mess_all(inputs.clerks(spark, sf_dir)), ["name", "email", "country"])
@@ -357,7 +384,7 @@ def audit_null_counts(spark, sf_dir) -> DataFrame:
 @query
 def audit_null_mask(spark, sf_dir) -> DataFrame:
     """Original and masked rows brought together by key, as for two stored tables."""
-    pairs = audit.pair_tables(*_payments(spark, sf_dir), "row_key", list(PAYMENT_POLICY))
+    pairs = audit.pair_tables(*_payments(spark, sf_dir), "row_key", list(PAYMENT_POLICY), nulls_only=True)
     return audit.audit_null_mask(pairs, list(PAYMENT_POLICY))
 
 
@@ -372,6 +399,13 @@ def audit_unchanged(spark, sf_dir) -> DataFrame:
     return audit.audit_unchanged(_payment_pairs(spark, sf_dir), list(PAYMENT_POLICY))
 
 
+@query
+def audit_unchanged_stored(spark, sf_dir) -> DataFrame:
+    """The same over two tables whose rows are brought together by key."""
+    pairs = audit.pair_tables(*_payments(spark, sf_dir), "row_key", list(PAYMENT_POLICY))
+    return audit.audit_unchanged(pairs, list(PAYMENT_POLICY))
+
+
 @query
 def audit_unconverted(spark, sf_dir) -> DataFrame:
     return audit.audit_unconverted(inputs.payments(spark, sf_dir), PAYMENT_POLICY, SALT)

@@ -496,6 +496,12 @@ def _sql() -> dict[str, str]:
            {amount('l_extendedprice', multiplier(lineitem))} AS l_extendedprice, {category('l_returnflag')} AS flag,
            {name(supplier)} AS supplier, {email(contact)} AS contact, {description(memo)} AS memo FROM lineitem"""
 
+    events = text("events.csv")
+    event_day, event_user = "strftime(ts, '%m/%d/%Y')", "('user' || user_id || '@example.com')"
+    out["mask_stream"] = f"""
+    SELECT event_id, {category('event_type')} AS event_type, {amount('value', multiplier(events))} AS value,
+           {date(event_day, offset(events))} AS day, {email(event_user)} AS user FROM events"""
+
     out["sample_column"] = f"WITH {_sample()} SELECT * FROM sample"
     out["classify_columns"] = f"WITH {_sample()}, {_classified()} SELECT * FROM classified"
     out["detect_columns"] = _detected() + 'SELECT position, "column", type, confidence, status FROM detections'
@@ -528,6 +534,20 @@ def _sql() -> dict[str, str]:
     for key, step in MESS.items():
         out[key] = f"WITH t AS ({CLERKS}) {step('t')}"
     out["mess_all"] = _mess_all() + "SELECT * FROM done"
+    def lowest(step: str) -> str:
+        h, rate = digest(text(step), "row_key"), messiness.RATES[step]
+        return f"row_number() OVER (ORDER BY {h}) <= floor(count(*) OVER () * {rate}::DOUBLE)"
+
+    out["mess_nulls_by_count"] = f"""
+    SELECT row_key, CASE WHEN NOT pn THEN name END AS name, CASE WHEN NOT pe THEN email END AS email,
+           CASE WHEN NOT pc THEN country END AS country
+    FROM (SELECT *, {lowest('null_name')} AS pn, {lowest('null_email')} AS pe, {lowest('null_country')} AS pc
+          FROM ({CLERKS}))"""
+    copy_key = digest(text("dup"), text("exact_duplicates"), "row_key")
+    out["mess_exact_duplicates_by_count"] = f"""
+    WITH t AS (SELECT *, {lowest('exact_duplicates')} AS picked FROM ({CLERKS}))
+    SELECT row_key, name, email, country FROM t
+    UNION ALL SELECT {copy_key}, name, email, country FROM t WHERE picked"""
     out["null_profile"] = _mess_all() + per_column(
         ["name", "email", "country"],
         "SELECT '{c}' AS \"column\", count(*) AS rows, count(*) FILTER ({c} IS NULL) AS nulls, "
@@ -560,6 +580,7 @@ def _sql() -> dict[str, str]:
         "SELECT '{c}' AS \"column\", count(*) AS rows, count(p.{c}) AS compared, "
         "count(*) FILTER (p.{c} = m.{c}) AS unchanged " + joined,
     )
+    out["audit_unchanged_stored"] = out["audit_unchanged"]
     failed = {
         "order_date": day, "post_date": date("post_date", SALT_OFFSET), "amount": "amount", "amount_text": money,
         "description": "description", "account_id": "NULL",
