@@ -24,28 +24,34 @@ THRESHOLD = 0.80
 ZERO_STEPS = (8, 6, 4, 2, 0)
 HASH = "__hash"
 
-# English short names of countries; pass ``countries`` to use another list.
-COUNTRY_NAMES = (
-    "Afghanistan, Albania, Algeria, Andorra, Angola, Antigua and Barbuda, Argentina, Armenia, Australia, Austria, "
-    "Azerbaijan, Bahamas, Bahrain, Bangladesh, Barbados, Belarus, Belgium, Belize, Benin, Bhutan, Bolivia, "
-    "Bosnia and Herzegovina, Botswana, Brazil, Brunei Darussalam, Bulgaria, Burkina Faso, Burundi, Cambodia, "
-    "Cameroon, Canada, Cape Verde, Central African Republic, Chad, Chile, China, Colombia, Comoros, Congo, "
-    "Costa Rica, Cote d'Ivoire, Croatia, Cuba, Cyprus, Czech Republic, Denmark, Djibouti, Dominica, "
-    "Dominican Republic, Ecuador, Egypt, El Salvador, Equatorial Guinea, Eritrea, Estonia, Eswatini, Ethiopia, Fiji, "
-    "Finland, France, Gabon, Gambia, Georgia, Germany, Ghana, Greece, Greenland, Grenada, Guatemala, Guinea, "
-    "Guinea-Bissau, Guyana, Haiti, Honduras, Hong Kong, Hungary, Iceland, India, Indonesia, Iran, Iraq, Ireland, "
-    "Israel, Italy, Jamaica, Japan, Jordan, Kazakhstan, Kenya, Kiribati, Korea, Kuwait, Kyrgyzstan, Laos, Latvia, "
-    "Lebanon, Lesotho, Liberia, Libya, Liechtenstein, Lithuania, Luxembourg, Madagascar, Malawi, Malaysia, Maldives, "
-    "Mali, Malta, Marshall Islands, Mauritania, Mauritius, Mexico, Micronesia, Moldova, Monaco, Mongolia, Montenegro, "
-    "Morocco, Mozambique, Myanmar, Namibia, Nauru, Nepal, Netherlands, New Zealand, Nicaragua, Niger, Nigeria, "
-    "North Korea, North Macedonia, Norway, Oman, Pakistan, Palau, Panama, Papua New Guinea, Paraguay, Peru, "
-    "Philippines, Poland, Portugal, Puerto Rico, Qatar, Romania, Russia, Russian Federation, Rwanda, Samoa, "
-    "San Marino, Saudi Arabia, Senegal, Serbia, Seychelles, Sierra Leone, Singapore, Slovakia, Slovenia, "
-    "Solomon Islands, Somalia, South Africa, South Korea, South Sudan, Spain, Sri Lanka, Sudan, Suriname, Sweden, "
-    "Switzerland, Syria, Taiwan, Tajikistan, Tanzania, Thailand, Timor-Leste, Togo, Tonga, Trinidad and Tobago, "
-    "Tunisia, Turkey, Turkmenistan, Tuvalu, Uganda, Ukraine, United Arab Emirates, United Kingdom, United States, "
-    "United States of America, Uruguay, Uzbekistan, Vanuatu, Venezuela, Vietnam, Yemen, Zambia, Zimbabwe"
-).split(", ")
+# Countries by two-letter code and English short name; pass ``countries`` to use another list.
+COUNTRY_LIST = """
+AF Afghanistan, AL Albania, DZ Algeria, AD Andorra, AO Angola, AG Antigua and Barbuda, AR Argentina, AM Armenia,
+AU Australia, AT Austria, AZ Azerbaijan, BS Bahamas, BH Bahrain, BD Bangladesh, BB Barbados, BY Belarus, BE Belgium,
+BZ Belize, BJ Benin, BT Bhutan, BO Bolivia, BA Bosnia and Herzegovina, BW Botswana, BR Brazil, BN Brunei Darussalam,
+BG Bulgaria, BF Burkina Faso, BI Burundi, KH Cambodia, CM Cameroon, CA Canada, CV Cape Verde,
+CF Central African Republic, TD Chad, CL Chile, CN China, CO Colombia, KM Comoros, CG Congo, CR Costa Rica,
+CI Cote d'Ivoire, HR Croatia, CU Cuba, CY Cyprus, CZ Czech Republic, DK Denmark, DJ Djibouti, DM Dominica,
+DO Dominican Republic, EC Ecuador, EG Egypt, SV El Salvador, GQ Equatorial Guinea, ER Eritrea, EE Estonia, SZ Eswatini,
+ET Ethiopia, FJ Fiji, FI Finland, FR France, GA Gabon, GM Gambia, GE Georgia, DE Germany, GH Ghana, GR Greece,
+GL Greenland, GD Grenada, GT Guatemala, GN Guinea, GW Guinea-Bissau, GY Guyana, HT Haiti, HN Honduras, HK Hong Kong,
+HU Hungary, IS Iceland, IN India, ID Indonesia, IR Iran, IQ Iraq, IE Ireland, IL Israel, IT Italy, JM Jamaica, JP Japan,
+JO Jordan, KZ Kazakhstan, KE Kenya, KI Kiribati, KW Kuwait, KG Kyrgyzstan, LA Laos, LV Latvia, LB Lebanon, LS Lesotho,
+LR Liberia, LY Libya, LI Liechtenstein, LT Lithuania, LU Luxembourg, MG Madagascar, MW Malawi, MY Malaysia, MV Maldives,
+ML Mali, MT Malta, MH Marshall Islands, MR Mauritania, MU Mauritius, MX Mexico, FM Micronesia, MD Moldova, MC Monaco,
+MN Mongolia, ME Montenegro, MA Morocco, MZ Mozambique, MM Myanmar, NA Namibia, NR Nauru, NP Nepal, NL Netherlands,
+NZ New Zealand, NI Nicaragua, NE Niger, NG Nigeria, KP North Korea, MK North Macedonia, NO Norway, OM Oman, PK Pakistan,
+PW Palau, PA Panama, PG Papua New Guinea, PY Paraguay, PE Peru, PH Philippines, PL Poland, PT Portugal, PR Puerto Rico,
+QA Qatar, RO Romania, RU Russia, RW Rwanda, WS Samoa, SM San Marino, SA Saudi Arabia, SN Senegal, RS Serbia,
+SC Seychelles, SL Sierra Leone, SG Singapore, SK Slovakia, SI Slovenia, SB Solomon Islands, SO Somalia, ZA South Africa,
+KR South Korea, SS South Sudan, ES Spain, LK Sri Lanka, SD Sudan, SR Suriname, SE Sweden, CH Switzerland, SY Syria,
+TW Taiwan, TJ Tajikistan, TZ Tanzania, TH Thailand, TL Timor-Leste, TG Togo, TO Tonga, TT Trinidad and Tobago,
+TN Tunisia, TR Turkey, TM Turkmenistan, TV Tuvalu, UG Uganda, UA Ukraine, AE United Arab Emirates, GB United Kingdom,
+US United States, UY Uruguay, UZ Uzbekistan, VU Vanuatu, VE Venezuela, VN Vietnam, YE Yemen, ZM Zambia, ZW Zimbabwe
+"""
+COUNTRY_WORDS = tuple(
+    word for entry in COUNTRY_LIST.replace("\n", " ").split(",") for word in entry.strip().split(" ", 1)
+) + ("United States of America", "Russian Federation", "Korea")
 
 EMAIL_SHAPE = r"^[^@\s]+@[^@\s]+\.[^@\s]+\z"
 SLASH_DATE_SHAPE = r"^\d{1,2}/\d{1,2}/\d{4}\z"
@@ -54,7 +60,8 @@ ID_SHAPE = r"^([A-Z]{2,4}-\d{3,}|\d{3}-\d{2}-\d{4})\z"
 AMOUNT_SHAPE = r"^-?\d+(\.\d+)?\z"
 CATEGORY_SHAPE = r"^[^\s\d@]{1,12}\z"
 CATEGORY_DISTINCT_MAX = 26
-NAME_SHAPE = r"^\p{Lu}\p{Ll}*\.?( \p{Lu}['\p{L}-]*)+\z"
+# A capital or, in scripts without case, any letter starts each word.
+NAME_SHAPE = r"^[\p{Lu}\p{Lo}][\p{Ll}\p{Lo}\p{M}]*\.?( [\p{Lu}\p{Lo}]['\p{L}\p{M}-]*\.?)+\z"
 DESCRIPTION_SHAPE = r"\p{Lu}.*([#*\d./]|\p{Lu}{2})"
 COMPANY_SHAPE = r" (Inc|LLC|Ltd|PLC|Group|Corp|Co|and Sons)\.?\z"
 
@@ -133,7 +140,9 @@ def _limits(hashed: DataFrame, columns: list[str], share: float) -> dict[str, tu
 
 def _matches(countries) -> dict[str, Column]:
     value = F.col("value")
-    known = [name.lower() for name in countries]
+    # Codes count in capitals only, names in any case.
+    codes = [word for word in countries if len(word) == 2 and word.isupper()]
+    names = [word.lower() for word in countries if word not in codes]
     slash = F.try_to_date(F.when(value.rlike(SLASH_DATE_SHAPE), value), "M/d/yyyy")
     iso = F.try_to_date(F.when(value.rlike(ISO_DATE_SHAPE), value), "yyyy-MM-dd")
     return {
@@ -141,7 +150,7 @@ def _matches(countries) -> dict[str, Column]:
         "date": slash.isNotNull() | iso.isNotNull(),
         "id": value.rlike(ID_SHAPE),
         "amount": value.rlike(AMOUNT_SHAPE),
-        "country": F.lower(value).isin(known),
+        "country": value.isin(codes) | F.lower(value).isin(names),
         "category": value.rlike(CATEGORY_SHAPE),
         "name": value.rlike(NAME_SHAPE) & ~value.rlike(COMPANY_SHAPE),
         "description": value.rlike(DESCRIPTION_SHAPE) | value.rlike(COMPANY_SHAPE),
@@ -149,7 +158,7 @@ def _matches(countries) -> dict[str, Column]:
 
 
 def classify_columns(
-    sample: DataFrame, countries=tuple(COUNTRY_NAMES), scorer: Callable | None = None
+    sample: DataFrame, countries=COUNTRY_WORDS, scorer: Callable | None = None
 ) -> DataFrame:
     """``position, column, type, confidence`` per sampled column.
 
@@ -211,7 +220,7 @@ def detect_columns(
     threshold: float = THRESHOLD,
     row_key: str | None = None,
     columns: list[str] | None = None,
-    countries=tuple(COUNTRY_NAMES),
+    countries=COUNTRY_WORDS,
     scorer: Callable | None = None,
 ) -> DataFrame:
     """``position, column, type, confidence, status``, one row for every column of the table."""

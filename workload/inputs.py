@@ -194,6 +194,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DETECT_COLUMNS = [
     "name", "email", "country", "created_at", "revenue", "merchant", "account_id", "status", "priority", "rare", "empty",
+    "code",
 ]
 
 
@@ -208,5 +209,6 @@ def unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority").alias("priority"),
         F.when(k % 997 == 0, F.concat(F.lit("r"), k.cast("string"), F.lit("@rare.example"))).alias("rare"),
         F.lit(None).cast("string").alias("empty"),
+        F.get(text_array(["US", "DE", "JP", "BR", "ZZ"]), (F.col("o_custkey") % 5).cast("int")).alias("code"),
     )
     return business(base, "row_key").select("row_key", *DETECT_COLUMNS)

@@ -235,7 +235,7 @@ KEYS = "SELECT CAST(o_orderkey AS VARCHAR) AS row_key FROM orders"
 UNLABELLED = """
 SELECT CAST(o_orderkey AS VARCHAR) AS row_key, o_orderstatus AS status, o_orderpriority AS priority,
        CASE WHEN o_orderkey % 997 = 0 THEN 'r' || o_orderkey || '@rare.example' END AS rare,
-       CAST(NULL AS VARCHAR) AS empty
+       CAST(NULL AS VARCHAR) AS empty, ['US', 'DE', 'JP', 'BR', 'ZZ'][o_custkey % 5 + 1] AS code
 FROM orders
 """
 
@@ -260,14 +260,15 @@ def _re(shape: str) -> str:
 
 
 def _classified() -> str:
-    countries = ", ".join(text(c.lower()) for c in detect.COUNTRY_NAMES)
+    codes = ", ".join(text(c) for c in detect.COUNTRY_WORDS if len(c) == 2)
+    names = ", ".join(text(c.lower()) for c in detect.COUNTRY_WORDS if len(c) > 2)
     company = _re(detect.COMPANY_SHAPE)
     tests = {
         "email": _re(detect.EMAIL_SHAPE),
         "date": "(try_strptime(value, '%m/%d/%Y') IS NOT NULL OR try_strptime(value, '%Y-%m-%d') IS NOT NULL)",
         "id": _re(detect.ID_SHAPE),
         "amount": _re(detect.AMOUNT_SHAPE),
-        "country": f"lower(value) IN ({countries})",
+        "country": f"(value IN ({codes}) OR lower(value) IN ({names}))",
         "category": _re(detect.CATEGORY_SHAPE),
         "name": f"({_re(detect.NAME_SHAPE)} AND NOT {company})",
         "description": f"({_re(detect.DESCRIPTION_SHAPE)} OR {company})",
