@@ -136,14 +136,20 @@ def audit_null_mask(pairs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def audit_leak(original: DataFrame, masked: DataFrame, name: str, pool: list[str] | None = None) -> DataFrame:
-    """Original values that also appear as masked values, flagged if they are pool words."""
+    """Original values that also appear as masked values, flagged if they are pool words.
 
-    def values(df: DataFrame) -> DataFrame:
-        # Distinct before the set operation, which would otherwise shuffle every row's value.
+    Both columns are grouped together, so equal values meet after they were reduced; a semi-join
+    would be pushed below a distinct and shuffle every row.
+    """
+
+    def values(df: DataFrame, is_original: bool) -> DataFrame:
         text = column(name).cast("string")
-        return df.select(text.alias("value")).where(text.isNotNull()).distinct()
+        return df.where(text.isNotNull()).select(
+            text.alias("value"), F.lit(is_original).alias("before"), F.lit(not is_original).alias("after")
+        )
 
-    leaked = values(original).join(values(masked), "value", "left_semi")
+    seen = values(original, True).unionAll(values(masked, False)).groupBy("value")
+    leaked = seen.agg(F.bool_or("before").alias("before"), F.bool_or("after").alias("after")).where("before AND after")
     return leaked.select(F.lit(name).alias("column"), "value", F.col("value").isin(list(pool or [])).alias("in_pool"))
 
 

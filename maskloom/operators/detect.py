@@ -12,6 +12,7 @@ from typing import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from maskloom.functions.fields import FIELD_TYPES
 from maskloom.functions.hashing import hash_of
@@ -85,7 +86,7 @@ def sample_column(
     """
     columns = columns if columns is not None else [c for c in df.columns if c != row_key]
     key = [column(row_key)] if row_key else [column(c) for c in df.columns]
-    hashed = df.select(hash_of(*key).alias(HASH), *[column(c).cast("string").alias(c) for c in columns])
+    hashed = df.select(hash_of(*key).alias(HASH), *[_as_text(df, c).alias(c) for c in columns])
 
     limits = _limits(hashed, columns, share)
     if not limits:
@@ -117,6 +118,13 @@ def sample_column(
     )
 
 
+def _as_text(df: DataFrame, name: str) -> Column:
+    """A value as text; a float without an exponent, whatever its size."""
+    if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
+        return F.call_function("format_number", column(name), F.lit("0.0##############"))
+    return column(name).cast("string")
+
+
 SAMPLE_SCHEMA = "position INT, column STRING, rn INT, value STRING"
 
 

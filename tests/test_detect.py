@@ -118,6 +118,12 @@ def test_every_column_is_reported(spark):
     assert got == [(0, "empty", None, 0.0, "skipped"), (1, "odd", None, 0.0, "skipped")]
 
 
+def test_numbers_of_any_size_are_amounts(spark):
+    df = spark.createDataFrame([(i, i * 1e7 + 0.25, i) for i in range(600)], "row_key INT, big DOUBLE, whole BIGINT")
+    assert {r.value for r in D.sample_column(df, ["big"], row_key="row_key").collect()} <= {f"{i * 10**7}.25" for i in range(600)}
+    assert [r.type for r in D.detect_columns(df, row_key="row_key").collect()] == ["amount", "amount"]
+
+
 def test_own_scorer(spark):
     import pandas as pd
 
