@@ -18,7 +18,7 @@ FILE_NAME = "__file_name"
 OUTPUT_NAME = "output_name"
 
 
-def mask_csv(spark: SparkSession, path: str | list[str], policy, output: str, *, multi_line: bool = True, **kwargs) -> None:
+def mask_csv(spark: SparkSession, path: str | list[str], policy, output: str, *, multi_line: bool | None = None, **kwargs) -> None:
     """Mask any number of CSV files in one job, each with the salt of its own name.
 
     The output folder gets one folder per input file, named like ``x_ANON.csv``. ``policy`` is a

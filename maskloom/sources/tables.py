@@ -25,17 +25,20 @@ def csv_scan(
     spark: SparkSession,
     path: str | list[str],
     *,
-    multi_line: bool = True,
+    multi_line: bool | None = None,
     na_tokens=NA_TOKENS,
     mode: str = "PERMISSIVE",
     file_name: str | None = None,
 ) -> DataFrame:
     """Read CSV files with a header as text columns.
 
-    ``multi_line`` allows line breaks inside quotes, but then one file is one task. Turn it off
-    for big files without such breaks, so that they are split. ``na_tokens`` become NULL (pass
+    ``multi_line`` allows line breaks inside quotes, but then one file is one task; without them
+    big files are split. By default the files are searched for such breaks first, in a scan of
+    their lines that is itself split. ``na_tokens`` become NULL (pass
     none to keep the text). ``file_name`` adds the decoded name of each row's file.
     """
+    if multi_line is None:
+        multi_line = has_quoted_breaks(spark, path)
     options = {"multiLine": multi_line, "escape": '"', "mode": mode, "encoding": "UTF-8"}
     header = spark.read.options(header=False, **options).csv(path).first()
     if header is None:
@@ -53,6 +56,16 @@ def csv_scan(
     return csv_na_normalise(df, na_tokens, names) if na_tokens else df
 
 
+def has_quoted_breaks(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether any line has an odd number of quotes, as one cut inside a quoted value does.
+
+    A stray quote also counts; the files are then read in the slower way, which is right too.
+    """
+    line = F.col("value")
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
 def distinct_names(header: list[str | None]) -> list[str]:
     """Header names with repeats numbered ``a``, ``a.1`` and blanks named by position."""
     names: list[str] = []

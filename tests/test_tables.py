@@ -24,6 +24,29 @@ def test_csv_in(spark, tmp_path):
     assert kept.first()["c"] == "NA"
 
 
+def test_files_are_split_unless_a_quoted_value_has_a_line_break(spark, tmp_path):
+    plain, broken = tmp_path / "plain.csv", tmp_path / "broken.csv"
+    plain.write_bytes(b'\xef\xbb\xbfa,b\r\n"x, ""q""",1\r\n\r\n  y ,NA\r\n')
+    broken.write_bytes(b'a,b\n"x\ny",1\n')
+    assert not tables.has_quoted_breaks(spark, str(plain)) and tables.has_quoted_breaks(spark, str(broken))
+    for multi_line in (None, False, True):
+        df = tables.csv_scan(spark, str(plain), multi_line=multi_line)
+        assert df.columns == ["a", "b"] and [tuple(r) for r in df.collect()] == [('x, "q"', "1"), ("  y ", None)]
+    assert tables.csv_scan(spark, str(broken)).first()["a"] == "x\ny"
+
+
+def test_big_files_without_breaks_are_split(spark, tmp_path):
+    path = tmp_path / "big.csv"
+    path.write_text("a,b\n" + "some text,1\n" * 200_000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "262144")
+    try:
+        df = tables.csv_scan(spark, str(path))
+        assert df.rdd.getNumPartitions() > 4 and df.count() == 200_000
+        assert tables.csv_scan(spark, str(path), multi_line=True).rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_repeated_and_blank_header_names(spark, tmp_path):
     path = tmp_path / "in.csv"
     path.write_text("a,b,a,,a\n1,2,3,4,5\n")
