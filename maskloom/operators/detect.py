@@ -1,13 +1,14 @@
 """Proposing a policy: sample every column, score the sample, split by confidence.
 
-Two scans of the table, whatever its number of columns. The first counts, per column, the
-non-null values whose row hash falls below a few thresholds. The second reads only rows
-below the smallest threshold that is sure to hold the sample. At most 50 values per column
-and task are shuffled.
+The first scan counts, per column, the non-null values whose row hash falls below a few
+thresholds. The second reads, for each threshold in use, the columns that need it and only the
+rows below it, which are sure to hold the sample. Most tables use one threshold; sparse columns
+take a wider one. At most 50 values per column and task are shuffled.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -50,16 +51,31 @@ TW Taiwan, TJ Tajikistan, TZ Tanzania, TH Thailand, TL Timor-Leste, TG Togo, TO
 TN Tunisia, TR Turkey, TM Turkmenistan, TV Tuvalu, UG Uganda, UA Ukraine, AE United Arab Emirates, GB United Kingdom,
 US United States, UY Uruguay, UZ Uzbekistan, VU Vanuatu, VE Venezuela, VN Vietnam, YE Yemen, ZM Zambia, ZW Zimbabwe
 """
+# Territories and other names in use.
+TERRITORY_LIST = """
+American Samoa, Anguilla, Antarctica, Aruba, Bermuda, Bouvet Island, British Indian Ocean Territory,
+British Virgin Islands, Cayman Islands, Christmas Island, Cocos Islands, Cook Islands, Falkland Islands, Faroe Islands,
+French Guiana, French Polynesia, French Southern Territories, Gibraltar, Guadeloupe, Guam, Guernsey,
+Heard Island and McDonald Islands, Holy See, Isle of Man, Jersey, Korea, Kyrgyz Republic,
+Lao People's Democratic Republic, Libyan Arab Jamahiriya, Macao, Macedonia, Martinique, Mayotte, Montserrat,
+Netherlands Antilles, New Caledonia, Niue, Norfolk Island, Northern Mariana Islands, Palestinian Territory,
+Pitcairn Islands, Reunion, Russian Federation, Saint Barthelemy, Saint Helena, Saint Kitts and Nevis, Saint Lucia,
+Saint Martin, Saint Pierre and Miquelon, Saint Vincent and the Grenadines, Sao Tome and Principe,
+South Georgia and the South Sandwich Islands, Svalbard & Jan Mayen Islands, Swaziland, Syrian Arab Republic, Tokelau,
+Turks and Caicos Islands, United States Minor Outlying Islands, United States of America, United States Virgin Islands,
+Vatican City, Wallis and Futuna, Western Sahara
+"""
 COUNTRY_WORDS = tuple(
     word for entry in COUNTRY_LIST.replace("\n", " ").split(",") for word in entry.strip().split(" ", 1)
-) + ("United States of America", "Russian Federation", "Korea")
+) + tuple(entry.strip() for entry in TERRITORY_LIST.replace("\n", " ").split(","))
 
 EMAIL_SHAPE = r"^[^@\s]+@[^@\s]+\.[^@\s]+\z"
 SLASH_DATE_SHAPE = r"^\d{1,2}/\d{1,2}/\d{4}\z"
 ISO_DATE_SHAPE = r"^\d{4}-\d{2}-\d{2}\z"
 ID_SHAPE = r"^([A-Z]{2,4}-\d{3,}|\d{3}-\d{2}-\d{4})\z"
 AMOUNT_SHAPE = r"^-?\d+(\.\d+)?\z"
-CATEGORY_SHAPE = r"^[^\s\d@]{1,12}\z"
+NOTE_IN_BRACKETS = r" ?\(.*\)\z"
+CATEGORY_SHAPE = r"^[^\s\d@#*./]{1,12}\z"
 CATEGORY_DISTINCT_MAX = 26
 # A capital or, in scripts without case, any letter starts each word.
 NAME_SHAPE = r"^[\p{Lu}\p{Lo}][\p{Ll}\p{Lo}\p{M}]*\.?( [\p{Lu}\p{Lo}]['\p{L}\p{M}-]*\.?)+\z"
@@ -91,26 +107,23 @@ def sample_column(
     limits = _limits(hashed, columns, share)
     if not limits:
         return df.sparkSession.createDataFrame([], SAMPLE_SCHEMA)
-    keep = None
+    # One branch per threshold, at most five: it reads the columns of that threshold alone. A single
+    # branch would need a filter over all columns, and the optimizer's time doubles with each.
+    branches = []
     for prefix in sorted({prefix for prefix, _ in limits.values()}):
-        group = [c for c in limits if limits[c][0] == prefix]
-        filled = None
-        for c in group:
-            filled = column(c).isNotNull() if filled is None else filled | column(c).isNotNull()
-        test = filled & F.col(HASH).startswith(prefix) if prefix else filled
-        keep = test if keep is None else keep | test
-
-    cells = [
-        F.struct(
-            F.lit(position).alias("position"),
-            F.lit(c).alias("column"),
-            F.lit(limits[c][1]).alias("size"),
-            F.when(F.col(HASH).startswith(limits[c][0]), column(c)).alias("value"),
-        )
-        for position, c in enumerate(columns)
-        if c in limits
-    ]
-    long = hashed.where(keep).select(HASH, F.inline(F.array(*cells))).where(F.col("value").isNotNull())
+        cells = [
+            F.struct(
+                F.lit(position).alias("position"),
+                F.lit(c).alias("column"),
+                F.lit(limits[c][1]).alias("size"),
+                column(c).alias("value"),
+            )
+            for position, c in enumerate(columns)
+            if limits.get(c, ("no values",))[0] == prefix
+        ]
+        rows = hashed.where(F.col(HASH).startswith(prefix)) if prefix else hashed
+        branches.append(rows.select(HASH, F.inline(F.array(*cells))).where(F.col("value").isNotNull()))
+    long = reduce(DataFrame.unionAll, branches)
     ranked = long.withColumn("rn", F.row_number().over(Window.partitionBy("position", "column").orderBy(HASH, "value")))
     # The literal bound is what lets Spark drop rows before the shuffle.
     return ranked.where(F.col("rn") <= SAMPLE_MAX).where(F.col("rn") <= F.col("size")).select(
@@ -151,6 +164,8 @@ def _matches(countries) -> dict[str, Column]:
     # Codes count in capitals only, names in any case.
     codes = [word for word in countries if len(word) == 2 and word.isupper()]
     names = [word.lower() for word in countries if word not in codes]
+    # "Slovakia (Slovak Republic)" counts as Slovakia.
+    short = F.lower(F.regexp_replace(value, NOTE_IN_BRACKETS, ""))
     slash = F.try_to_date(F.when(value.rlike(SLASH_DATE_SHAPE), value), "M/d/yyyy")
     iso = F.try_to_date(F.when(value.rlike(ISO_DATE_SHAPE), value), "yyyy-MM-dd")
     return {
@@ -158,7 +173,7 @@ def _matches(countries) -> dict[str, Column]:
         "date": slash.isNotNull() | iso.isNotNull(),
         "id": value.rlike(ID_SHAPE),
         "amount": value.rlike(AMOUNT_SHAPE),
-        "country": value.isin(codes) | F.lower(value).isin(names),
+        "country": value.isin(codes) | short.isin(names),
         "category": value.rlike(CATEGORY_SHAPE),
         "name": value.rlike(NAME_SHAPE) & ~value.rlike(COMPANY_SHAPE),
         "description": value.rlike(DESCRIPTION_SHAPE) | value.rlike(COMPANY_SHAPE),

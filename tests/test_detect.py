@@ -150,3 +150,13 @@ def test_answers(spark):
     df = spark.createDataFrame([(a,) for a in cases], "answer STRING")
     got = {r.answer: (r.type, r.confidence) for r in D.parse_classification(df, "answer").collect()}
     assert got == cases
+
+
+def test_planning_time_does_not_explode_with_the_columns(spark):
+    import time
+
+    names = [f"c{i}" for i in range(60)]
+    rows = [(i, *[f"v{i}"] * 60) for i in range(30)]
+    sample = D.sample_column(spark.createDataFrame(rows, "row_key INT, " + ", ".join(f"{c} STRING" for c in names)), row_key="row_key")
+    start = time.time()
+    assert sample.count() == 60 * 3 and time.time() - start < 60

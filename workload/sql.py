@@ -268,7 +268,7 @@ def _classified() -> str:
         "date": "(try_strptime(value, '%m/%d/%Y') IS NOT NULL OR try_strptime(value, '%Y-%m-%d') IS NOT NULL)",
         "id": _re(detect.ID_SHAPE),
         "amount": _re(detect.AMOUNT_SHAPE),
-        "country": f"(value IN ({codes}) OR lower(value) IN ({names}))",
+        "country": f"(value IN ({codes}) OR lower(regexp_replace(value, {text(detect.NOTE_IN_BRACKETS)}, '')) IN ({names}))",
         "category": _re(detect.CATEGORY_SHAPE),
         "name": f"({_re(detect.NAME_SHAPE)} AND NOT {company})",
         "description": f"({_re(detect.DESCRIPTION_SHAPE)} OR {company})",
