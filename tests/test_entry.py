@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from tools.compare import compare, connect
+from workload.queries import QUERIES
+from workload.sql import SQL
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = queries(), oracle_sql()
 
 
 @pytest.fixture(scope="module")
