@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from maskloom.llm import secrets
 from maskloom.llm.common import table
+from maskloom.llm.digest import edited_likeness
 from maskloom.llm.mixing import schedule
 from maskloom.llm.packing import pack_documents
 from maskloom.llm.quality import learn, score_documents
@@ -15,6 +17,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_quartile_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_documents(docs, learn(docs, table(spark, sf_dir, "labels")))
@@ -24,8 +30,15 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.learn(docs))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op6_quartile_fingerprints": op6_quartile_fingerprints,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_mix_sources": op8_mix_sources,
+    "op10_secret_scan": op10_secret_scan,
 }
