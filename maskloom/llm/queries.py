@@ -5,18 +5,28 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from maskloom.llm import secrets
+from maskloom.llm import secrets, warc
 from maskloom.llm.common import table
 from maskloom.llm.digest import edited_likeness
 from maskloom.llm.mixing import schedule
+from maskloom.llm.near import near_classes
 from maskloom.llm.packing import pack_documents
 from maskloom.llm.quality import learn, score_documents
+from maskloom.llm.vectors import near_vectors
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
 def op6_quartile_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(table(spark, sf_dir, "documents"))
 
@@ -30,6 +40,10 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")), "page_id")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets.scan(docs, secrets.learn(docs))
@@ -37,8 +51,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
+    "op4_order_minhash": op4_order_minhash,
     "op6_quartile_fingerprints": op6_quartile_fingerprints,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_mix_sources": op8_mix_sources,
+    "op9_warc_derivatives": op9_warc_derivatives,
     "op10_secret_scan": op10_secret_scan,
 }

@@ -37,3 +37,50 @@ JOIN slot ON slot.turn = shares.turn AND slot.nth = (d.r // 8) % share
 """
 
 SQL = {"op8_mix_sources": MIX}
+
+_PLAIN = "html"
+for _pattern in (
+    "(?s)<!--.*?-->", "(?is)<script\\b[^>]*>.*?</script[ \\t\\r\\n]*>", "(?is)<style\\b[^>]*>.*?</style[ \\t\\r\\n]*>",
+    "(?is)<noscript\\b[^>]*>.*?</noscript[ \\t\\r\\n]*>", "(?is)<template\\b[^>]*>.*?</template[ \\t\\r\\n]*>",
+):
+    _PLAIN = f"regexp_replace({_PLAIN}, '{_pattern}', '', 'g')"
+_PLAIN = f"""regexp_replace({_PLAIN}, '(?i)</?(address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|td|th|title|tr|ul)\\b[^>]*>', chr(10), 'g')"""
+_PLAIN = f"regexp_replace({_PLAIN}, '</?[a-zA-Z!][^>]*>', '', 'g')"
+
+
+def _entities(text: str) -> str:
+    pairs = ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&copy;", "©"), ("&reg;", "®")
+    more = ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&euro;", "€"), ("&amp;", "&")
+    for entity, char in pairs + more:
+        text = f"replace({text}, '{entity}', '{char}')"
+    return text
+
+
+def _uuid(parts: str) -> str:
+    h = f"md5({parts})"
+    return "'<urn:uuid:' || " + " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
+
+
+WARC = f"""
+WITH page AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+r AS (
+  SELECT page_id, url, html, {_uuid("'response' || chr(10) || coalesce(CAST(page_id AS VARCHAR), '') || chr(10) || url || chr(10) || md5(html)")} AS rid,
+         trim(regexp_replace(regexp_replace({_entities(_PLAIN)}, '[ \\t\\r\\f]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10)) AS plain,
+         trim(regexp_replace({_entities("regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title', 1)")}, '[ \\t\\r\\n\\f]+', ' ', 'g')) AS title,
+         list_transform(regexp_extract_all(html, '(?i)<a\\b[^>]*?\\bhref="([^"]*)"', 1), lambda x: {_entities("x")}) AS links,
+         'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) AS header
+  FROM page
+), ids AS (
+  SELECT *, {_uuid("'metadata' || chr(10) || rid")} AS mid, {_uuid("'conversion' || chr(10) || rid")} AS cid,
+         CAST(to_json(struct_pack(title := title, links := links, http_header := header)) AS VARCHAR) AS json FROM r
+), two AS (
+  SELECT *, 'metadata' AS warc_type, mid AS record_id, cid AS concurrent_to, 'application/json' AS content_type, json AS block FROM ids
+  UNION ALL
+  SELECT *, 'conversion', cid, mid, 'text/plain', plain FROM ids
+)
+SELECT page_id, rid AS refers_to, url AS target_uri, '2024-01-01T00:00:00Z' AS warc_date, 'sha256:' || sha256(html) AS source_digest,
+       warc_type, record_id, concurrent_to, content_type, block, strlen(block) AS content_length, 'sha256:' || sha256(block) AS block_digest
+FROM two
+"""
+
+SQL["op9_warc_derivatives"] = WARC
