@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from maskloom.llm.common import by_slices, stored
 from maskloom.llm.tokens import encoder
@@ -159,7 +160,7 @@ def pack(pieces: DataFrame, capacity: int = MAX_TOKENS, shard_pieces: int = SHAR
     """``pieces`` with ``sequence_id`` and ``offset``; pieces that stand together are packed together."""
     kept = stored(pieces, "pieces").withColumn("dealt", F.monotonically_increasing_id())
     shards = max(1, -(-kept.count() // shard_pieces))
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [b for b in batches if b.num_rows]
