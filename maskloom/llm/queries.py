@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from maskloom.llm import secrets, warc
+from maskloom.llm import licenses, secrets, warc
 from maskloom.llm.common import table
 from maskloom.llm.digest import edited_likeness
 from maskloom.llm.mixing import schedule
 from maskloom.llm.near import near_classes
 from maskloom.llm.packing import pack_documents
 from maskloom.llm.quality import learn, score_documents
+from maskloom.llm.substrings import dedup_substrings
 from maskloom.llm.vectors import near_vectors
 
 
@@ -23,10 +25,19 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.learn(docs))
+
+
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op6_quartile_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(table(spark, sf_dir, "documents"))
 
@@ -50,9 +61,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
+    "op3_license_scan": op3_license_scan,
     "op4_order_minhash": op4_order_minhash,
+    "op5_suffix_automata": op5_suffix_automata,
     "op6_quartile_fingerprints": op6_quartile_fingerprints,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_mix_sources": op8_mix_sources,
