@@ -38,12 +38,8 @@ JOIN slot ON slot.turn = shares.turn AND slot.nth = (d.r // 8) % share
 
 SQL = {"op8_mix_sources": MIX}
 
-_PLAIN = "html"
-for _pattern in (
-    "(?s)<!--.*?-->", "(?is)<script\\b[^>]*>.*?</script[ \\t\\r\\n]*>", "(?is)<style\\b[^>]*>.*?</style[ \\t\\r\\n]*>",
-    "(?is)<noscript\\b[^>]*>.*?</noscript[ \\t\\r\\n]*>", "(?is)<template\\b[^>]*>.*?</template[ \\t\\r\\n]*>",
-):
-    _PLAIN = f"regexp_replace({_PLAIN}, '{_pattern}', '', 'g')"
+_HIDDEN = "|".join(f"<{x}\\b[^>]*>.*?</{x}[ \\t\\r\\n]*>" for x in ("script", "style", "noscript", "template"))
+_PLAIN = f"regexp_replace(html, '(?is)<!--.*?-->|{_HIDDEN}', '', 'g')"
 _PLAIN = f"""regexp_replace({_PLAIN}, '(?i)</?(address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|td|th|title|tr|ul)\\b[^>]*>', chr(10), 'g')"""
 _PLAIN = f"regexp_replace({_PLAIN}, '</?[a-zA-Z!][^>]*>', '', 'g')"
 

@@ -45,12 +45,11 @@ def decoded(text: Column) -> Column:
 
 def plain_text(html: Column) -> Column:
     """Lines of text, blanks run together, without empty lines."""
-    text = F.regexp_replace(html, "(?s)<!--.*?-->", "")
-    for name in HIDDEN_ELEMENTS:
-        text = F.regexp_replace(text, f"(?is)<{name}\\b[^>]*>.*?</{name}[ \\t\\r\\n]*>", "")
+    hidden = f"(?is)<!--.*?-->|<({'|'.join(HIDDEN_ELEMENTS)})\\b[^>]*>.*?</\\1[ \\t\\r\\n]*>"
+    text = F.regexp_replace(html, hidden, "")
     text = F.regexp_replace(text, f"(?i)</?({LINE_TAGS})\\b[^>]*>", "\n")
     text = decoded(F.regexp_replace(text, "</?[a-zA-Z!][^>]*>", ""))
-    text = F.regexp_replace(text, "[ \\t\\r\\f]+", " ")
+    text = F.regexp_replace(text, "[ \\t\\r\\f]{2,}|[\\t\\r\\f]", " ")
     return F.trim(F.regexp_replace(text, " ?\\n[ \\n]*", "\n"), F.lit(" \n"))
 
 
