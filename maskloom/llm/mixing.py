@@ -99,7 +99,7 @@ def schedule(
     new = ["block", "release", "deadline", "slot", "position"]
     docs = docs.drop(*[c for c in docs.columns if c.lower() in new])
     hidden = {}
-    for name in ("hash", "part", "tie", "key", "row", "turn", "n", "share", "slots", "sources", "nth", "before", "cycle"):
+    for name in ("hash", "part", "tie", "key", "row", "turn", "n", "share", "slots", "sources", "nth", "before", "cycle", "k", "p", "earlier", "s", "t", "b"):
         hidden[name] = free_name(docs, f"mix_{name}")
     h = hidden.__getitem__
     plan = shares(docs, targets, period)
@@ -112,27 +112,27 @@ def schedule(
     parts = rows.groupBy(h("key"), h("part")).agg(F.count("*").alias("of_part"))
     ahead = Window.partitionBy(h("key")).orderBy(h("part")).rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(
-        F.col(h("key")).alias("k"), F.col(h("part")).alias("p"), F.coalesce(F.sum("of_part").over(ahead), F.lit(0)).alias("earlier")
+        F.col(h("key")).alias(h("k")), F.col(h("part")).alias(h("p")), F.coalesce(F.sum("of_part").over(ahead), F.lit(0)).alias(h("earlier"))
     )
     within = Window.partitionBy(h("key"), h("part")).orderBy(h("hash"), "doc_id", h("tie"))
     numbered = rows.withColumn(h("row"), F.row_number().over(within) - 1)
-    numbered = numbered.join(parts, (F.col(h("key")) == F.col("k")) & (F.col(h("part")) == F.col("p")))
-    numbered = numbered.withColumn(h("row"), F.col(h("row")) + F.col("earlier")).drop("k", "p", "earlier")
+    numbered = numbered.join(parts, (F.col(h("key")) == F.col(h("k"))) & (F.col(h("part")) == F.col(h("p"))))
+    numbered = numbered.withColumn(h("row"), F.col(h("row")) + F.col(h("earlier"))).drop(h("k"), h("p"), h("earlier"))
     # One row for each source, and one for each slot of a period: bounded by the sources and ``period``.
     each = plan.select("sources", "slots", F.posexplode("sources").alias("turn", "s")).select(
         F.col("sources").alias(h("sources")), F.col("slots").alias(h("slots")), F.col("turn").alias(h("turn")),
-        F.col("s.key").alias("k"), F.col("s.share").alias(h("share")),
+        F.col("s.key").alias(h("k")), F.col("s.share").alias(h("share")),
     )
     slots = period_schedule(plan).select(
-        F.col("slot").alias("s"), F.col("turn").alias("t"), F.col("nth").alias("b"), F.col("before").alias(h("before"))
+        F.col("slot").alias(h("s")), F.col("turn").alias(h("t")), F.col("nth").alias(h("b")), F.col("before").alias(h("before"))
     )
-    placed = numbered.join(F.broadcast(each), F.col(h("key")) == F.col("k")).withColumn("block", F.floor(F.col(h("row")) / block_docs))
+    placed = numbered.join(F.broadcast(each), F.col(h("key")) == F.col(h("k"))).withColumn("block", F.floor(F.col(h("row")) / block_docs))
     placed = placed.withColumns({
         h("cycle"): F.floor(F.col("block") / F.col(h("share"))),
         h("nth"): F.col("block") % F.col(h("share")),
         "release": F.floor(F.col("block") * F.col(h("slots")) / F.col(h("share"))),
         "deadline": F.ceil((F.col("block") + 1) * F.col(h("slots")) / F.col(h("share"))),
-    }).join(F.broadcast(slots), (F.col(h("turn")) == F.col("t")) & (F.col(h("nth")) == F.col("b")))
+    }).join(F.broadcast(slots), (F.col(h("turn")) == F.col(h("t"))) & (F.col(h("nth")) == F.col(h("b"))))
     earlier = F.aggregate(
         F.zip_with(
             h("sources"), h("before"),
@@ -141,7 +141,7 @@ def schedule(
         F.lit(0).cast("long"), lambda a, x: a + x,
     )
     placed = placed.withColumns({
-        "slot": F.col(h("cycle")) * F.col(h("slots")) + F.col("s"),
+        "slot": F.col(h("cycle")) * F.col(h("slots")) + F.col(h("s")),
         "position": earlier + F.col(h("row")) % block_docs,
     })
     return placed.select(*[F.col(f"`{c}`") for c in docs.columns], *new)

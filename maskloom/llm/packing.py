@@ -32,8 +32,10 @@ END_ID = 0
 SHARD_PIECES = 50_000
 #: Dissolving a bin is given up after this many exchanges without emptying it.
 EXCHANGES = 400
-#: Receivers that are tried for each piece, nearest fit first.
+#: Receivers that are tried for each exchange, the emptiest first.
 RECEIVERS = 64
+#: Passes over the underfull bins; a pass without an exchange ends the search.
+PASSES = 10
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -127,28 +129,30 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> li
     """
     fill = [sum(lengths[i] for i in b) for b in bins]
     least = -(-sum(lengths) // capacity)
-    open_bins = sorted((b for b in range(len(bins)) if fill[b] < capacity), key=lambda b: (fill[b], b))
-    count = len(bins)
-    for donor in open_bins:
-        if count <= least:
-            break
-        for _ in range(EXCHANGES):
-            if not bins[donor]:
+    for _ in range(PASSES):
+        gained = False
+        open_bins = sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: (fill[b], b))
+        count = sum(map(bool, bins))
+        for donor in open_bins:
+            if count <= least:
                 break
-            near = sorted((b for b in open_bins if b != donor and fill[donor] <= fill[b] < capacity and bins[b]),
-                          key=lambda b: (-fill[b], b))[-RECEIVERS:]
-            for b in near:
-                if found := _exchange(bins[donor], bins[b], capacity - fill[b], lengths):
-                    give, take = found
-                    bins[donor] = [i for i in bins[donor] if i not in give] + take
-                    bins[b] = [i for i in bins[b] if i not in take] + give
-                    gain = sum(lengths[i] for i in give) - sum(lengths[i] for i in take)
-                    fill[donor] -= gain
-                    fill[b] += gain
+            for _ in range(EXCHANGES):
+                near = (b for b in open_bins if b != donor and bins[b] and fill[donor] <= fill[b] < capacity)
+                for b in sorted(near, key=lambda b: (fill[b], b))[:RECEIVERS] if bins[donor] else ():
+                    if found := _exchange(bins[donor], bins[b], capacity - fill[b], lengths):
+                        give, take = found
+                        bins[donor] = [i for i in bins[donor] if i not in give] + take
+                        bins[b] = [i for i in bins[b] if i not in take] + give
+                        gain = sum(lengths[i] for i in give) - sum(lengths[i] for i in take)
+                        fill[donor] -= gain
+                        fill[b] += gain
+                        gained = True
+                        break
+                else:
                     break
-            else:
-                break
-        count -= not bins[donor]
+            count -= not bins[donor]
+        if not gained:
+            break
     return [b for b in bins if b]
 
 
