@@ -9,8 +9,8 @@ import unicodedata
 
 import numpy as np
 
-#: Words kept per worker; the cache is emptied when it is full (about 120 MB).
-CACHE_WORDS = 700_000
+#: Words kept per worker; the cache is emptied when it is full (about 70 MB).
+CACHE_WORDS = 400_000
 #: Characters for which Python's case rules and classes are the tokenizer's own.
 PLAIN = "\t\n\r\x20-\x7e\xa0-įı-ſ"
 
