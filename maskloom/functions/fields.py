@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from maskloom.functions.hashing import md5_index, text_array
+from maskloom.functions.hashing import MAX_MODULUS, md5_index, text_array
 from maskloom.functions.pools import DEFAULT_CATEGORY, DEFAULT_POOLS, Pools
 
 FIELD_TYPES = ("name", "email", "country", "date", "amount", "description", "id", "category")
@@ -59,7 +59,8 @@ def mask_description(value: Column, category: Column | str | None = None, pools:
     """A merchant from the pool of the row's category; unknown and NULL categories use Default.
 
     The pools lie one after another in a single array. The value is hashed once, modulo the
-    least common multiple of the pool sizes, and reduced to the size of the chosen pool.
+    least common multiple of the pool sizes, and reduced to the size of the chosen pool; if that
+    multiple is too large, it is hashed modulo the chosen pool's size.
     """
     flat, spans = [], {}
     for key, words in pools.merchants.items():
@@ -82,9 +83,13 @@ def mask_description(value: Column, category: Column | str | None = None, pools:
         start = starts.otherwise(F.lit(default_start))
         for length, keys in sizes.items():
             size = F.when(category.isin(keys), F.lit(length)).otherwise(size)
-    common = math.lcm(*[len(words) for words in pools.merchants.values()])
-    index = md5_index(value, common)
-    return F.get(text_array(flat), start + index % size)
+    every = sorted({len(words) for words in pools.merchants.values()})
+    common = math.lcm(*every)
+    if common <= MAX_MODULUS:
+        index = md5_index(value, common) % size
+    else:  # one branch is taken, so a row still hashes its value once
+        index = F.coalesce(*[F.when(size == n, md5_index(value, n)) for n in every])
+    return F.get(text_array(flat), start + index)
 
 
 def derive_offset(salt: Column | str) -> Column:

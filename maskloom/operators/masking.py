@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskloom.functions import fields
-from maskloom.functions.hashing import md5_index, text_array
+from maskloom.functions.hashing import MAX_MODULUS, md5_index, text_array
 from maskloom.functions.pools import DEFAULT_CATEGORY, DEFAULT_POOLS, Pools
 from maskloom.operators.policy import PolicyEntry, as_entries
 from maskloom.session import column
@@ -65,7 +65,8 @@ def mask_values(
 
     Inside a branch per type nothing is shared, so a row would hash its value several times. The
     value is hashed once ahead of the branches, modulo the least common multiple of the pool
-    sizes, and only in rows whose type needs it.
+    sizes, and only in rows whose type needs it. Where that multiple is too large, each branch
+    hashes its values modulo its own pool's size.
     """
     text, kind = column(value), column(field_type)
     offset, multiplier = fields.derive_offset(salt), fields.derive_multiplier(salt)
@@ -77,16 +78,21 @@ def mask_values(
         "description": pools.merchants[DEFAULT_CATEGORY],
     }
     common = math.lcm(*[len(pool) for pool in pooled.values()])
+    shared = common <= MAX_MODULUS
     hashed = df.withColumns(
         {
-            INDEX: md5_index(F.when(kind.isin(*pooled), text), common),
+            INDEX: md5_index(F.when(kind.isin(*pooled), text), common if shared else 1),
             DOMAIN_INDEX: md5_index(F.when(kind == "email", F.concat(text, F.lit(":domain"))), len(pools.email_domains)),
         }
     )
-    picked = {t: F.get(text_array(pool), F.col(INDEX) % len(pool)) for t, pool in pooled.items()}
+    picked = {
+        t: F.get(text_array(pool), F.col(INDEX) % len(pool) if shared else md5_index(text, len(pool))) for t, pool in pooled.items()
+    }
     picked["email"] = F.concat(picked["email"], F.lit("@"), F.get(text_array(pools.email_domains), F.col(DOMAIN_INDEX)))
     picked["date"] = fields.keep_on_error(fields.mask_date(text, offset), text, on_error)
     picked["amount"] = fields.keep_on_error(fields.mask_amount(text, multiplier, False), text, on_error)
+    for kind_of in ("date", "amount"):
+        picked[kind_of] = _with_salt(picked[kind_of], text, salt)
     picked["id"] = text
     unknown = F.concat(F.lit("unsupported field type: "), F.coalesce(kind, F.lit("NULL")))
     masked = reduce(lambda chain, t: chain.when(kind == t, picked[t]), fields.FIELD_TYPES, F)
@@ -94,6 +100,14 @@ def mask_values(
     return hashed.select(*[masked.alias(c) if c == value else column(c) for c in df.columns])
 
 
+def _with_salt(masked: Column, value: Column, salt: Column | str) -> Column:
+    """An error in rows that have a value but no salt; kept, the value would leave unmasked."""
+    if isinstance(salt, str):
+        return masked
+    missing = value.isNotNull() & (F.coalesce(salt.cast("string"), F.lit("")) == "")
+    return F.when(missing, F.raise_error(F.lit("a date or amount without a salt"))).otherwise(masked)
+
+
 def _is_numeric(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, T.NumericType)
 
@@ -145,7 +159,7 @@ def mask_side_by_side(
         )
         if entry.field_type in ("date", "amount"):
             original = source if _is_numeric(df, entry.column) else source.cast("string")
-            masked = fields.keep_on_error(masked, original, on_error)
+            masked = _with_salt(fields.keep_on_error(masked, original, on_error), source, salt)
         pending[entry.column + MASKED] = masked
         done.add(entry.column)
     return df.withColumns(pending) if pending else df

@@ -14,22 +14,54 @@ from maskloom.operators.policy import policy_entries, policy_table_read, policy_
 from maskloom.session import column, scratch_path, tune
 from maskloom.sources.tables import anon_path, csv_scan, csv_sink, parquet_scan, parquet_sink
 
-FILE_NAME = "__file_name"
 OUTPUT_NAME = "output_name"
 
 
-def mask_csv(spark: SparkSession, path: str | list[str], policy, output: str, *, multi_line: bool | None = None, **kwargs) -> None:
+def mask_csv(spark: SparkSession, path: str | list[str], policy, output: str, *, multi_line: bool | None = None, **kwargs) -> str:
     """Mask any number of CSV files in one job, each with the salt of its own name.
 
-    The output folder gets one folder per input file, named like ``x_ANON.csv``. ``policy`` is a
-    mapping, a list of entries, or the path of a TOML or YAML file.
+    The output folder gets one folder per input file, named like ``x_ANON.csv``, or like
+    ``folder/x_ANON.csv`` (with an escaped slash) below the folder that all inputs share. The
+    column of these names is returned: ``output_name``, lengthened where the data has it already.
+    ``policy`` is a mapping, a list of entries, or the path of a TOML or YAML file.
     """
     if isinstance(policy, (str, Path)):
         policy = read_policy_file(policy)
-    df = csv_scan(tune(spark), path, multi_line=multi_line, file_name=FILE_NAME)
-    masked = mask_table(df, policy, column(FILE_NAME), **kwargs)
-    named = masked.withColumn(OUTPUT_NAME, anon_path(column(FILE_NAME))).drop(FILE_NAME)
-    csv_sink(named, output, by_file=OUTPUT_NAME)
+    plain = csv_scan(tune(spark), path, multi_line=multi_line).columns
+    taken = list(plain)
+    for wanted in (OUTPUT_NAME, "__file_name", "__file_path"):
+        name = wanted
+        while name.lower() in {c.lower() for c in taken}:
+            name += "_"
+        taken.append(name)
+    output_name, file_name, file_path = taken[-3:]
+    df = csv_scan(spark, path, multi_line=multi_line, file_name=file_name, file_path=file_path)
+    masked = mask_table(df, policy, column(file_name), **kwargs)
+    below = F.regexp_replace(column(file_path), "^file:/+", "file:/").substr(F.lit(len(_shared_folder(spark, path)) + 2), F.length(column(file_path)))
+    csv_sink(masked.withColumn(output_name, anon_path(below)).drop(file_name, file_path), output, by_file=output_name)
+    return output_name
+
+
+def _shared_folder(spark: SparkSession, path: str | list[str]) -> str:
+    """The folder above all inputs, without a closing slash."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    folders = []
+    for one in [path] if isinstance(path, str) else path:
+        place = hadoop.Path(one)
+        system = place.getFileSystem(conf)
+        parts = system.makeQualified(place).toString().split("/")
+        wild = next((i for i, part in enumerate(parts) if any(c in part for c in "*?[{")), None)
+        if wild is not None:
+            parts = parts[:wild]
+        elif system.getFileStatus(place).isFile():
+            parts = parts[:-1]
+        folders.append([x for i, x in enumerate(parts) if x or i == 1 and not parts[0].startswith("file:")])
+    shared = []
+    for level in zip(*folders, strict=False):
+        if len(set(level)) > 1:
+            break
+        shared.append(level[0])
+    return "/".join(shared)
 
 
 def propose_policy(spark: SparkSession, df: DataFrame, path: str, threshold: float = detect.THRESHOLD, **kwargs) -> DataFrame:

@@ -28,15 +28,21 @@ def csv_scan(
     multi_line: bool | None = None,
     na_tokens=NA_TOKENS,
     mode: str = "PERMISSIVE",
+    surplus: str = "error",
     file_name: str | None = None,
+    file_path: str | None = None,
 ) -> DataFrame:
     """Read CSV files with a header as text columns.
 
     ``multi_line`` allows line breaks inside quotes, but then one file is one task; without them
     big files are split. By default the files are searched for such breaks first, in a scan of
     their lines that is itself split. ``na_tokens`` become NULL (pass
-    none to keep the text). ``file_name`` adds the decoded name of each row's file.
+    none to keep the text). Short records are filled up with NULL. A record with more fields than
+    the header is an error that names its file, unless ``surplus`` is ``"drop"``. ``file_name`` and
+    ``file_path`` add the decoded name and path of each row's file.
     """
+    if surplus not in ("error", "drop"):
+        raise ValueError(f"surplus is 'error' or 'drop', not {surplus!r}")
     if multi_line is None:
         multi_line = has_quoted_breaks(spark, path)
     options = {"multiLine": multi_line, "escape": '"', "mode": mode, "encoding": "UTF-8"}
@@ -50,12 +56,56 @@ def csv_scan(
     # Unique names let Spark check every file's header against the schema: files whose columns
     # stand in another order would otherwise be masked under the wrong rule.
     enforce = names != titles
-    df = spark.read.options(header=True, enforceSchema=enforce, **options).schema(schema).csv(path)
+    if enforce:
+        _check_headers(spark, path)
+    reader = spark.read.options(header=True, enforceSchema=enforce, **options)
+    if surplus == "error" and mode == "PERMISSIVE":
+        record = _unused("_record", names)
+        whole = T.StructType([*schema.fields, T.StructField(record, T.StringType())])
+        reader = reader.options(columnNameOfCorruptRecord=record, columnPruning=False)
+        df = reader.schema(whole).csv(path).where(_without_surplus(record, names)).drop(record)
+    else:
+        df = reader.schema(schema).csv(path)
     if file_name is not None:
-        df = df.select("*", file_name_column().alias(file_name))
+        df = df.withColumn(file_name, file_name_column())
+    if file_path is not None:
+        df = df.withColumn(file_path, _decoded("_metadata.file_path"))
     return csv_na_normalise(df, na_tokens, names) if na_tokens else df
 
 
+def _unused(name: str, taken: list[str]) -> str:
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
+def _without_surplus(record: str, names: list[str]) -> Column:
+    """True, or an error where a malformed record has more fields than ``names``.
+
+    Spark keeps the text of records that are too short or too long; the separators that stand
+    outside quotes tell which. A doubled quote ends one quoted part and begins the next.
+    """
+    bare = F.regexp_replace(column(record), '"[^"]*"', "")
+    separators = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit("")))
+    # Spark refuses to read the text alone, so the (empty) beginning of a column is read with it.
+    nothing = F.substring(F.coalesce(column(names[0]), F.lit("")), 1, 0)
+    problem = F.concat(F.lit("surplus fields in "), _decoded("_metadata.file_path"), F.lit(": "), column(record), nothing)
+    surplus = column(record).isNotNull() & (separators >= len(names))
+    return F.when(surplus, F.raise_error(problem).cast("boolean")).otherwise(F.lit(True))
+
+
+def _check_headers(spark: SparkSession, path: str | list[str]) -> None:
+    """Spark can't check headers with repeated or blank names: the first lines of all files must be equal."""
+    lines = spark.read.text(path).select(
+        "value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line")
+    )
+    first = lines.where("file_block_start = 0").groupBy("file_path").agg(F.min_by("value", "line").alias("header"))
+    header = F.regexp_replace("header", "^\ufeff|\r$", "")
+    found = first.groupBy(header.alias("header")).agg(F.min("file_path").alias("file")).limit(2).collect()
+    if len(found) > 1:
+        raise ValueError(f"headers differ, and names are repeated or blank: {found[0].file} and {found[1].file}")
+
+
 def has_quoted_breaks(spark: SparkSession, path: str | list[str]) -> bool:
     """Whether any line has an odd number of quotes, as one cut inside a quoted value does.
 
@@ -67,15 +117,20 @@ def has_quoted_breaks(spark: SparkSession, path: str | list[str]) -> bool:
 
 
 def distinct_names(header: list[str | None]) -> list[str]:
-    """Header names with repeats numbered ``a``, ``a.1`` and blanks named by position."""
+    """Header names with repeats numbered ``a``, ``a.1`` and blanks named by position.
+
+    Names that differ in case only are numbered too, as Spark takes them for one.
+    """
     names: list[str] = []
+    taken: set[str] = set()
     for position, name in enumerate(header):
         base = name or f"Unnamed: {position}"
         candidate, repeat = base, 0
-        while candidate in names:
+        while candidate.lower() in taken:
             repeat += 1
             candidate = f"{base}.{repeat}"
         names.append(candidate)
+        taken.add(candidate.lower())
     return names
 
 
@@ -90,10 +145,12 @@ def csv_na_normalise(df: DataFrame, na_tokens=NA_TOKENS, columns: list[str] | No
 def csv_sink(df: DataFrame, path: str, *, by_file: str | None = None, mode: str = "errorifexists") -> None:
     """Write CSV with a header, NULL and empty text both as nothing, quotes doubled.
 
+    In a table of one column they are written as ``""``, as an empty line is no record.
     ``by_file`` names a column with one output name per input file; each gets its own folder.
     """
+    nothing = '""' if len([c for c in df.columns if c != by_file]) == 1 else ""
     writer = df.write.mode(mode).options(
-        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue=""
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue=nothing, nullValue=nothing
     )
     if by_file is not None:
         writer = writer.partitionBy(by_file)
@@ -101,9 +158,13 @@ def csv_sink(df: DataFrame, path: str, *, by_file: str | None = None, mode: str
 
 
 def file_name_column() -> Column:
-    """The name of each row's file; the metadata column is percent-encoded except for ``+``."""
-    encoded = F.col("_metadata.file_name")
-    return F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B")))
+    """The name of each row's file."""
+    return _decoded("_metadata.file_name")
+
+
+def _decoded(name: str) -> Column:
+    """Metadata columns are percent-encoded except for ``+``."""
+    return F.url_decode(F.replace(F.col(name), F.lit("+"), F.lit("%2B")))
 
 
 def anon_path(path: Column) -> Column:

@@ -162,3 +162,10 @@ def test_report_is_counted_during_the_write(spark, masked):
     path = scratch_path(spark, "report")
     got = A.run_report(masked, POLICY, ["row_key", "kind"], path).first()
     assert tuple(got) == (7, 5, "row_key, kind") and spark.read.parquet(path).count() == 5
+
+
+def test_null_mask_counts_keys_it_cannot_compare(spark):
+    original = spark.createDataFrame([("k", None), ("k", "a"), ("m", "b")], "row_key STRING, who STRING")
+    masked = spark.createDataFrame([("k", "x"), ("k", "b")], "row_key STRING, who STRING")
+    [row] = A.audit_null_mask(A.pair_tables(original, masked, "row_key", ["who"]), ["who"]).collect()
+    assert row.violations == 2 and not row.ok

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
-from maskloom.functions.pools import MERCHANTS
+from maskloom.functions.pools import DEFAULT_POOLS, MERCHANTS
 from maskloom.operators.masking import mask_column, mask_side_by_side, mask_table, mask_value, mask_values
 
 
@@ -162,3 +165,22 @@ def test_side_by_side_keeps_the_originals(card_payments, card_policy):
     assert pairs.select(*[f"`{c}`" for c in card_payments.columns]).collect() == card_payments.collect()
     with pytest.raises(ValueError):
         mask_side_by_side(pairs, card_policy, "test.csv")
+
+
+def test_a_missing_salt_is_an_error_in_rows_with_a_value(spark):
+    df = spark.createDataFrame([(None, None), ("01/01/2025", "f")], "day STRING, file STRING")
+    assert mask_table(df, {"day": "date"}, F.col("file")).count() == 2
+    for salt in (None, ""):
+        bad = spark.createDataFrame([("01/01/2025", salt)], "day STRING, file STRING")
+        with pytest.raises(Exception, match="without a salt"):
+            mask_table(bad, {"day": "date"}, F.col("file")).collect()
+
+
+def test_pools_of_any_size(spark):
+    sizes = dict(zip([k for k in DEFAULT_POOLS.merchants], range(101, 150, 4)))
+    pools = replace(DEFAULT_POOLS, merchants={k: [f"{k}{i}" for i in range(n)] for k, n in sizes.items()})
+    keys = list(sizes)
+    df = spark.createDataFrame([(f"shop {i}", keys[i % len(keys)]) for i in range(60)], "what STRING, kind STRING")
+    policy = {"what": {"type": "description", "category_column": "kind"}}
+    for i, r in enumerate(mask_table(df, policy, pools=pools).collect()):
+        assert r.what == f"{r.kind}{int(hashlib.md5(f'shop {i}'.encode()).hexdigest(), 16) % sizes[r.kind]}"

@@ -64,9 +64,46 @@ def test_files_whose_columns_are_ordered_otherwise_are_refused(spark, tmp_path):
 def test_short_and_long_rows(spark, tmp_path):
     path = tmp_path / "in.csv"
     path.write_text("a,b\n1\n1,2,3\n")
-    assert [tuple(r) for r in tables.csv_scan(spark, str(path)).collect()] == [("1", None), ("1", "2")]
+    with pytest.raises(Exception, match="surplus fields in .*in.csv: 1,2,3"):
+        tables.csv_scan(spark, str(path)).select("a").collect()
+    assert [tuple(r) for r in tables.csv_scan(spark, str(path), surplus="drop").collect()] == [("1", None), ("1", "2")]
     with pytest.raises(Exception):
         tables.csv_scan(spark, str(path), mode="FAILFAST").collect()
+    path.write_text("a,b\n1\n3,4\n\"x,y\"\n")
+    assert [tuple(r) for r in tables.csv_scan(spark, str(path)).collect()] == [("1", None), ("3", "4"), ("x,y", None)]
+    path.write_text("a,b\n1,2,,4\n")
+    with pytest.raises(Exception, match="surplus fields"):
+        tables.csv_scan(spark, str(path)).count()
+
+
+def test_names_that_differ_in_case_only(spark, tmp_path):
+    path = tmp_path / "in.csv"
+    path.write_text("Name,name\nx,y\n")
+    df = tables.csv_scan(spark, str(path))
+    assert df.columns == ["Name", "name.1"] and tuple(df.first()) == ("x", "y")
+
+
+def test_other_order_with_repeated_names_is_refused(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("id,name,x,x\n1,Ann,2,3\n")
+    (tmp_path / "y.csv").write_text("name,id,x,x\nBob,2,3,4\n")
+    with pytest.raises(ValueError, match="headers differ"):
+        tables.csv_scan(spark, str(tmp_path))
+
+
+def test_one_column_keeps_its_empty_rows(spark, tmp_path):
+    rows, out = [("a",), (None,), ("",), ("b",)], str(tmp_path / "out")
+    tables.csv_sink(spark.createDataFrame(rows, "v STRING").coalesce(1), out)
+    assert [r.v for r in tables.csv_scan(spark, out).collect()] == ["a", None, None, "b"]
+
+
+def test_files_of_one_name_and_a_column_called_like_the_output(spark, tmp_path):
+    out = str(tmp_path / "out")
+    for folder, word in (("p", "Ann"), ("q", "Bob")):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "x.csv").write_text(f"name,output_name\n{word},{folder}\n")
+    by = jobs.mask_csv(spark, str(tmp_path / "in" / "*"), {"name": "name"}, out)
+    done = {r[by]: r["output_name"] for r in spark.read.csv(out, header=True).collect()}
+    assert by == "output_name_" and done == {"p/x_ANON.csv": "p", "q/x_ANON.csv": "q"}
 
 
 def test_csv_out(spark, tmp_path):
