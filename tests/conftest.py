@@ -32,7 +32,7 @@ def policy():
 
 @pytest.fixture
 def small(spark):
-    return people(spark, [(f"Person {i}", f"person{i}@example.com", "US") for i in range(100)])
+    return people(spark, [(f"Guest {i:03d}", f"guest.{i}@mail.test", "NZ") for i in range(100)])
 
 
 @pytest.fixture
@@ -40,11 +40,11 @@ def with_nulls(spark):
     return people(
         spark,
         [
-            (None, "test@example.com", "US"),
-            ("John", None, "US"),
-            ("Jane", "jane@example.com", None),
+            ("Ivo Brandt", None, "PT"),
+            (None, "lena@mail.test", "NO"),
+            ("Mara Lind", "mara@mail.test", None),
+            ("Otto Falk", "otto@mail.test", "CL"),
             (None, None, None),
-            ("Alice", "alice@example.com", "DE"),
         ],
     )
 
@@ -54,19 +54,19 @@ def colliding(spark):
     return people(
         spark,
         [
-            ("John Smith", "john@example.com", "US"),
-            ("John Smith", "john@example.com", "US"),
-            ("John Smith", "john1@example.com", "US"),
-            ("John Smith", "john2@example.com", "US"),
-            ("Jane Smith", "contact@example.com", "US"),
-            ("James Smith", "contact@example.com", "US"),
+            ("Nia Okafor", "nia@mail.test", "GH"),
+            ("Nia Okafor", "nia@mail.test", "GH"),
+            ("Nia Okafor", "nia.o@mail.test", "GH"),
+            ("Nia Okafor", "okafor@mail.test", "GH"),
+            ("Tom Okafor", "desk@mail.test", "GH"),
+            ("Ada Okafor", "desk@mail.test", "GH"),
         ],
     )
 
 
 @pytest.fixture
 def scripts(spark):
-    names = ["José", "Jose", "François", "Müller", "Søren", "李明", "محمد", "Владимир", "田中 Tanaka", "José María", "John😀"]
+    names = ["Zoë", "Zoe", "Åsa", "Győző", "Łukasz", "王芳", "فاطمة", "Ольга", "鈴木 Suzuki", "Zoë Łukasz", "Mia🎈"]
     return people(spark, [(n, f"user{i}@example.org", "ES") for i, n in enumerate(names)])
 
 
@@ -74,9 +74,9 @@ def scripts(spark):
 def card_payments(spark):
     return spark.createDataFrame(
         [
-            ("01/15/2025", "125.50", "DELTA AIRLINES", "Travel"),
-            ("02/20/2025", "-42.00", "REFUND - AMAZON", "Shopping"),
-            ("03/10/2025", "8.99", "STARBUCKS", "Food & Drink"),
+            ("06/03/2024", "310.20", "NORTHERN FERRIES", "Travel"),
+            ("07/28/2024", "-19.75", "RETURN CORNER BOOKS", "Shopping"),
+            ("11/09/2024", "6.40", "BEAN AND LEAF", "Food & Drink"),
         ],
         "`Transaction Date` STRING, Amount STRING, Description STRING, Category STRING",
     )

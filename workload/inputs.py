@@ -160,10 +160,10 @@ def policy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ANSWERS = [
-    '{"type": "email", "confidence": 0.95}',
+    '{"type": "email", "confidence": 0.91}',
     '{"type": null, "confidence": 0.3}',
-    '{"type": "address", "confidence": 0.92}',
-    "not valid json {{",
+    '{"type": "planet", "confidence": 0.88}',
+    "type=email; sure",
     '{"type": "name"}',
     '{"type": "name", "confidence": null}',
     '{"type": "date", "confidence": "0.75"}',

@@ -11,6 +11,7 @@ from maskloom.functions.pools import COUNTRIES
 from maskloom.operators import audit, detect, generate, messiness, policy
 from maskloom.operators.masking import mask_column, mask_side_by_side, mask_table, mask_values
 from maskloom.operators.selection import by_count
+from maskloom.plans import jobs
 from maskloom.session import scratch_path
 from maskloom.sources import tables
 from maskloom.streaming.stream import mask_stream
@@ -59,6 +60,17 @@ def csv_scan(spark, sf_dir) -> DataFrame:
     return tables.csv_scan(spark, path)
 
 
+@query
+def mask_csv(spark, sf_dir) -> DataFrame:
+    """The whole job over many files in two folders: CSV in, masked by policy, CSV out."""
+    path = scratch_path(spark, "mask_csv")
+    people = inputs.customers(spark, sf_dir).select("row_key", "name", "email", "country", "segment")
+    half = F.pmod(F.col("row_key").cast("bigint"), F.lit(2))
+    tables.csv_sink(people.withColumn("half", half), f"{path}/in", by_file="half")
+    jobs.mask_csv(spark, f"{path}/in/*", CUSTOMER_POLICY, f"{path}/out")
+    return tables.csv_scan(spark, f"{path}/out").select(*people.columns)
+
+
 @query
 def csv_na_normalise(spark, sf_dir) -> DataFrame:
     return tables.csv_na_normalise(inputs.null_words(spark, sf_dir))

@@ -483,6 +483,8 @@ def _sql() -> dict[str, str]:
     out["mask_column"] = f"SELECT row_key, {name('name')} AS name, email FROM ({CUSTOMERS})"
     out["mask_table"] = WITH_PAYMENTS + "SELECT * FROM m"
     out["mask_table_customers"] = WITH_CUSTOMERS + "SELECT * FROM m"
+    out["mask_csv"] = WITH_CUSTOMERS + """
+    SELECT row_key, CASE WHEN CAST(row_key AS BIGINT) % 11 <> 0 THEN name END AS name, email, country, segment FROM m"""
     out["mask_table_category_first"] = f"""
     SELECT row_key, {category('category')} AS category, {description('description')} AS description FROM ({PAYMENTS})"""
     file_sql = "(priority || '.csv')"
@@ -517,7 +519,7 @@ def _sql() -> dict[str, str]:
     out["parse_classification"] = """
     SELECT o_orderkey,
            CASE o_orderkey % 9 WHEN 0 THEN 'email' WHEN 4 THEN 'name' WHEN 6 THEN 'date' END AS type,
-           CASE o_orderkey % 9 WHEN 0 THEN 0.95::DOUBLE WHEN 1 THEN 0.3::DOUBLE WHEN 6 THEN 0.75::DOUBLE ELSE 0.0::DOUBLE END
+           CASE o_orderkey % 9 WHEN 0 THEN 0.91::DOUBLE WHEN 1 THEN 0.3::DOUBLE WHEN 6 THEN 0.75::DOUBLE ELSE 0.0::DOUBLE END
              AS confidence FROM orders"""
     out["detect_accuracy"] = f"""
     WITH scored AS (
