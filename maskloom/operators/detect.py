@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from maskloom.functions.fields import FIELD_TYPES
 from maskloom.functions.hashing import hash_of
+from maskloom.operators.policy import FORMATS_BETWEEN
 from maskloom.session import column
 
 # The sample rule and the default threshold.
@@ -71,12 +72,20 @@ COUNTRY_WORDS = tuple(
 
 EMAIL_SHAPE = r"^[^@\s]+@[^@\s]+\.[^@\s]+\z"
 SLASH_DATE_SHAPE = r"^\d{1,2}/\d{1,2}/\d{4}\z"
-ISO_DATE_SHAPE = r"^\d{4}-\d{2}-\d{2}\z"
+# Dates in other patterns than masking reads by itself; the patterns found travel with the policy.
+DATE_SHAPES = {
+    "yyyy-MM-dd": r"^\d{4}-\d{2}-\d{2}\z",
+    "dd.MM.yyyy": r"^\d{2}\.\d{2}\.\d{4}\z",
+    "yyyy/MM/dd": r"^\d{4}/\d{2}/\d{2}\z",
+}
 ID_SHAPE = r"^([A-Z]{2,4}-\d{3,}|\d{3}-\d{2}-\d{4})\z"
 AMOUNT_SHAPE = r"^-?\d+(\.\d+)?\z"
 NOTE_IN_BRACKETS = r" ?\(.*\)\z"
 CATEGORY_SHAPE = r"^[^\s\d@#*./]{1,12}\z"
-CATEGORY_DISTINCT_MAX = 26
+# A column of labels repeats itself: at most so many different values, or such a share of a larger sample.
+CATEGORY_DISTINCT_MAX, CATEGORY_DISTINCT_SHARE = 26, 0.52
+# Whole numbers that hardly repeat are keys rather than money; scaled, they would no longer join.
+KEY_DISTINCT_SHARE, KEY_CONFIDENCE_MAX = 0.9, 0.5
 # A capital or, in scripts without case, any letter starts each word.
 NAME_SHAPE = r"^[\p{Lu}\p{Lo}][\p{Ll}\p{Lo}\p{M}]*\.?( [\p{Lu}\p{Lo}]['\p{L}\p{M}-]*\.?)+\z"
 DESCRIPTION_SHAPE = r"\p{Lu}.*([#*\d./]|\p{Lu}{2})"
@@ -87,24 +96,34 @@ TYPE_ORDER = ("email", "date", "id", "amount", "country", "category", "name", "d
 FITS = 0.8
 
 
-def sample_size(values: int, share: float = SAMPLE_SHARE_MIN) -> int:
+def sample_size(values: int, share: float = SAMPLE_SHARE_MIN, most: int = SAMPLE_MAX) -> int:
     share = max(SAMPLE_SHARE_MIN, min(SAMPLE_SHARE_MAX, share))
-    return min(values, max(1, int(values * share)), SAMPLE_MAX)
+    return min(values, max(1, int(values * share)), most)
 
 
 def sample_column(
-    df: DataFrame, columns: list[str] | None = None, share: float = SAMPLE_SHARE_MIN, row_key: str | None = None
+    df: DataFrame,
+    columns: list[str] | None = None,
+    share: float = SAMPLE_SHARE_MIN,
+    row_key: str | None = None,
+    most: int = SAMPLE_MAX,
 ) -> DataFrame:
     """``position, column, rn, value``: a sample of each column's non-null values, as text.
 
-    Rows are ranked by a hash of ``row_key``, or of the whole row where there is no key; equal
-    rows then tie, and any of them gives the same value.
+    ``most`` bounds the values per column. Rows are ranked by a hash of ``row_key``. Where there is
+    no key, the row's place in the table is hashed too, so that equal rows are drawn as often as
+    they stand there; the sample is then the same only where the table is read in the same splits.
+    The first scan, which counts the values, runs when this is called.
     """
     columns = columns if columns is not None else [c for c in df.columns if c != row_key]
-    key = [column(row_key)] if row_key else [column(c) for c in df.columns]
-    hashed = df.select(hash_of(*key).alias(HASH), *[_as_text(df, c).alias(c) for c in columns])
-
-    limits = _limits(hashed, columns, share)
+    key = [column(row_key)] if row_key else [*[column(c) for c in df.columns], F.monotonically_increasing_id()]
+    texts = {c: _as_text(df, c) for c in columns}
+    hashed = df.select(hash_of(*key).alias(HASH), *[text.alias(c) for c, text in texts.items()])
+
+    if row_key:
+        limits = _limits(hashed, columns, share, most)
+    else:
+        limits = _likely_limits(df.select(*[text.alias(c) for c, text in texts.items()]), columns, share, most)
     if not limits:
         return df.sparkSession.createDataFrame([], SAMPLE_SCHEMA)
     # One branch per threshold, at most five: it reads the columns of that threshold alone. A single
@@ -126,7 +145,7 @@ def sample_column(
     long = reduce(DataFrame.unionAll, branches)
     ranked = long.withColumn("rn", F.row_number().over(Window.partitionBy("position", "column").orderBy(HASH, "value")))
     # The literal bound is what lets Spark drop rows before the shuffle.
-    return ranked.where(F.col("rn") <= SAMPLE_MAX).where(F.col("rn") <= F.col("size")).select(
+    return ranked.where(F.col("rn") <= most).where(F.col("rn") <= F.col("size")).select(
         "position", "column", "rn", "value"
     )
 
@@ -141,7 +160,7 @@ def _as_text(df: DataFrame, name: str) -> Column:
 SAMPLE_SCHEMA = "position INT, column STRING, rn INT, value STRING"
 
 
-def _limits(hashed: DataFrame, columns: list[str], share: float) -> dict[str, tuple[str, int]]:
+def _limits(hashed: DataFrame, columns: list[str], share: float, most: int) -> dict[str, tuple[str, int]]:
     """Per column with values: the hash prefix whose rows hold the whole sample, and its size."""
     row = hashed.agg(
         *[
@@ -152,13 +171,35 @@ def _limits(hashed: DataFrame, columns: list[str], share: float) -> dict[str, tu
     ).first()
     limits = {}
     for i, c in enumerate(columns):
-        size = sample_size(row[f"n{i}_0"], share)
+        size = sample_size(row[f"n{i}_0"], share, most)
         if size:
             zeros = next(z for z in ZERO_STEPS if row[f"n{i}_{z}"] >= size)
             limits[c] = ("0" * zeros, size)
     return limits
 
 
+def _likely_limits(values: DataFrame, columns: list[str], share: float, most: int) -> dict[str, tuple[str, int]]:
+    """The same where the hashes of two scans may differ: the values are counted, the prefix follows.
+
+    Ten times the sample, and at least 500 rows, are expected below the prefix; with hashes spread
+    evenly, fewer rows than the sample occur less than once in 10^150 tables.
+    """
+    row = values.agg(*[F.count(column(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    limits = {}
+    for i, c in enumerate(columns):
+        size = sample_size(row[f"n{i}"], share, most)
+        if size:
+            zeros = next((z for z in ZERO_STEPS if row[f"n{i}"] / 16**z >= 10 * max(size, SAMPLE_MAX)), 0)
+            limits[c] = ("0" * zeros, size)
+    return limits
+
+
+def _dates() -> dict[str, Column]:
+    """Whether a value is a date, per pattern."""
+    value = F.col("value")
+    return {p: F.try_to_date(F.when(value.rlike(shape), value), p).isNotNull() for p, shape in DATE_SHAPES.items()}
+
+
 def _matches(countries) -> dict[str, Column]:
     value = F.col("value")
     # Codes count in capitals only, names in any case.
@@ -167,10 +208,9 @@ def _matches(countries) -> dict[str, Column]:
     # "Slovakia (Slovak Republic)" counts as Slovakia.
     short = F.lower(F.regexp_replace(value, NOTE_IN_BRACKETS, ""))
     slash = F.try_to_date(F.when(value.rlike(SLASH_DATE_SHAPE), value), "M/d/yyyy")
-    iso = F.try_to_date(F.when(value.rlike(ISO_DATE_SHAPE), value), "yyyy-MM-dd")
     return {
         "email": value.rlike(EMAIL_SHAPE),
-        "date": slash.isNotNull() | iso.isNotNull(),
+        "date": reduce(Column.__or__, _dates().values(), slash.isNotNull()),
         "id": value.rlike(ID_SHAPE),
         "amount": value.rlike(AMOUNT_SHAPE),
         "country": value.isin(codes) | short.isin(names),
@@ -181,30 +221,51 @@ def _matches(countries) -> dict[str, Column]:
 
 
 def classify_columns(
-    sample: DataFrame, countries=COUNTRY_WORDS, scorer: Callable | None = None
+    sample: DataFrame,
+    countries=COUNTRY_WORDS,
+    scorer: Callable | None = None,
+    category_share: float = CATEGORY_DISTINCT_SHARE,
 ) -> DataFrame:
-    """``position, column, type, confidence`` per sampled column.
+    """``position, column, type, confidence, formats`` per sampled column.
 
     The confidence is the share of sample values that fit the type. The first type that fits
-    four fifths wins, else the best fit; a column nothing fits has no type. ``scorer`` replaces
-    the rules: a pandas function from the rows of one column (at most 50) to one such row.
+    four fifths wins, else the best fit; a column nothing fits has no type. ``formats`` names the
+    patterns, beyond ``MM/dd/yyyy``, in which dates of the sample are written. ``category_share``
+    is the share of different values up to which short words are labels, beyond the 26 that any
+    sample may hold. ``scorer`` replaces the rules: a pandas function from the sample of one column
+    to one row without ``formats``.
     """
     if scorer is not None:
-        return sample.groupBy("position", "column").applyInPandas(
+        scored = sample.groupBy("position", "column").applyInPandas(
             scorer, "position INT, column STRING, type STRING, confidence DOUBLE"
         )
+        return scored.withColumn("formats", F.lit(None).cast("string"))
+    patterns = _dates()
     shares = sample.groupBy("position", "column").agg(
         *[F.avg(match.cast("double")).alias(name) for name, match in _matches(countries).items()],
+        *[F.bool_or(match).alias(f"pattern_{i}") for i, match in enumerate(patterns.values())],
         F.size(F.collect_set("value")).alias("distinct"),
+        F.count(F.lit(1)).alias("size"),
+        F.count_if(F.col("value").contains(".")).alias("decimals"),
+    )
+    labels = F.col("distinct") <= F.greatest(F.lit(float(CATEGORY_DISTINCT_MAX)), F.col("size") * F.lit(float(category_share)))
+    keys = (F.col("decimals") == 0) & (F.col("distinct") >= F.col("size") * F.lit(KEY_DISTINCT_SHARE))
+    shares = shares.withColumns(
+        {
+            "category": F.when(labels, F.col("category")).otherwise(F.lit(0.0)),
+            "amount": F.when(keys, F.least("amount", F.lit(KEY_CONFIDENCE_MAX))).otherwise(F.col("amount")),
+        }
     )
-    few = F.when(F.col("distinct") <= CATEGORY_DISTINCT_MAX, F.col("category")).otherwise(F.lit(0.0))
-    shares = shares.withColumn("category", few)
     best = F.greatest(*[F.col(t) for t in TYPE_ORDER])
     fitting = [F.col(t) >= FITS for t in TYPE_ORDER]
     closest = [(F.col(t) == best) & (best > 0) for t in TYPE_ORDER]
     winner = F.coalesce(*[F.when(test, F.lit(t)) for tests in (fitting, closest) for test, t in zip(tests, TYPE_ORDER)])
     confidence = F.coalesce(*[F.when(test, F.col(t)) for test, t in zip(fitting, TYPE_ORDER)], best)
-    return shares.select("position", "column", winner.alias("type"), confidence.alias("confidence"))
+    listed = F.concat_ws(FORMATS_BETWEEN, *[F.when(F.col(f"pattern_{i}"), F.lit(p)) for i, p in enumerate(patterns)])
+    formats = F.when((winner == "date") & (listed != ""), listed)
+    return shares.select(
+        "position", "column", winner.alias("type"), confidence.alias("confidence"), formats.alias("formats")
+    )
 
 
 def parse_classification(answers: DataFrame, answer: str) -> DataFrame:
@@ -245,24 +306,27 @@ def detect_columns(
     columns: list[str] | None = None,
     countries=COUNTRY_WORDS,
     scorer: Callable | None = None,
+    most: int = SAMPLE_MAX,
+    category_share: float = CATEGORY_DISTINCT_SHARE,
 ) -> DataFrame:
-    """``position, column, type, confidence, status``, one row for every column of the table."""
+    """``position, column, type, confidence, formats, status``, one row for every column of the table."""
     columns = columns if columns is not None else [c for c in df.columns if c != row_key]
-    classified = classify_columns(sample_column(df, columns, row_key=row_key), countries, scorer)
+    sample = sample_column(df, columns, row_key=row_key, most=most)
+    classified = classify_columns(sample, countries, scorer, category_share)
     # One row per column of the schema.
     listed = df.sparkSession.createDataFrame(
         [(position, name) for position, name in enumerate(columns)], "position INT, column STRING"
     )
     full = listed.join(classified.drop("column"), "position", "left")
     return split_by_confidence(full.withColumn("confidence", F.coalesce("confidence", F.lit(0.0))), threshold).select(
-        "position", "column", "type", "confidence", "status"
+        "position", "column", "type", "confidence", "formats", "status"
     )
 
 
 def build_policy(detections: DataFrame) -> DataFrame:
-    """``position, column, field_type`` of the detected columns, without any category link."""
+    """``position, column, field_type, formats`` of the detected columns, without any category link."""
     return detections.where(F.col("status") == "detected").select(
-        "position", "column", F.col("type").alias("field_type")
+        "position", "column", F.col("type").alias("field_type"), "formats"
     )
 
 

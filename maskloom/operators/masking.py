@@ -59,10 +59,19 @@ def mask_value(
 
 
 def mask_values(
-    df: DataFrame, value: str, field_type: str, salt: Column | str, on_error: str = "keep", pools: Pools = DEFAULT_POOLS
+    df: DataFrame,
+    value: str,
+    field_type: str,
+    salt: Column | str,
+    on_error: str = "keep",
+    pools: Pools = DEFAULT_POOLS,
+    category: str | None = None,
 ) -> DataFrame:
     """Mask a long table: text in ``value``, its type beside it; an unknown type is an error.
 
+    ``category`` names the column that chooses the pool of a description; without it, and where it
+    is NULL or unknown, the default pool is used.
+
     Inside a branch per type nothing is shared, so a row would hash its value several times. The
     value is hashed once ahead of the branches, modulo the least common multiple of the pool
     sizes, and only in rows whose type needs it. Where that multiple is too large, each branch
@@ -77,6 +86,8 @@ def mask_values(
         "category": pools.categories,
         "description": pools.merchants[DEFAULT_CATEGORY],
     }
+    if category is not None:  # descriptions hash modulo their own pools, in their branch
+        del pooled["description"]
     common = math.lcm(*[len(pool) for pool in pooled.values()])
     shared = common <= MAX_MODULUS
     hashed = df.withColumns(
@@ -88,6 +99,8 @@ def mask_values(
     picked = {
         t: F.get(text_array(pool), F.col(INDEX) % len(pool) if shared else md5_index(text, len(pool))) for t, pool in pooled.items()
     }
+    if category is not None:
+        picked["description"] = fields.mask_description(text, column(category), pools)
     picked["email"] = F.concat(picked["email"], F.lit("@"), F.get(text_array(pools.email_domains), F.col(DOMAIN_INDEX)))
     picked["date"] = fields.keep_on_error(fields.mask_date(text, offset), text, on_error)
     picked["amount"] = fields.keep_on_error(fields.mask_amount(text, multiplier, False), text, on_error)
@@ -154,7 +167,7 @@ def mask_side_by_side(
             multiplier=multiplier,
             category=category,
             numeric=_is_numeric(df, entry.column),
-            formats=(formats or {}).get(entry.column),
+            formats=(formats or {}).get(entry.column) or list(entry.formats),
             pools=pools,
         )
         if entry.field_type in ("date", "amount"):

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from maskloom.functions import fields
 from maskloom.operators import audit, detect, generate, messiness
 from maskloom.operators.masking import mask_table
-from maskloom.operators.policy import policy_entries, policy_table_read, policy_table_write, read_policy_file
+from maskloom.operators.policy import (
+    policy_entries, policy_file_write, policy_table_read, policy_table_write, read_policy_file,
+)
 from maskloom.session import column, scratch_path, tune
 from maskloom.sources.tables import anon_path, csv_scan, csv_sink, parquet_scan, parquet_sink
 
@@ -70,6 +72,12 @@ def propose_policy(spark: SparkSession, df: DataFrame, path: str, threshold: flo
     return spark.read.parquet(path)
 
 
+def detect_and_mask(spark: SparkSession, df: DataFrame, policy_path: str | Path, salt, row_key: str | None = None, **kwargs) -> DataFrame:
+    """Detect the columns' types, keep the proposal as a policy file, and mask the table by that file."""
+    policy_file_write(detect.detect_columns(df, row_key=row_key, **kwargs), policy_path)
+    return mask_table(df, read_policy_file(policy_path), salt)
+
+
 def mask_with_stored_policy(spark: SparkSession, df: DataFrame, policy_path: str, salt, output: str) -> dict:
     """Mask a table by a stored policy, write parquet, and report what was done."""
     entries = policy_entries(policy_table_read(tune(spark), policy_path))

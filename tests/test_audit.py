@@ -119,6 +119,10 @@ def test_inconsistent_outputs(spark):
     df = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "z", 1)], "v STRING, v__masked STRING, g INT")
     assert tuple(A.audit_consistent(df, "v").first()) == (2, 1, False)
     assert tuple(A.audit_consistent(df, "v", ["g"]).first()) == (3, 0, True)
+    gaps = spark.createDataFrame([("a", "x"), ("a", None), ("b", None), ("b", None)], "v STRING, v__masked STRING")
+    assert tuple(A.audit_consistent(gaps, "v").first()) == (2, 1, False)
+    plan = A.audit_consistent(df, "v")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortAggregate" not in plan
 
 
 def test_collisions(spark):
@@ -158,6 +162,32 @@ def test_encoding_loss(pairs):
     assert (got.non_ascii, got.lost, got.ok) == (3, 3, False)
 
 
+def test_outputs_of_the_ascii_part_and_constants_are_wrong(spark, table):
+    from maskloom.functions.fields import mask_name
+
+    bare = table.withColumn("who__masked", mask_name(F.regexp_replace("who", A.NON_ASCII, "")))
+    got = A.audit_encoding(bare, ["who"]).first()
+    assert got.wrong == got.like_ascii > 0 and not got.ok
+    got = A.audit_encoding(table.withColumn("who__masked", F.lit("const")), ["who"]).first()
+    assert (got.wrong, got.like_ascii, got.ok) == (3, 0, False)
+
+
+def test_unchanged_values_of_stored_tables(spark, table, masked):
+    lost = masked.where("row_key <> '1'").unionAll(masked.where("row_key = '2'"))
+    grouped = A.pair_tables(table, lost, "row_key", ["day", "who"], hashes_only=True)
+    assert "SortAggregate" not in grouped._jdf.queryExecution().executedPlan().toString()
+    got = {r["column"]: (r.compared, r.unchanged, r.unpaired, r.ok) for r in A.audit_unchanged(grouped, ["day", "who"]).collect()}
+    assert got == {"day": (2, 1, 2, False), "who": (2, 0, 2, False)}
+    # Numbers of two types are compared as numbers.
+    whole, real = spark.createDataFrame([("a", 5)], "k STRING, n INT"), spark.createDataFrame([("a", 5.0)], "k STRING, n DOUBLE")
+    assert A.audit_unchanged(A.pair_tables(whole, real, "k", ["n"], hashes_only=True), ["n"]).first().unchanged == 1
+
+
+def test_addresses_outside_the_pool(spark):
+    pairs = spark.createDataFrame([("a", "nobody@example.com"), ("b", "plain"), ("c", "@"), (None, None)], "e STRING, e__masked STRING")
+    assert A.audit_pool(pairs, {"e": "email"}).first().outside == 3
+
+
 def test_report_is_counted_during_the_write(spark, masked):
     path = scratch_path(spark, "report")
     got = A.run_report(masked, POLICY, ["row_key", "kind"], path).first()

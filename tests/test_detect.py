@@ -45,14 +45,44 @@ def test_sample_of_sparse_empty_and_repeated_columns(spark):
     assert D.sample_column(df.where("false")).count() == 0
 
 
+def test_sample_without_a_key_is_drawn_from_rows(spark):
+    values = ["S"] * 400 + ["M"] * 300 + ["L"] * 300
+    sample = D.sample_column(spark.createDataFrame([(v,) for v in values], "size STRING"))
+    assert sample.count() == 50 and {r.value for r in sample.collect()} == {"S", "M", "L"}
+    # A table large enough that only rows below a prefix are read again.
+    big = spark.range(400000).select(F.when(F.col("id") % 3 == 0, "S").when(F.col("id") % 3 == 1, "M").otherwise("L").alias("size"))
+    sample = D.sample_column(big)
+    assert sample.count() == 50 and {r.value for r in sample.collect()} == {"S", "M", "L"}
+
+
+def test_sample_of_another_size(spark):
+    df = column_of(spark, [f"v{i}" for i in range(3000)])
+    assert D.sample_column(df, row_key="row_key", most=200).count() == 200
+    labels = column_of(spark, [f"tag{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'xyz'[i % 3]}" for i in range(3000)])
+    assert [r.type for r in D.detect_columns(labels, row_key="row_key").collect()] != ["category"]
+    assert [r.type for r in D.detect_columns(labels, row_key="row_key", most=200).collect()] == ["category"]
+
+
+def test_dates_name_their_patterns_and_keys_are_no_amounts(spark):
+    rows = [
+        (i, f"{2020 + i % 5}-03-{i % 28 + 1:02d}", f"{i % 28 + 1:02d}.07.2023", f"07/{i % 28 + 1:02d}/2023", 100000 + 37 * i, i % 7 * 10)
+        for i in range(600)
+    ]
+    df = spark.createDataFrame(rows, "row_key INT, iso STRING, dotted STRING, plain STRING, account BIGINT, fee BIGINT")
+    got = {r["column"]: (r.type, r.formats, r.status) for r in D.detect_columns(df, row_key="row_key").collect()}
+    assert got == {
+        "iso": ("date", "yyyy-MM-dd", "detected"), "dotted": ("date", "dd.MM.yyyy", "detected"),
+        "plain": ("date", None, "detected"), "account": ("amount", None, "skipped"), "fee": ("amount", None, "detected"),
+    }
+
+
 def test_sample_bounds_what_is_shuffled(spark):
     df = column_of(spark, [f"v{i}" for i in range(500)])
     plan = D.sample_column(df, row_key="row_key")._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Exchange") < plan.index("Partial") and "WindowGroupLimit" in plan
 
 
-def scenario_values(kind, rng):
-    n = 400
+def scenario_values(kind, rng, n=400):
     make = {
         "email": lambda: f"{rng.choice(['ann', 'joe'])}{rng.randint(1, 99)}@mail.example",
         "country": lambda: rng.choice(["France", "Chad", "Peru", "New Zealand", "Japan", "Mali"]),
@@ -76,10 +106,11 @@ SCENARIOS += [
 ]
 
 
-def test_all_scenarios_pass_and_meet_the_bar(spark):
+@pytest.mark.parametrize("rows", [400, 25])
+def test_all_scenarios_pass_and_meet_the_bar(spark, rows):
     rng = random.Random(42)
-    columns = {f"{kind}_{scenario}": scenario_values(source, rng) for kind, scenario, source in SCENARIOS}
-    df = spark.createDataFrame(list(zip(range(400), *columns.values())), "row_key INT, " + ", ".join(f"{c} STRING" for c in columns))
+    columns = {f"{kind}_{scenario}": scenario_values(source, rng, rows) for kind, scenario, source in SCENARIOS}
+    df = spark.createDataFrame(list(zip(range(rows), *columns.values())), "row_key INT, " + ", ".join(f"{c} STRING" for c in columns))
     found = D.detect_columns(df, row_key="row_key")
     parts = F.split("column", "_")
     predictions = found.select(
@@ -104,10 +135,10 @@ def test_threshold_and_order(spark):
     scored = spark.createDataFrame(
         [(0, "a", "name", 0.80), (1, "b", "email", 0.79), (2, "c", None, 0.99)],
         "position INT, column STRING, type STRING, confidence DOUBLE",
-    )
+    ).withColumn("formats", F.when(F.col("column") == "a", "x"))
     assert [r.status for r in D.split_by_confidence(scored).collect()] == ["detected", "skipped", "skipped"]
     low = D.split_by_confidence(scored, 0.4)
-    assert [tuple(r) for r in D.build_policy(low).collect()] == [(0, "a", "name"), (1, "b", "email")]
+    assert [tuple(r) for r in D.build_policy(low).collect()] == [(0, "a", "name", "x"), (1, "b", "email", None)]
     lines = {r.status: (r["columns"], r.lines) for r in D.proposal_report(low).collect()}
     assert lines == {"detected": (2, "a -> name (0.80); b -> email (0.79)"), "skipped": (1, "c -> ??? (0.99)")}
 
@@ -115,7 +146,7 @@ def test_threshold_and_order(spark):
 def test_every_column_is_reported(spark):
     df = spark.createDataFrame([(None, "zzz zzz")], "empty STRING, odd STRING")
     got = [tuple(r) for r in D.detect_columns(df).orderBy("position").collect()]
-    assert got == [(0, "empty", None, 0.0, "skipped"), (1, "odd", None, 0.0, "skipped")]
+    assert got == [(0, "empty", None, 0.0, None, "skipped"), (1, "odd", None, 0.0, None, "skipped")]
 
 
 def test_numbers_of_any_size_are_amounts(spark):
@@ -131,7 +162,7 @@ def test_own_scorer(spark):
         return pd.DataFrame([{"position": rows.position[0], "column": rows.column[0], "type": "id", "confidence": len(rows) / 50}])
 
     found = D.detect_columns(column_of(spark, [f"v{i}" for i in range(600)]), row_key="row_key", scorer=scorer).collect()
-    assert [tuple(r) for r in found] == [(0, "col", "id", 1.0, "detected")]
+    assert [tuple(r) for r in found] == [(0, "col", "id", 1.0, None, "detected")]
 
 
 def test_answers(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from pathlib import Path, PurePosixPath
 
 import pytest
@@ -171,12 +172,12 @@ skipped:
 def test_policy_files(tmp_path):
     (tmp_path / "p.toml").write_text(TOML)
     assert P.read_policy_file(tmp_path / "p.toml") == [
-        ("Transaction Date", "date", None), ("Amount", "amount", None), ("Description", "description", "Category"),
+        ("Transaction Date", "date", None, ()), ("Amount", "amount", None, ()), ("Description", "description", "Category", ()),
     ]
     for suffix in ("yaml", "yml"):
         path = tmp_path / f"p.{suffix}"
         path.write_text(YAML)
-        assert P.read_policy_file(path) == [("customer_name", "name", None), ("email", "email", None)]
+        assert P.read_policy_file(path) == [("customer_name", "name", None, ()), ("email", "email", None, ())]
     (tmp_path / "bad.toml").write_text("[other]\na = 1\n")
     with pytest.raises(KeyError):
         P.read_policy_file(tmp_path / "bad.toml")
@@ -208,10 +209,56 @@ def test_policy_table_round_trip(spark, tmp_path):
             ("detected", None, "name"), ("skipped", "low_confidence", None), ("detected", None, "email"),
         ]
         assert P.policy_entries(P.policy_table_read(spark, path, fmt)) == [
-            ("customer_name", "name", None), ("email", "email", None),
+            ("customer_name", "name", None, ()), ("email", "email", None, ()),
         ]
 
 
+DETECTED_RULES = {
+    '{"type": "amount", "confidence": 0.9, "category_column": "x"}': ("amount", None),
+    '{"type": "description", "confidence": null, "category_column": "x"}': ("description", None),
+    '{"type": "description", "confidence": 0.9, "category_column": "x"}': ("description", None),
+    '{"type": "description", "category_column": "x"}': ("description", "x"),
+    '"name"': ("name", None),
+}
+
+
+def test_both_readers_of_a_policy_agree(spark, tmp_path):
+    for rule, want in DETECTED_RULES.items():
+        document = '{"columns": {"a": %s}}' % rule
+        (tmp_path / "p.json").write_text(document)
+        [entry] = P.read_policy_file(tmp_path / "p.json")
+        [row] = P.policy_normalise(spark.createDataFrame([(document,)], "doc STRING"), "doc").collect()
+        assert (entry.field_type, entry.category_column) == (row.field_type, row.category_column) == want
+
+
+def test_a_proposal_is_a_file_to_edit(spark, tmp_path):
+    found = spark.createDataFrame(
+        [
+            (0, "wer", "name", 0.97, None, "detected"), (1, "code", None, 0.41, None, "skipped"),
+            (2, "tag", "date", 1.0, "yyyy-MM-dd; dd.MM.yyyy", "detected"),
+        ],
+        "position INT, column STRING, type STRING, confidence DOUBLE, formats STRING, status STRING",
+    )
+    for suffix in ("yaml", "json"):
+        path = tmp_path / f"p.{suffix}"
+        P.policy_file_write(found, path)
+        assert P.read_policy_file(path) == [("wer", "name", None, ()), ("tag", "date", None, ("yyyy-MM-dd", "dd.MM.yyyy"))]
+        assert json.loads(path.read_text())["skipped"] == {"code": {"confidence": 0.41, "reason": "low_confidence"}}
+    with pytest.raises(ValueError, match="ends in"):
+        P.policy_file_write(found, tmp_path / "p.toml")
+    with pytest.raises(ValueError, match="formats"):
+        P.as_entries([("a", "name", None, ("yyyy-MM-dd",))])
+
+
+def test_a_stored_policy_carries_date_patterns(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"2024-{i % 12 + 1:02d}-11") for i in range(600)], "k INT, day STRING")
+    jobs.propose_policy(spark, df, str(tmp_path / "policy"), row_key="k")
+    jobs.mask_with_stored_policy(spark, df, str(tmp_path / "policy"), "days.csv", str(tmp_path / "out"))
+    masked = spark.read.parquet(str(tmp_path / "out"))
+    assert masked.join(df, ["k", "day"]).count() == 0
+    assert masked.where("day rlike '^[0-9]{4}-[0-9]{2}-[0-9]{2}$'").count() == 600
+
+
 def test_policy_checks():
     with pytest.raises(ValueError, match="twice"):
         P.as_entries([("a", "name"), ("a", "email")])

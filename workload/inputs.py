@@ -6,7 +6,7 @@ SQL twins stand in ``sql.py``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from maskloom.functions.hashing import text_array
@@ -111,8 +111,8 @@ def order_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("row_key"))
 
 
-def typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A long table: one row per payment and field type."""
+def typed_values(spark: SparkSession, sf_dir: str, keep: list[str] = ()) -> DataFrame:
+    """A long table: one row per payment and field type, with ``keep`` columns of the payment."""
     p = payments(spark, sf_dir)
     cells = {
         "name": "account_id",
@@ -125,7 +125,7 @@ def typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
         "category": "category",
     }
     listed = F.array(*[F.struct(F.lit(t).alias("field_type"), F.col(c).alias("value")) for t, c in cells.items()])
-    return p.select("row_key", F.inline(listed))
+    return p.select("row_key", *keep, F.inline(listed))
 
 
 def null_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,16 +179,37 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One scored prediction per order: sometimes right, sometimes sure."""
-    k = F.col("o_orderkey")
-    types = text_array(["name", "email", "country", "date", "amount", "description", "id"])
-    truth = F.get(types, (k % 7).cast("int"))
+FRAME_ROWS, FRAME_SAMPLE = 25, 2
+#: Columns whose type is known; in scenario 3 the header names a type that the values don't have.
+LABELLED = [
+    ("name", 1, "name"), ("email", 1, "email"), ("country", 1, "country"), ("date", 1, "created_at"),
+    ("amount", 1, "revenue"), ("description", 1, "merchant"), ("id", 1, "account_id"),
+    ("name", 3, "priority"), ("email", 3, "account_id"), ("date", 3, "status"), ("amount", 3, "code"),
+]
+
+
+def frame_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders in frames of 25 keys; of each frame and labelled column, a sample of two values.
+
+    ``position`` holds the frame, ``column`` the type and scenario the column stands for.
+    """
+    frame = F.floor(F.col("row_key").cast("bigint") / FRAME_ROWS).cast("int")
+    cells = [F.struct(F.lit(f"{kind}_{scenario}").alias("column"), F.col(c).alias("value")) for kind, scenario, c in LABELLED]
+    long = unlabelled(spark, sf_dir).select(frame.alias("position"), F.md5("row_key").alias("hash"), F.inline(F.array(*cells)))
+    rank = F.row_number().over(Window.partitionBy("position", "column").orderBy("hash", "value"))
+    return long.where(F.col("value").isNotNull()).withColumn("rn", rank).where(F.col("rn") <= FRAME_SAMPLE).drop("hash")
+
+
+def mixed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose dates stand in three patterns, beside whole numbers that are keys and ones that are money."""
+    k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
     return table(spark, sf_dir, "orders").select(
-        (k % 3 + 1).cast("int").alias("scenario"),
-        truth.alias("col_type"),
-        F.when(k % 31 == 0, F.lit(None)).when(k % 13 == 0, F.lit("category")).otherwise(truth).alias("predicted"),
-        (F.lit(1.0) - (k % 11) / F.lit(50.0)).alias("confidence"),
+        k.cast("string").alias("row_key"),
+        F.date_format(day, "yyyy-MM-dd").alias("iso_day"),
+        F.date_format(day, "dd.MM.yyyy").alias("dotted_day"),
+        F.when(k % 2 == 0, F.date_format(day, "yyyy/MM/dd")).otherwise(F.date_format(day, "MM/dd/yyyy")).alias("mixed_day"),
+        (k * 37 + 100000).cast("string").alias("account"),
+        F.col("o_totalprice").alias("price"),
     )
 
 

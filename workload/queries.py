@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -222,6 +224,13 @@ def mask_value_dispatch(spark, sf_dir) -> DataFrame:
     return mask_values(inputs.typed_values(spark, sf_dir), "value", "field_type", SALT)
 
 
+@query
+def mask_value_dispatch_category(spark, sf_dir) -> DataFrame:
+    """The same with the category of each payment, which chooses the pool of its description."""
+    values = inputs.typed_values(spark, sf_dir, ["category"])
+    return mask_values(values, "value", "field_type", SALT, category="category")
+
+
 @query
 def mask_safe(spark, sf_dir) -> DataFrame:
     """Unreadable dates and amounts kept, and dropped to NULL."""
@@ -320,7 +329,33 @@ def proposal_report(spark, sf_dir) -> DataFrame:
 
 @query
 def detect_accuracy(spark, sf_dir) -> DataFrame:
-    return detect.detect_accuracy(inputs.predictions(spark, sf_dir))
+    """The classifier's own answers on labelled columns, in frames of 25 rows.
+
+    A column's header is no input of the classifier, so the second scenario, which changes headers
+    only, would repeat the first.
+    """
+    parts = F.split("column", "_")
+    found = detect.classify_columns(inputs.frame_samples(spark, sf_dir)).select(
+        parts[0].alias("col_type"), parts[1].cast("int").alias("scenario"), F.col("type").alias("predicted"), "confidence"
+    )
+    return detect.detect_accuracy(found)
+
+
+@query
+def sample_column_keyless(spark, sf_dir) -> DataFrame:
+    """Columns of few values in a table without a key: how many values were drawn, and how many different ones."""
+    flags = inputs.table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus")
+    sample = detect.sample_column(flags)
+    return sample.groupBy("column").agg(F.count("value").alias("drawn"), F.countDistinct("value").alias("different"))
+
+
+@query
+def detect_then_mask(spark, sf_dir) -> DataFrame:
+    """Detection, a policy file, and masking by it: dates in every pattern move, keys stay."""
+    with tempfile.TemporaryDirectory() as folder:  # the file is the driver's own; its entries go into the plan
+        return jobs.detect_and_mask(spark, inputs.mixed_dates(spark, sf_dir), f"{folder}/policy.yaml", SALT, "row_key").select(
+            "row_key", "iso_day", "dotted_day", "mixed_day", "account", "price"
+        )
 
 
 # Test tables
@@ -414,7 +449,29 @@ def audit_unchanged(spark, sf_dir) -> DataFrame:
 @query
 def audit_unchanged_stored(spark, sf_dir) -> DataFrame:
     """The same over two tables whose rows are brought together by key."""
-    pairs = audit.pair_tables(*_payments(spark, sf_dir), "row_key", list(PAYMENT_POLICY))
+    pairs = audit.pair_tables(*_payments(spark, sf_dir), "row_key", list(PAYMENT_POLICY), hashes_only=True)
+    return audit.audit_unchanged(pairs, list(PAYMENT_POLICY))
+
+
+def _broken_payments(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Masked payments without some rows, with some rows twice, and with values where there were none."""
+    original, masked = _payments(spark, sf_dir)
+    k = F.col("row_key").cast("bigint")
+    filled = masked.withColumn("post_date", F.coalesce("post_date", F.lit("01/01/2025")))
+    return original, filled.where(k % 41 != 0).unionAll(filled.where(k % 43 == 0))
+
+
+@query
+def audit_null_mask_broken(spark, sf_dir) -> DataFrame:
+    """Lost rows, repeated keys and filled NULLs are violations."""
+    pairs = audit.pair_tables(*_broken_payments(spark, sf_dir), "row_key", list(PAYMENT_POLICY), nulls_only=True)
+    return audit.audit_null_mask(pairs, list(PAYMENT_POLICY))
+
+
+@query
+def audit_unchanged_broken(spark, sf_dir) -> DataFrame:
+    """Lost rows and repeated keys are unpaired and can't pass as changed."""
+    pairs = audit.pair_tables(*_broken_payments(spark, sf_dir), "row_key", list(PAYMENT_POLICY), hashes_only=True)
     return audit.audit_unchanged(pairs, list(PAYMENT_POLICY))
 
 
@@ -482,3 +539,11 @@ def audit_encoding(spark, sf_dir) -> DataFrame:
     turns = inputs.table(spark, sf_dir, "conversations").select("text")
     pairs = mask_side_by_side(documents.unionAll(turns), {"text": "name"})
     return audit.audit_encoding(pairs, ["text"])
+
+
+@query
+def audit_encoding_broken(spark, sf_dir) -> DataFrame:
+    """A twin that was masked from the ASCII part only is found."""
+    documents = inputs.table(spark, sf_dir, "documents").select("text")
+    ascii_part = F.regexp_replace("text", audit.NON_ASCII, "")
+    return audit.audit_encoding(documents.withColumn("text__masked", fields.mask_name(ascii_part)), ["text"])

@@ -255,6 +255,9 @@ def _sample() -> str:
                WHERE rn <= least(n, greatest(1, CAST(floor(n * 0.1::DOUBLE) AS BIGINT)), 50))"""
 
 
+DATE_PATTERNS = {"yyyy-MM-dd": "%Y-%m-%d", "dd.MM.yyyy": "%d.%m.%Y", "yyyy/MM/dd": "%Y/%m/%d"}
+
+
 def _re(shape: str) -> str:
     return f"regexp_matches(value, {text(shape)})"
 
@@ -262,50 +265,59 @@ def _re(shape: str) -> str:
 def _classified() -> str:
     codes = ", ".join(text(c) for c in detect.COUNTRY_WORDS if len(c) == 2)
     names = ", ".join(text(c.lower()) for c in detect.COUNTRY_WORDS if len(c) > 2)
-    company = _re(detect.COMPANY_SHAPE)
+    company = _re(r" (Inc|LLC|Ltd|PLC|Group|Corp|Co|and Sons)\.?$")
+    patterns = {p: f"try_strptime(value, {text(q)}) IS NOT NULL" for p, q in DATE_PATTERNS.items()}
     tests = {
-        "email": _re(detect.EMAIL_SHAPE),
-        "date": "(try_strptime(value, '%m/%d/%Y') IS NOT NULL OR try_strptime(value, '%Y-%m-%d') IS NOT NULL)",
-        "id": _re(detect.ID_SHAPE),
-        "amount": _re(detect.AMOUNT_SHAPE),
-        "country": f"(value IN ({codes}) OR lower(regexp_replace(value, {text(detect.NOTE_IN_BRACKETS)}, '')) IN ({names}))",
-        "category": _re(detect.CATEGORY_SHAPE),
-        "name": f"({_re(detect.NAME_SHAPE)} AND NOT {company})",
-        "description": f"({_re(detect.DESCRIPTION_SHAPE)} OR {company})",
+        "email": "(length(value) - length(replace(value, '@', '')) = 1 AND " + _re(r"^\S+@\S+\.\S+$") + ")",
+        "date": "(try_strptime(value, '%m/%d/%Y') IS NOT NULL OR " + " OR ".join(patterns.values()) + ")",
+        "id": "(" + _re(r"^[A-Z]{2,4}-\d\d\d+$") + " OR " + _re(r"^\d\d\d-\d\d-\d\d\d\d$") + ")",
+        "amount": "(try_cast(value AS DOUBLE) IS NOT NULL AND " + _re(r"^[-0-9.]*[0-9]$") + " AND NOT starts_with(value, '.'))",
+        "country": f"(value IN ({codes}) OR lower(regexp_replace(value, ' ?\\(.*\\)$', '')) IN ({names}))",
+        "category": "(length(value) BETWEEN 1 AND 12 AND NOT " + _re(r"[\s\d@#*./]") + ")",
+        "name": "(" + _re(r"^[\p{Lu}\p{Lo}][\p{Ll}\p{Lo}\p{M}]*\.?( [\p{Lu}\p{Lo}]['\p{L}\p{M}-]*\.?)+$") + f" AND NOT {company})",
+        "description": "(" + _re(r"\p{Lu}.*([#*\d./]|\p{Lu}\p{Lu})") + f" OR {company})",
     }
     shares = ", ".join(f"avg(CASE WHEN {test} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS s_{t}" for t, test in tests.items())
-    order = detect.TYPE_ORDER
+    found = ", ".join(f"CASE WHEN bool_or({test}) THEN {text(p)} END" for p, test in patterns.items())
+    order = ("email", "date", "id", "amount", "country", "category", "name", "description")
     best = f"greatest({', '.join('s_' + t for t in order)})"
     first = " ".join(f"WHEN s_{t} >= 0.8 THEN {text(t)}" for t in order)
     nearest = " ".join(f"WHEN s_{t} = best AND best > 0 THEN {text(t)}" for t in order)
     sure = " ".join(f"WHEN s_{t} >= 0.8 THEN s_{t}" for t in order)
     return f"""
-    raw AS (SELECT position, "column", {shares}, count(DISTINCT value) AS n_distinct FROM sample GROUP BY position, "column"),
-    shares AS (SELECT * REPLACE (CASE WHEN n_distinct <= 26 THEN s_category ELSE 0.0::DOUBLE END AS s_category) FROM raw),
+    raw AS (SELECT position, "column", {shares}, count(DISTINCT value) AS n_distinct, count(*) AS n,
+                   count(*) FILTER (contains(value, '.')) AS with_point, concat_ws('; ', {found}) AS found
+            FROM sample GROUP BY position, "column"),
+    shares AS (SELECT * REPLACE (CASE WHEN n_distinct <= greatest(26, n * 0.52::DOUBLE) THEN s_category ELSE 0.0::DOUBLE END AS s_category,
+                                 CASE WHEN with_point = 0 AND n_distinct >= n * 0.9::DOUBLE THEN least(s_amount, 0.5::DOUBLE)
+                                      ELSE s_amount END AS s_amount) FROM raw),
     scored AS (SELECT *, {best} AS best FROM shares),
-    classified AS (SELECT position, "column", CASE {first} {nearest} END AS type, CASE {sure} ELSE best END AS confidence
-                   FROM scored)"""
+    typed AS (SELECT *, CASE {first} {nearest} END AS type, CASE {sure} ELSE best END AS confidence FROM scored),
+    classified AS (SELECT position, "column", type, confidence, CASE WHEN type = 'date' THEN nullif(found, '') END AS formats
+                   FROM typed)"""
 
 
 def _detected() -> str:
     listed = ", ".join(f"({i}, {text(c)})" for i, c in enumerate(inputs.DETECT_COLUMNS))
     return f"""WITH {_sample()}, {_classified()},
     listed AS (SELECT * FROM (VALUES {listed}) AS v(position, "column")),
-    found AS (SELECT CAST(l.position AS INTEGER) AS position, l."column", c.type,
+    found AS (SELECT CAST(l.position AS INTEGER) AS position, l."column", c.type, c.formats,
                      coalesce(c.confidence, 0.0::DOUBLE) AS confidence FROM listed l LEFT JOIN classified c USING (position)),
     detections AS (SELECT *, CASE WHEN type IS NOT NULL AND confidence >= 0.8 THEN 'detected' ELSE 'skipped' END AS status
                    FROM found)
     """
 
 
-def _predictions() -> str:
-    types = words(["name", "email", "country", "date", "amount", "description", "id"])
+def _frame_samples() -> str:
+    cells = " UNION ALL ".join(
+        f"SELECT CAST(row_key AS BIGINT) // 25 AS position, {text(f'{kind}_{scenario}')} AS \"column\", row_key, {c} AS value FROM u"
+        for kind, scenario, c in inputs.LABELLED
+    )
     return f"""
-    SELECT o_orderkey % 3 + 1 AS scenario, {types}[o_orderkey % 7 + 1] AS col_type,
-           CASE WHEN o_orderkey % 31 = 0 THEN NULL WHEN o_orderkey % 13 = 0 THEN 'category'
-                ELSE {types}[o_orderkey % 7 + 1] END AS predicted,
-           1.0::DOUBLE - (o_orderkey % 11)::DOUBLE / 50.0::DOUBLE AS confidence
-    FROM orders"""
+    base AS ({UNLABELLED}), u AS ({business('base')}), cells AS ({cells}),
+    sample AS (SELECT position, "column", value
+               FROM (SELECT *, row_number() OVER (PARTITION BY position, "column" ORDER BY md5(row_key), value) AS rn
+                     FROM cells WHERE value IS NOT NULL) WHERE rn <= 2)"""
 
 
 # Dirtying
@@ -432,10 +444,10 @@ def _sql() -> dict[str, str]:
     UNION ALL SELECT p_partkey, 2, 'memo', 'description', p_type FROM part"""
     out["policy_table_write"] = _detected() + """
     SELECT position, "column", CASE WHEN status = 'detected' THEN type END AS field_type,
-           CAST(NULL AS VARCHAR) AS category_column, confidence, status,
+           CAST(NULL AS VARCHAR) AS category_column, CASE WHEN status = 'detected' THEN formats END AS formats, confidence, status,
            CASE WHEN status = 'skipped' THEN 'low_confidence' END AS reason FROM detections"""
     out["policy_table_read"] = _detected() + """
-    SELECT position, "column", type AS field_type, CAST(NULL AS VARCHAR) AS category_column
+    SELECT position, "column", type AS field_type, CAST(NULL AS VARCHAR) AS category_column, formats
     FROM detections WHERE status = 'detected'"""
 
     indexes = ", ".join(f"CAST({mod_digest('h', n)} AS INTEGER) AS i{n}" for n in queries.MODULI)
@@ -476,6 +488,10 @@ def _sql() -> dict[str, str]:
     out["mask_value_dispatch"] = f"WITH p AS ({PAYMENTS}) " + " UNION ALL ".join(
         f"SELECT row_key, {text(t)} AS field_type, {expr} AS value FROM p" for t, expr in typed.items()
     )
+    by_category = typed | {"description": description("description", "category")}
+    out["mask_value_dispatch_category"] = f"WITH p AS ({PAYMENTS}) " + " UNION ALL ".join(
+        f"SELECT row_key, category, {text(t)} AS field_type, {expr} AS value FROM p" for t, expr in by_category.items()
+    )
     day, money = date("order_date", SALT_OFFSET), amount_text("amount_text", SALT_FACTOR)
     out["mask_safe"] = f"""
     SELECT row_key, {kept(day, 'order_date')} AS date_kept, {day} AS date_null,
@@ -505,11 +521,25 @@ def _sql() -> dict[str, str]:
     SELECT event_id, {category('event_type')} AS event_type, {amount('value', multiplier(events))} AS value,
            {date(event_day, offset(events))} AS day, {email(event_user)} AS user FROM events"""
 
+    drawn = "least(count({c}), greatest(1, CAST(floor(count({c}) * 0.1::DOUBLE) AS BIGINT)), 50)"
+    out["sample_column_keyless"] = per_column(
+        ["l_returnflag", "l_linestatus"],
+        f"SELECT '{{c}}' AS \"column\", {drawn} AS drawn, count(DISTINCT {{c}}) AS different FROM lineitem",
+    )
+
+    def moved(pattern: str) -> str:
+        return f"strftime(o_orderdate + to_days({SALT_OFFSET}), {text(pattern)})"
+
+    out["detect_then_mask"] = f"""
+    SELECT CAST(o_orderkey AS VARCHAR) AS row_key, {moved('%Y-%m-%d')} AS iso_day, {moved('%d.%m.%Y')} AS dotted_day,
+           CASE WHEN o_orderkey % 2 = 0 THEN {moved('%Y/%m/%d')} ELSE {moved('%m/%d/%Y')} END AS mixed_day,
+           CAST(o_orderkey * 37 + 100000 AS VARCHAR) AS account, {amount('o_totalprice', SALT_FACTOR)} AS price
+    FROM orders"""
     out["sample_column"] = f"WITH {_sample()} SELECT * FROM sample"
     out["classify_columns"] = f"WITH {_sample()}, {_classified()} SELECT * FROM classified"
-    out["detect_columns"] = _detected() + 'SELECT position, "column", type, confidence, status FROM detections'
+    out["detect_columns"] = _detected() + 'SELECT position, "column", type, confidence, formats, status FROM detections'
     out["build_policy"] = _detected() + (
-        "SELECT position, \"column\", type AS field_type FROM detections WHERE status = 'detected'"
+        "SELECT position, \"column\", type AS field_type, formats FROM detections WHERE status = 'detected'"
     )
     out["proposal_report"] = _detected() + """
     SELECT status, count(*) AS columns,
@@ -522,13 +552,14 @@ def _sql() -> dict[str, str]:
            CASE o_orderkey % 9 WHEN 0 THEN 0.91::DOUBLE WHEN 1 THEN 0.3::DOUBLE WHEN 6 THEN 0.75::DOUBLE ELSE 0.0::DOUBLE END
              AS confidence FROM orders"""
     out["detect_accuracy"] = f"""
-    WITH scored AS (
-        SELECT CASE WHEN scenario = 3 THEN 'ambiguous' ELSE 'core' END AS part,
-               CASE WHEN scenario = 3 THEN NOT (coalesce(predicted = col_type, false) AND confidence >= 0.8)
-                    ELSE coalesce(predicted = col_type, false) AND confidence >= 0.8 END AS passed
-        FROM ({_predictions()})),
+    WITH {_frame_samples()}, {_classified()},
+    results AS (
+        SELECT CASE WHEN "column" LIKE '%_3' THEN 'ambiguous' ELSE 'core' END AS part,
+               CASE WHEN "column" LIKE '%_3' THEN NOT (coalesce(type = split_part("column", '_', 1), false) AND confidence >= 0.8)
+                    ELSE coalesce(type = split_part("column", '_', 1), false) AND confidence >= 0.8 END AS passed
+        FROM classified),
     counted AS (SELECT coalesce(part, 'overall') AS part, count(*) AS total, count(*) FILTER (passed) AS passed
-                FROM scored GROUP BY ROLLUP (part))
+                FROM results GROUP BY ROLLUP (part))
     SELECT part, total, passed, passed * 100.0::DOUBLE / total AS pct,
            CASE WHEN part = 'core' THEN passed * 100.0::DOUBLE / total >= 90 END AS meets_bar FROM counted"""
 
@@ -583,7 +614,28 @@ def _sql() -> dict[str, str]:
         "SELECT '{c}' AS \"column\", count(*) AS rows, count(p.{c}) AS compared, "
         "count(*) FILTER (p.{c} = m.{c}) AS unchanged " + joined,
     )
-    out["audit_unchanged_stored"] = out["audit_unchanged"]
+
+    def stored(masked: str, select: str) -> str:
+        """Payments beside their masked rows in ``masked``, which may hold a key never or often."""
+        return f"""{WITH_PAYMENTS}, f AS (SELECT * REPLACE (coalesce(post_date, '01/01/2025') AS post_date) FROM m),
+        broken AS (SELECT * FROM f WHERE CAST(row_key AS BIGINT) % 41 <> 0 UNION ALL SELECT * FROM f WHERE CAST(row_key AS BIGINT) % 43 = 0),
+        times AS (SELECT row_key, count(*) AS n FROM {masked} GROUP BY row_key),
+        one AS (SELECT * FROM {masked} SEMI JOIN (SELECT row_key FROM times WHERE n = 1) USING (row_key)) """ + per_column(
+            PAYMENT_COLUMNS, select + " FROM p LEFT JOIN one m USING (row_key) LEFT JOIN times USING (row_key)"
+        )
+
+    unchanged = (
+        "SELECT '{c}' AS \"column\", count(*) AS rows, count(p.{c}) FILTER (n = 1) AS compared, "
+        "count(*) FILTER (n = 1 AND p.{c} = m.{c}) AS unchanged, "
+        "count(*) FILTER (coalesce(n, 0) <> 1) AS unpaired, unpaired = 0 AS ok"
+    )
+    out["audit_unchanged_stored"] = stored("m", unchanged)
+    out["audit_unchanged_broken"] = stored("broken", unchanged)
+    out["audit_null_mask_broken"] = stored(
+        "broken",
+        "SELECT '{c}' AS \"column\", count(*) AS rows, count(*) FILTER (coalesce(n, 0) <> 1 OR "
+        "(p.{c} IS NULL) <> (m.{c} IS NULL)) AS violations, violations = 0 AS ok",
+    )
     failed = {
         "order_date": day, "post_date": date("post_date", SALT_OFFSET), "amount": "amount", "amount_text": money,
         "description": "description", "account_id": "NULL",
@@ -642,13 +694,19 @@ def _sql() -> dict[str, str]:
     SELECT count({was}) AS compared, count(*) FILTER ({was} IS NOT NULL AND {was} IS DISTINCT FROM {now}) AS changed,
            changed = 0 AS ok {joined}"""
     ascii_part = "regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')"
-    out["audit_encoding"] = f"""
+
+    def encoding(masked: str, texts: str) -> str:
+        return f"""
     SELECT 'text' AS "column", count(*) AS rows, count(*) FILTER (wide) AS non_ascii,
            count(*) FILTER (wide AND masked IS NULL) AS lost,
-           count(*) FILTER (wide AND md5(text) = md5({ascii_part})) AS hash_like_ascii,
-           lost = 0 AND hash_like_ascii = 0 AS ok
-    FROM (SELECT text, {name('text')} AS masked, regexp_matches(text, '[^\\x00-\\x7F]') AS wide
-          FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations))"""
+           count(*) FILTER (wide AND masked <> whole) AS wrong,
+           count(*) FILTER (wide AND masked <> whole AND masked = part) AS like_ascii,
+           lost = 0 AND wrong = 0 AS ok
+    FROM (SELECT {masked} AS masked, {name('text')} AS whole, {name('short')} AS part, wide
+          FROM (SELECT text, {ascii_part} AS short, regexp_matches(text, '[^\\x00-\\x7F]') AS wide FROM ({texts})))"""
+
+    out["audit_encoding"] = encoding(name("text"), "SELECT text FROM documents UNION ALL SELECT text FROM conversations")
+    out["audit_encoding_broken"] = encoding(name("short"), "SELECT text FROM documents")
     return out
 
 
