@@ -9,7 +9,9 @@ Texts that agree in a sketch are sorted by their next sketches and each is paire
 sketch and no task gathers a group: the sort is by range, which splits a group of any size. Texts
 at or above the threshold agree in about half of all sketches, and then in most of the next ones, so they
 stand side by side in some of the sorts; a similar pair outside these pairs joins through
-the texts between them. Every pair is verified: a banded longest common
+the texts between them. Where texts of a sketch are still in different groups, they are sorted anew by
+other sketches, and a text is paired with those before it that are in other groups, until a round
+links no two groups. Every pair is verified: a banded longest common
 subsequence of the runs gives ``common / (n + m - common)``, the Jaccard similarity with order,
 and pairs at ``SIMILARITY`` or more are links.
 
@@ -36,6 +38,8 @@ from maskloom.llm.words import mix, run_hashes, word_hashes, words_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, TAKEN, PARTNERS = 16, 3, 3
+#: Steps between the sketches by which texts in different groups are sorted anew; odd, so that they reach all.
+STEPS = (3, 5, 7)
 
 
 def shingled(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,18 +162,41 @@ def _candidates(classes: DataFrame) -> DataFrame:
     buckets = classes.select("k", "c", "s", F.posexplode("s").alias("j", "x")).select(
         F.xxhash64("j", "x").alias("key"), at(1).alias("one"), at(2).alias("two"), "k", "c"
     )
-    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["key", "one", "two", "k", "c"]
-    buckets = buckets.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("key", "k", "c")
+    return _side_by_side(buckets.withColumn("group", F.xxhash64("c")), ["key", "one", "two", "k", "c"])
+
+
+def _rest(texts: DataFrame, checked: DataFrame) -> DataFrame:
+    """Pairs, not in ``checked``, of texts that agree in a sketch and are in different groups."""
+    buckets = texts.select("k", "c", "group", "s", F.posexplode("s").alias("j", "x")).withColumn("key", F.xxhash64("j", "x"))
+    parted = buckets.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high")
+    at = lambda i: F.get("s", (F.col("j") + i * F.col("step")) % SKETCHES)
+    buckets = buckets.join(parted.select("key"), "key").withColumn("step", F.explode(F.array(*map(F.lit, STEPS)))).select(
+        F.xxhash64("key", "step").alias("key"), at(1).alias("one"), at(2).alias("two"), at(3).alias("three"), "group", "k", "c"
+    )
+    found = _side_by_side(buckets, ["key", "one", "two", "three", "group", "k", "c"])
+    return found.join(checked, ["ak", "ac", "bk", "bc"], "left_anti")
+
+
+def _side_by_side(buckets: DataFrame, order: list[str]) -> DataFrame:
+    """Pairs of texts of different groups that are close in the sort of their bucket.
+
+    Of rows of one group on end, only the first and the last can meet another group.
+    """
+    parts = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("key", "k", "c", "group")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: list[pa.RecordBatch] = []
         for batch in batches:
             rows = pa.Table.from_batches([*last, batch]).combine_chunks()
-            key = rows["key"].to_numpy()
             old = sum(b.num_rows for b in last)
+            key, group = rows["key"].to_numpy(), rows["group"].to_numpy()
+            same = (key[1:] == key[:-1]) & (group[1:] == group[:-1])
+            inner = np.append(False, same) & np.append(same, False)
+            inner[:old] = False
+            rows, key, group = rows.filter(pa.array(~inner)), key[~inner], group[~inner]
             for step in range(1, PARTNERS + 1):
-                b = np.flatnonzero(key[step:] == key[:-step]) + step
+                b = np.flatnonzero((key[step:] == key[:-step]) & (group[step:] != group[:-step])) + step
                 b = b[b >= old]
                 left, right = rows.take(b - step), rows.take(b)
                 columns = [left["k"], left["c"], right["k"], right["c"]]
@@ -212,10 +239,18 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = rows.groupBy("c", "k").agg(F.count("*").alias("copies"), F.first("s").alias("s"))
     texts = texts.groupBy("c").agg(F.min(F.struct("k", "copies")).alias("x"), F.first("s").alias("s"))
     texts = stored(texts.select("c", "x.k", "x.copies", "s"), "texts")
-    links = stored(_verified(docs, stored(_candidates(texts), "pairs")), "links")
-    found = components(links, "a", "b")
-    node = texts.select("c", "k", "copies", F.xxhash64("c").alias("n"))
-    node = node.join(found, node.n == found.node, "left").withColumn("group", F.coalesce("component", "n"))
+    checked = stored(_candidates(texts), "pairs")
+    links = stored(_verified(docs, checked), "links")
+    texts = texts.withColumn("n", F.xxhash64("c"))
+    while True:
+        found = components(links, "a", "b")
+        node = texts.join(found, texts.n == found.node, "left").withColumn("group", F.coalesce("component", "n"))
+        pairs = stored(_rest(node, checked), "pairs")
+        more = stored(_verified(docs, pairs), "links")
+        if more.isEmpty():
+            break
+        links, checked = links.unionAll(more), checked.unionAll(pairs)
+    node = node.select("c", "k", "copies", "group")
     first = node.groupBy("group").agg(F.min(F.struct("k", "c", "copies")).alias("first"))
     node = node.select("c", "group").join(first, "group").select(
         "c", F.col("first.k").alias("rep"), F.col("first.c").alias("rep_c"), F.col("first.copies").alias("copies")
