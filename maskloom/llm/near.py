@@ -11,7 +11,12 @@ at or above the threshold agree in about half of all sketches, and then in most
 stand side by side in some of the sorts; a similar pair outside these pairs joins through
 the texts between them. Where texts of a sketch are still in different groups, they are sorted anew by
 other sketches, and a text is paired with those before it that are in other groups, until a round
-links no two groups. Every pair is verified: a banded longest common
+links no two groups. These sorts only spare work. What they leave is paired in full: texts of
+a sketch that still holds several groups are joined by an exact prefix filter. In one order of all
+runs, common ones last, two texts at the threshold share one of the first ``n - ceil(SIMILARITY * n) + 1``
+runs of each; runs of many texts are joined in blocks of about ``BLOCK`` against blocks. So two texts at
+the threshold that agree in a sketch end in one class, however many texts agree in it.
+Every pair is verified: a banded longest common
 subsequence of the runs gives ``common / (n + m - common)``, the Jaccard similarity with order,
 and pairs at ``SIMILARITY`` or more are links.
 
@@ -40,6 +45,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, TAKEN, PARTNERS = 16, 3, 3
 #: Steps between the sketches by which texts in different groups are sorted anew; odd, so that they reach all.
 STEPS = (3, 5, 7)
+#: Counters by which runs are ordered; runs that share one change the work, not the result.
+COUNTER_BITS = 21
+#: Texts of a run that one task joins with as many others.
+BLOCK = 1000
 
 
 def shingled(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,10 +73,9 @@ def shingled(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, at
 
 
-def order_sketches(runs: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Texts x sketches."""
-    n, most = len(at) - 1, np.uint64(2**64 - 1)
-    row = np.repeat(np.arange(n), np.diff(at))
+def labelled_runs(runs: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the runs, each occurrence of a run in its text another one."""
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
     order = np.lexsort((runs, row))
     again = (runs[order][1:] == runs[order][:-1]) & (row[order][1:] == row[order][:-1])
     place = np.arange(len(runs))
@@ -75,6 +83,14 @@ def order_sketches(runs: np.ndarray, at: np.ndarray) -> np.ndarray:
     nth = place - np.maximum.accumulate(np.where(fresh, place, 0))
     labelled = np.empty_like(runs)
     labelled[order] = mix(runs[order] + nth.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    return labelled
+
+
+def order_sketches(runs: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Texts x sketches."""
+    n, most = len(at) - 1, np.uint64(2**64 - 1)
+    row = np.repeat(np.arange(n), np.diff(at))
+    labelled = labelled_runs(runs, at)
     closed = np.append(runs, np.uint64(0))
     out = np.empty((n, SKETCHES), np.int64)
     for j in range(SKETCHES):
@@ -165,10 +181,15 @@ def _candidates(classes: DataFrame) -> DataFrame:
     return _side_by_side(buckets.withColumn("group", F.xxhash64("c")), ["key", "one", "two", "k", "c"])
 
 
+def _parted(rows: DataFrame, name: str) -> DataFrame:
+    """Values of ``name`` with texts of several groups, and how many rows have them."""
+    return rows.groupBy(name).agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("rows")).filter("low <> high")
+
+
 def _rest(texts: DataFrame, checked: DataFrame) -> DataFrame:
     """Pairs, not in ``checked``, of texts that agree in a sketch and are in different groups."""
     buckets = texts.select("k", "c", "group", "s", F.posexplode("s").alias("j", "x")).withColumn("key", F.xxhash64("j", "x"))
-    parted = buckets.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high")
+    parted = _parted(buckets, "key")
     at = lambda i: F.get("s", (F.col("j") + i * F.col("step")) % SKETCHES)
     buckets = buckets.join(parted.select("key"), "key").withColumn("step", F.explode(F.array(*map(F.lit, STEPS)))).select(
         F.xxhash64("key", "step").alias("key"), at(1).alias("one"), at(2).alias("two"), at(3).alias("three"), "group", "k", "c"
@@ -177,6 +198,67 @@ def _rest(texts: DataFrame, checked: DataFrame) -> DataFrame:
     return found.join(checked, ["ak", "ac", "bk", "bc"], "left_anti")
 
 
+def _left_apart(docs: DataFrame, texts: DataFrame, checked: DataFrame) -> DataFrame:
+    """All pairs, not in ``checked``, that can be at the threshold, of texts in different groups that
+    stand in sketches of several groups."""
+    buckets = texts.select("n", "group", F.posexplode("s").alias("j", "x")).select("n", "group", F.xxhash64("j", "x").alias("key"))
+    apart = buckets.join(_parted(buckets, "key"), "key", "left_semi").select("n").distinct()
+    apart = texts.join(apart, "n").select("k", "c", "n", "group")
+    apart = stored(docs.select(*_keyed(docs)).join(apart, ["k", "c"]).dropDuplicates(["n"]).select("n", "group", "text"), "apart")
+    postings = stored(_postings(apart), "postings")
+    posted = postings.join(_parted(postings, "mark").select("mark", F.ceil(F.col("rows") / BLOCK).alias("blocks")), "mark")
+    posted = posted.withColumn("block", F.pmod(F.xxhash64("n", "mark"), "blocks"))
+    side = lambda x: [F.col(c).alias(x + c) for c in ("n", "group", "size", "place")]
+    left = posted.select("mark", F.col("block").alias("low"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("high"), *side("a_"))
+    right = posted.select("mark", F.col("block").alias("high"), F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("low"), *side("b_"))
+    # The places bound what two texts can share from this run on; the first run they share keeps every pair at the threshold.
+    found = left.join(right, ["mark", "low", "high"]).filter("a_group <> b_group and (low <> high or a_n < b_n)").filter(
+        F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place"))
+        >= SIMILARITY / (1 + SIMILARITY) * (F.col("a_size") + F.col("b_size")) - 1e-6
+    )
+    found = found.select(F.least("a_n", "b_n").alias("x"), F.greatest("a_n", "b_n").alias("y")).distinct()
+    one = texts.select(F.col("n").alias("x"), F.struct("k", "c").alias("p"))
+    two = texts.select(F.col("n").alias("y"), F.struct("k", "c").alias("q"))
+    found = found.join(one, "x").join(two, "y").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    return _ends(found).join(checked, ["ak", "ac", "bk", "bc"], "left_anti")
+
+
+def _postings(apart: DataFrame) -> DataFrame:
+    """``mark, n, group, size, place``: the runs of each text of which two texts at the threshold share one."""
+    shift = np.uint64(64 - COUNTER_BITS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << COUNTER_BITS, np.int64)
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            np.add.at(counts, (labelled_runs(*shingled(*text_bytes(batch.column(0)))) >> shift).astype(np.int64), 1)
+            return batch
+
+        for _ in by_slices(work, 1 << 20)(batches):
+            pass
+        some = np.flatnonzero(counts)
+        yield from pa.table([pa.array(some), pa.array(counts[some])], ["counter", "seen"]).to_batches(1 << 16)
+
+    total = apart.select("text").mapInArrow(count, "counter long, seen long").groupBy("counter").agg(F.sum("seen").alias("seen")).toArrow()
+    counts = np.zeros(1 << COUNTER_BITS, np.int64)
+    counts[total["counter"].to_numpy()] = total["seen"].to_numpy()
+    shared = apart.sparkSession.sparkContext.broadcast(counts)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        runs, at = shingled(*text_bytes(batch.column(2)))
+        marks, size = labelled_runs(runs, at), np.diff(at)
+        row = np.repeat(np.arange(len(size)), size)
+        marks = marks[np.lexsort((marks, shared.value[(marks >> shift).astype(np.int64)], row))]
+        place = np.arange(len(marks)) - at[:-1][row]
+        first = place < (size - np.ceil(SIMILARITY * size - 1e-6) + 1)[row]
+        of = pa.array(row[first])
+        columns = [pa.array(marks[first].view(np.int64)), batch.column(0).take(of), batch.column(1).take(of)]
+        columns += [pa.array(size[row[first]].astype(np.int32)), pa.array(place[first].astype(np.int32))]
+        return pa.RecordBatch.from_arrays(columns, ["mark", "n", "group", "size", "place"])
+
+    return apart.mapInArrow(by_slices(work, 1 << 20), "mark long, n long, group long, size int, place int")
+
+
 def _side_by_side(buckets: DataFrame, order: list[str]) -> DataFrame:
     """Pairs of texts of different groups that are close in the sort of their bucket.
 
@@ -205,9 +287,11 @@ def _side_by_side(buckets: DataFrame, order: list[str]) -> DataFrame:
 
     found = buckets.mapInArrow(pairs, "ak long, ac binary, bk long, bc binary")
     a, b = F.struct(F.col("ak").alias("k"), F.col("ac").alias("c")), F.struct(F.col("bk").alias("k"), F.col("bc").alias("c"))
-    return found.filter("ac <> bc").select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct().select(
-        F.col("a.k").alias("ak"), F.col("a.c").alias("ac"), F.col("b.k").alias("bk"), F.col("b.c").alias("bc")
-    )
+    return _ends(found.filter("ac <> bc").select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a.k").alias("ak"), F.col("a.c").alias("ac"), F.col("b.k").alias("bk"), F.col("b.c").alias("bc"))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -233,6 +317,11 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.mapInArrow(by_slices(work, 1 << 20, "a_text"), "a long, b long")
 
 
+def _in_groups(texts: DataFrame, links: DataFrame) -> DataFrame:
+    found = components(links, "a", "b")
+    return texts.join(found, texts.n == found.node, "left").withColumn("group", F.coalesce("component", "n"))
+
+
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``k, c`` of every row; and for every text ``c, rep, rep_c, copies`` of its group's first row."""
     rows = stored(_sketches(docs), "sketches")
@@ -243,13 +332,15 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = stored(_verified(docs, checked), "links")
     texts = texts.withColumn("n", F.xxhash64("c"))
     while True:
-        found = components(links, "a", "b")
-        node = texts.join(found, texts.n == found.node, "left").withColumn("group", F.coalesce("component", "n"))
+        node = _in_groups(texts, links)
         pairs = stored(_rest(node, checked), "pairs")
         more = stored(_verified(docs, pairs), "links")
         if more.isEmpty():
             break
         links, checked = links.unionAll(more), checked.unionAll(pairs)
+    more = stored(_verified(docs, stored(_left_apart(docs, node, checked.unionAll(pairs)), "pairs")), "links")
+    if not more.isEmpty():
+        node = _in_groups(texts, links.unionAll(more))
     node = node.select("c", "k", "copies", "group")
     first = node.groupBy("group").agg(F.min(F.struct("k", "c", "copies")).alias("first"))
     node = node.select("c", "group").join(first, "group").select(

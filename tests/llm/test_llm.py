@@ -286,6 +286,23 @@ def test_near_copies_of_a_large_group(spark):
     assert {found[i] for i in range(300)} == {0} and all(found[i] == i for i in range(300, 400))
 
 
+def test_near_pairs_among_texts_that_share_a_passage(spark):
+    """All texts agree in sketches by a passage, and each has one other text at the threshold."""
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(170)]
+    rows = []
+    for i in range(1200):
+        own = [f"o{i}_{j}" for j in range(30)]
+        other = own[:12] + [f"z{i}_{j}" for j in range(18)]
+        rows += [(2 * i, " ".join(passage + own)), (2 * i + 1, " ".join(passage + other))]
+    rng.shuffle(rows)
+    texts = dict(rows)
+    coded = lambda t: np.array([zlib.crc32(" ".join(t.split()[i : i + 5]).encode()) for i in range(len(t.split()) - 4)], np.uint64)
+    assert near.similarity(coded(texts[0]), coded(texts[1])) >= 0.8 and near.similarity(coded(texts[0]), coded(texts[2])) == 0
+    found = near.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in found} == {i: i // 2 * 2 for i in texts}
+
+
 def test_near_edges(edge, nothing):
     found = sorted(((r.doc_id, r.class_id) for r in near.near_classes(edge).collect()), key=repr)
     # NULL, empty and blank texts are one class, whose smallest id is NULL; the long texts are near copies.
