@@ -3,7 +3,9 @@
 The base patterns find passwords and tokens that are assigned, access key ids and long hex strings.
 The method adds what they miss: a run of ``TOKEN`` characters is a ``random`` span if the two
 first-order Markov models, one trained on samples labelled as random, one on ordinary words and
-identifiers, differ by a mean log-likelihood ratio of at least ``LEAST_RATIO`` a character.
+identifiers, differ by a mean log-likelihood ratio of at least ``LEAST_RATIO`` a character. Else the
+stretch of at least ``LEAST_CHARS`` whose ratios exceed that most is taken, then what stands beside it, so
+strings behind names and paths are found. Runs of digits alone are numbers, not secrets.
 
 The models are fitted on the driver: the random samples are what the base patterns found in at most
 ``TRAIN_DOCS`` documents and strings drawn from the usual alphabets; the ordinary ones are those
@@ -41,6 +43,8 @@ LEAST_VALUE = 6
 #: What the Markov models look at.
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 LEAST_RATIO = 0.9
+#: Least length of a stretch of a run, and what a stretch is continued to.
+LEAST_CHARS, SEPARATORS = 20, "=/_-"
 TRAIN_DOCS, TRAIN_CHARS, TRAIN_WORDS, DRAWN = 400, 20_000, 20_000, 3000
 SEED = 11
 
@@ -116,15 +120,53 @@ def ratio(token: str, model: np.ndarray) -> float:
     return float(model[np.append(0, codes[:-1]), codes].mean())
 
 
+def random_stretches(token: str, model: np.ndarray, least: float = LEAST_RATIO) -> list[tuple[int, int]]:
+    """Starts and ends of the random strings in a run: the whole run, or else the stretch that is
+    furthest over ``least``, up to the next separators, and then what stands before and after it."""
+    codes = _CODE[np.frombuffer(token.encode("ascii"), np.uint8)]
+    score = model[np.append(0, codes[:-1]), codes]
+    found, left = [], [(0, len(token))]
+    while left:
+        a, b = left.pop()
+        if b - a < LEAST_CHARS:
+            continue
+        total = np.append(0.0, np.cumsum(score[a:b]))
+        start, end = 0, b - a
+        if total[-1] < least * (b - a):
+            over = total - least * np.arange(b - a + 1)
+            low = np.minimum.accumulate(over[: b - a - LEAST_CHARS + 1])
+            end = int((over[LEAST_CHARS:] - low).argmax()) + LEAST_CHARS
+            start = int(over[: end - LEAST_CHARS + 1].argmin())
+            if over[end] < over[start]:
+                continue
+            # As far on as the sum of ratios grows, if the mean allows it.
+            far = end + int(total[end:].argmax())
+            end = far if over[far] >= over[start] else end
+            far = int(total[: start + 1].argmin())
+            start = far if over[end] >= over[far] else start
+        start, end = a + start, a + end
+        while start > a and token[start - 1] not in SEPARATORS:
+            start -= 1
+        while end < b and token[end] not in SEPARATORS:
+            end += 1
+        # An equals sign within a stretch ends a name; padding has nothing long behind it.
+        start = max(start, token.rfind("=", start, max(start, end - LEAST_CHARS)) + 1)
+        if re.search("[A-Za-z]", token[start:end]):
+            found.append((start, end))
+        left += [(a, start), (end, b)]
+    return sorted(found)
+
+
 def spans(text: str, model: np.ndarray, least: float = LEAST_RATIO) -> list[tuple[int, int, str]]:
     """Base spans and random ones, by start, then kind as listed."""
     base = base_spans(text)
     more = []
     for m in TOKEN.finditer(text):
-        a, b = m.span()
-        if not any(x < b and a < y for x, y, _ in base) and re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]):
-            if ratio(m[0], model) >= least:
-                more.append((a, b, "random"))
+        a, last = m.span()
+        for x, y, _ in [*(z for z in sorted(base) if z[0] < last and z[1] > a), (last, last, "")]:
+            if x - a >= LEAST_CHARS:
+                more += [(a + i, a + j, "random") for i, j in random_stretches(text[a:x], model, least)]
+            a = max(a, y)
     return sorted(base + more, key=lambda x: (x[0], KINDS.index(x[2])))
 
 

@@ -567,6 +567,24 @@ def test_markov_models_on_held_out_samples(texts):
     assert [k for *_, k in secrets.spans(f"the key {key} stands here", model)] == ["random"]
 
 
+def test_random_strings_behind_names_paths_and_urls(texts):
+    model, rng = secrets.train(list(texts.values())[:100]), np.random.default_rng(5)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    before = {"AZURE_STORAGE_ACCOUNT_KEY=": 32, "auth/callback/session=": 24, "/home/user/keys/": 24, "session_id=": 20, "https://x.example.com/v1/file/": 32, "": 24}
+    for name, n in before.items():
+        for alphabet in (letters, letters + "0123456789"):
+            keys = ["".join(rng.choice(list(alphabet), n)) for _ in range(100)]
+            left = [secrets.blanked(f"see {name}{key} here", model) for key in keys]
+            assert np.mean([x.startswith("see ") and x.endswith("[secret] here") for x in left]) > 0.95, (name, alphabet)
+            assert np.mean([x == f"see {name}[secret] here" for x in left if name.endswith("=")] or [1]) > 0.95, (name, alphabet)
+    two = "".join(rng.choice(list(letters), 24)), "".join(rng.choice(list(letters + "0123456789"), 24))
+    left = secrets.blanked(f"first_key={two[0]}/second_key={two[1]}", model)
+    assert left.startswith("first_key=[secret]") and left.endswith("_key=[secret]") and left.count("[secret]") == 2
+    words = [w for t in list(texts.values())[100:] for w in re.findall("[A-Za-z]+", t)]
+    paths = ["/".join(words[i : i + 8]) for i in range(0, len(words) - 8, 8)]
+    assert np.mean([bool(secrets.spans(x, model)) for x in paths]) < 0.01
+
+
 def test_secret_edges(edge, nothing, spark):
     model = secrets.learn(edge)
     assert secrets.scan(edge, model).count() == edge.count()
