@@ -1,8 +1,8 @@
 """From raw documents to packed sequences, in five stages.
 
 Each stage takes ``(spark, docs, sf_dir)`` and gives a DataFrame, which is stored as Parquet and is the
-next one's ``docs``. The order of the mixing stage holds in the files it writes; packing keeps pieces
-that stand together in the same shard.
+next one's ``docs``. Readers of files don't keep the order of rows, so packing derives the mixing stage's
+positions again from its rows: shards are stretches of the mix, and sequences are numbered along it.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from maskloom.llm import quality, secrets
-from maskloom.llm.common import stored, table
-from maskloom.llm.mixing import mixed
+from maskloom.llm.common import free_name, stored, table
+from maskloom.llm.mixing import mixed, positioned
 from maskloom.llm.near import keep_one
 from maskloom.llm.packing import pack_documents
 
@@ -40,8 +40,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document with its place in a sequence."""
-    return pack_documents(docs, public_tokenizers.path(TOKENIZER))
+    """Every piece of every document with its place in a sequence; documents are dealt in mixed order."""
+    at = free_name(docs, "mix_at")
+    return pack_documents(positioned(docs, at), public_tokenizers.path(TOKENIZER), order=at)
 
 
 STAGES = [

@@ -147,11 +147,17 @@ def schedule(
     return placed.select(*[F.col(f"`{c}`") for c in docs.columns], *new)
 
 
-def mixed(docs: DataFrame, targets: Mapping[str | None, float] | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """All rows and columns of ``docs`` in mixed order: partitions follow each other by position."""
+def positioned(docs: DataFrame, name: str, targets: Mapping[str | None, float] | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """All rows and columns of ``docs``, and the position as ``name``, which ``docs`` must not have."""
     taken = {c: free_name(docs, f"own_{c}") for c in docs.columns if c.lower() in ("block", "release", "deadline", "slot", "position")}
     placed = schedule(docs.withColumnsRenamed(taken), targets, block_docs)
-    in_order = placed.repartitionByRange("position").sortWithinPartitions("position")
-    back = {v: k for k, v in taken.items()}
-    names = [taken.get(c, c) for c in docs.columns]
-    return in_order.select(*[F.col(f"`{c}`").alias(back.get(c, c)) for c in names])
+    return placed.select(*[F.col(f"`{taken.get(c, c)}`").alias(c) for c in docs.columns], F.col("position").alias(name))
+
+
+def mixed(docs: DataFrame, targets: Mapping[str | None, float] | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """All rows and columns of ``docs`` in mixed order: partitions follow each other by position.
+
+    A reader of stored files need not keep that order; ``positioned`` gives the same one as a column."""
+    name = free_name(docs, "mix_at")
+    in_order = positioned(docs, name, targets, block_docs).repartitionByRange(name).sortWithinPartitions(name)
+    return in_order.select(*[F.col(f"`{c}`") for c in docs.columns])

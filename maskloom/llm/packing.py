@@ -1,7 +1,7 @@
 """Best-fit packing: pieces of documents into token sequences, by swap-based local search.
 
 Documents are tokenized and only those longer than a sequence are cut. The pieces (a few numbers
-each) are stored, dealt in their input order to shards of about ``SHARD_PIECES``, and each shard is
+each) are stored, dealt in their input order, or that of a column, to shards of about ``SHARD_PIECES``, and each shard is
 packed in one task: best fit first, then the emptiest bins are dissolved by moves, one-for-one and
 two-for-one exchanges that raise the squared fill. A shard leaves one or two underfull bins, so
 the loss is a few sequences in tens of thousands, whatever the size of the input.
@@ -41,9 +41,9 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def token_pieces(
-    docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, with_ids: bool = False
+    docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, with_ids: bool = False, order: str | None = None
 ) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32`` (and ``ids``) of every piece of every document."""
+    """``doc_id, piece, start, length, ids_crc32`` (and ``ids``, and ``order`` as ``dealt``) of every piece of every document."""
     end = np.asarray([end_id], "<u4").tobytes()
     width = 4 * max_tokens
 
@@ -51,10 +51,11 @@ def token_pieces(
         encode = encoder(tokenizer_path).encode
         doc_ids = batch.column(0).to_pylist()
         found = [x + end for x in encode([t or "" for t in batch.column(1).to_pylist()])]
-        cut = [(d, i, x[i * width : (i + 1) * width]) for d, x in zip(doc_ids, found, strict=True)
+        rows = range(batch.num_rows)
+        cut = [(r, i, x[i * width : (i + 1) * width]) for r, x in zip(rows, found, strict=True)
                for i in range(-(-len(x) // width))]
         columns = [
-            pa.array([d for d, _, _ in cut], pa.int64()),
+            pa.array([doc_ids[r] for r, _, _ in cut], pa.int64()),
             pa.array([i for _, i, _ in cut], pa.int32()),
             pa.array([i * max_tokens for _, i, _ in cut], pa.int64()),
             pa.array([len(x) // 4 for _, _, x in cut], pa.int64()),
@@ -64,10 +65,14 @@ def token_pieces(
         if with_ids:
             columns.append(pa.array([np.frombuffer(x, "<u4").astype(np.int64) for _, _, x in cut], pa.list_(pa.int64())))
             names.append("ids")
+        if order:
+            columns.append(batch.column(2).take(pa.array([r for r, _, _ in cut], pa.int64())))
+            names.append("dealt")
         return pa.RecordBatch.from_arrays(columns, names)
 
-    schema = PIECES + (", ids array<long>" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(by_slices(work), schema)
+    schema = PIECES + (", ids array<long>" if with_ids else "") + (", dealt long" if order else "")
+    own = [F.col(f"`{order}`").cast("long").alias("dealt")] if order else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *own).mapInArrow(by_slices(work), schema)
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -160,32 +165,44 @@ def pack_lengths(lengths: list[int], capacity: int) -> list[list[int]]:
     return local_search(best_fit(lengths, capacity), lengths, capacity)
 
 
-def pack(pieces: DataFrame, capacity: int = MAX_TOKENS, shard_pieces: int = SHARD_PIECES) -> DataFrame:
-    """``pieces`` with ``sequence_id`` and ``offset``; pieces that stand together are packed together."""
-    kept = stored(pieces, "pieces").withColumn("dealt", F.monotonically_increasing_id())
-    shards = max(1, -(-kept.count() // shard_pieces))
-    schema = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
+def pack(pieces: DataFrame, capacity: int = MAX_TOKENS, shard_pieces: int | None = None) -> DataFrame:
+    """``pieces`` with ``sequence_id`` and ``offset``; pieces that stand together are packed together.
+
+    If ``pieces`` have a column ``dealt``, it gives their order in place of the rows' own, and is not kept:
+    shards are stretches of it, and a shard's sequences are numbered by their pieces' mean place in it.
+    """
+    kept, ordered = stored(pieces, "pieces"), "dealt" in pieces.columns
+    kept = kept if ordered else kept.withColumn("dealt", F.monotonically_increasing_id())
+    shards = max(1, -(-kept.count() // (shard_pieces or SHARD_PIECES)))
+    fields = [f for f in pieces.schema.fields if f.name != "dealt"]
+    schema = StructType([*fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [b for b in batches if b.num_rows]
         if not rows:
             return
         shard = pa.Table.from_batches(rows).combine_chunks()
-        shard = shard.take(pa.compute.sort_indices(shard["dealt"])).drop_columns(["dealt"])
+        shard = shard.take(pa.compute.sort_indices(shard, [("dealt", "ascending"), ("piece", "ascending")])).drop_columns(["dealt"])
         lengths = shard["length"].to_pylist()
         sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
         first = TaskContext.get().partitionId() << 32
-        for number, members in enumerate(pack_lengths(lengths, capacity)):
+        packed_bins = pack_lengths(lengths, capacity)
+        if ordered:
+            packed_bins.sort(key=lambda members: (sum(members) / len(members), min(members)))
+        for number, members in enumerate(packed_bins):
             at = 0
             for i in sorted(members):
                 sequence[i], offset[i] = first + number, at
                 at += lengths[i]
         packed = shard.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+        if ordered:
+            packed = packed.sort_by([("sequence_id", "ascending"), ("offset", "ascending")])
         yield from packed.to_batches()
 
-    return kept.repartitionByRange(shards, "dealt").mapInArrow(work, schema)
+    return kept.repartitionByRange(shards, *(["dealt", "piece"] if ordered else ["dealt"])).mapInArrow(work, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """Every piece of every document with its place: sequence and offset."""
-    return pack(token_pieces(docs, tokenizer_path, max_tokens), max_tokens)
+def pack_documents(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, order: str | None = None) -> DataFrame:
+    """Every piece of every document with its place: sequence and offset. ``order`` names a column of
+    whole numbers by which documents are dealt."""
+    return pack(token_pieces(docs, tokenizer_path, max_tokens, order=order), max_tokens)

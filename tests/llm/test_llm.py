@@ -618,6 +618,33 @@ def test_pipeline(spark, docs, texts):
     )
 
 
+def test_shards_follow_the_mix(spark, tmp_path, monkeypatch):
+    """Several files between the stages; the readers' order of files must not matter."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(["word"] * rng.randint(20, 300 + i)), "en", "abc"[min(2, i % 7 // 3)], 0) for i in range(1200)]
+    made = spark.createDataFrame(rows, DOCUMENTS)
+    made.write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[-2:])
+    monkeypatch.setattr(packing, "SHARD_PIECES", 200)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    check_packing(found, {r[0]: r[1] for r in rows})
+    position = {r.doc_id: r.position for r in mixing.schedule(made).collect()}
+    shards: dict = {}
+    for r in found:
+        shards.setdefault(r.sequence_id >> 32, []).append(position[r.doc_id])
+    edges = [(min(x), max(x)) for _, x in sorted(shards.items())]
+    assert len(edges) == 6 and all(a[1] < b[0] for a, b in zip(edges, edges[1:], strict=False))
+    places: dict = {}
+    for r in found:
+        places.setdefault(r.sequence_id, []).append(position[r.doc_id])
+    means = [np.mean(x) for _, x in sorted(places.items())]
+    assert means == sorted(means)
+
+
 def test_pipeline_stages_on_edges(spark, edge, nothing):
     for name, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, edge, SF).count() > 0 and stage(spark, nothing, SF).count() == 0, name
