@@ -8,7 +8,9 @@ speaks of licences without granting one. A temperature and the threshold for lea
 are calibrated on a part of the samples that was not learned from.
 
 A paragraph that the classifier gives to a family is confirmed if it holds at least ``LEAST_SHARE`` of the word
-pairs of one of the family's templates. Every line of every whole text is classified.
+pairs of one of the family's templates. Every line of every whole text is classified. Notices that are
+wrapped are found in windows of up to ``WINDOW`` lines on end, none of them blank or confirmed alone or in a
+shorter window: those that hold two word pairs of templates are classified and compared likewise.
 
 Edge cases: NULL and empty texts have no paragraphs; repeated rows give equal rows; an empty table gives
 none, and the model then knows the decoys alone as ``unknown``. Places are code points, ends exclusive.
@@ -31,6 +33,8 @@ FEATURES = 1 << 16
 TRAIN_DOCS, TRAIN_CHARS, TRAIN_LINES = 400, 20_000, 1500
 VARIATIONS, ROUNDS, RATE, DECAY, SEED = 30, 50, 3.0, 1e-4, 13
 LEAST_SHARE = 0.6
+#: Lines of the longest window for wrapped notices.
+WINDOW = 3
 
 #: Notices by which public licences are named or granted, by family.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -248,6 +252,39 @@ def confirmed(paragraph: str, family: str) -> float:
     return max(len(own & pairs) / len(pairs) for pairs in _TEMPLATE_PAIRS[family])
 
 
+def _template_features() -> np.ndarray:
+    """Which feature numbers are word pairs of templates."""
+    data, offsets = text_bytes(pa.array([t for all_ in TEMPLATES.values() for t in all_]))
+    both, first, n = features(data, offsets)
+    held = np.zeros(FEATURES, bool)
+    for a, m in zip(first, n, strict=True):
+        held[both[a + 1 : a + m - 1 : 2]] = True
+    return held
+
+
+_TEMPLATE_FEATURES = _template_features()
+
+
+def windows(data: np.ndarray, edges: np.ndarray, open_lines: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
+    """First lines of the windows of ``size`` open lines of one text that can hold a template."""
+    if len(open_lines) < size:
+        return np.zeros(0, np.int64)
+    count = len(open_lines) - size + 1
+    whole = owner[:count] == owner[size - 1 :]
+    for i in range(size):
+        whole &= open_lines[i : i + count]
+    # Pairs of the whole batch, so that those across a line break count as well.
+    plain = _PLAIN[data]
+    starts, ends, _ = words_of(plain, np.array([0, len(data)]))
+    if len(starts) < 2:
+        return np.zeros(0, np.int64)
+    pairs = mix(run_hashes(word_hashes(plain, starts, ends), 2)[: len(starts) - 1]) % np.uint64(FEATURES)
+    held = np.append(0, np.cumsum(_TEMPLATE_FEATURES[pairs.astype(np.int64)]))
+    at = np.searchsorted(starts, edges)
+    low, high = at[:count], np.maximum(at[size : size + count] - 1, at[:count])
+    return np.flatnonzero(whole & (held[np.minimum(high, len(held) - 1)] - held[np.minimum(low, len(held) - 1)] >= 2))
+
+
 def learn(docs: DataFrame, rows: int = TRAIN_DOCS) -> Classifier:
     """Fit on templates and on lines of at most ``rows`` documents, the lowest hashes of their ids."""
     ids = docs.select("doc_id").orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(rows)
@@ -263,7 +300,8 @@ def scan(docs: DataFrame, model: Classifier) -> DataFrame:
     """``doc_id, n_paragraphs, n_predicted, n_confirmed, families, found`` of every row.
 
     ``found`` lists ``family:start:end:probability:share`` of confirmed paragraphs, ``families`` their
-    families once each, in order of the alphabet.
+    families once each, in order of the alphabet. ``n_paragraphs`` counts lines, ``n_predicted`` lines that the
+    classifier gives to a family and confirmed windows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -277,22 +315,44 @@ def scan(docs: DataFrame, model: Classifier) -> DataFrame:
         filled = some[edges[1:]] > some[edges[:-1]]
         owner = np.searchsorted(offsets, edges[:-1], side="right") - 1
         counts = np.bincount(owner[filled], minlength=batch.num_rows)
-        found: list[list[str]] = [[] for _ in range(batch.num_rows)]
+        found: list[list[tuple[int, str]]] = [[] for _ in range(batch.num_rows)]
         predicted = np.zeros(batch.num_rows, np.int64)
         names: list[set[str]] = [set() for _ in range(batch.num_rows)]
+        free = filled.copy()
+
+        def take(i: int, size: int, kind: str, probability: float) -> bool:
+            row, lines = owner[i], data[edges[i] : edges[i + size]].tobytes().decode()
+            share = confirmed(lines, kind)
+            if share < LEAST_SHARE:
+                return False
+            # A wrapped notice goes on for as long as a line adds to what it holds of a template.
+            while size > 1 and i + size < len(owner) and owner[i + size] == row and free[i + size]:
+                longer = data[edges[i] : edges[i + size + 1]].tobytes().decode()
+                if confirmed(longer, kind) <= share:
+                    break
+                lines, share, size = longer, confirmed(longer, kind), size + 1
+            start = len(data[offsets[row] : edges[i]].tobytes().decode())
+            names[row].add(kind)
+            found[row].append((start, f"{kind}:{start}:{start + len(lines.rstrip(chr(10)))}:{probability:.3f}:{share:.3f}"))
+            free[i : i + size] = False
+            return True
+
         for i in np.flatnonzero((family > 0) & filled):
-            row = owner[i]
-            predicted[row] += 1
-            line = data[edges[i] : edges[i + 1]].tobytes().decode()
-            share = confirmed(line, FAMILIES[family[i]])
-            if share >= LEAST_SHARE:
-                start = len(data[offsets[row] : edges[i]].tobytes().decode())
-                names[row].add(FAMILIES[family[i]])
-                found[row].append(f"{FAMILIES[family[i]]}:{start}:{start + len(line.rstrip(chr(10)))}:{chance[i]:.3f}:{share:.3f}")
+            predicted[owner[i]] += 1
+            take(i, 1, FAMILIES[family[i]], chance[i])
+        for size in range(2, WINDOW + 1):
+            at = windows(data, edges, free, owner, size)
+            if not len(at):
+                continue
+            joined = [data[edges[i] : edges[i + size]] for i in at]
+            kinds, likely = shared.value.families(np.concatenate(joined), np.append(0, np.cumsum([len(x) for x in joined])))
+            for i, kind, probability in zip(at, kinds, likely, strict=True):
+                if kind and free[i : i + size].all():
+                    predicted[owner[i]] += take(i, size, FAMILIES[kind], probability)
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0), pa.array(counts, pa.int64()), pa.array(predicted), pa.array([len(x) for x in found], pa.int64()),
-                pa.array([",".join(sorted(x)) for x in names]), pa.array([",".join(x) for x in found]),
+                pa.array([",".join(sorted(x)) for x in names]), pa.array([",".join(y for _, y in sorted(x)) for x in found]),
             ],
             ["doc_id", "n_paragraphs", "n_predicted", "n_confirmed", "families", "found"],
         )

@@ -216,6 +216,25 @@ def test_licenses_held_out_and_edges(edge, nothing, texts):
     assert licenses.scan(nothing, licenses.learn(nothing)).count() == 0
 
 
+def test_licenses_find_wrapped_notices(spark, texts):
+    model = licenses.train([x for t in list(texts.values())[:100] for x in t.split("\n") if x.strip()])
+    cases = [
+        ("Licensed under the Apache\nLicense, Version 2.0", "Apache-2.0"),
+        ("This work is licensed under the GNU\nGeneral Public License, version 3", "GPL"),
+        ("# Permission is hereby granted, free of charge, to any person\n# obtaining a copy of this software and associated documentation files", "MIT"),
+        ("Permission is hereby granted, free\nof charge, to any person obtaining a copy\nof this software and associated documentation files", "MIT"),
+        ("Licensed under the Apache\n\nLicense, Version 2.0", ""), ("He went home.\nThe rights of all were reserved\nfor later.", ""),
+        ("", ""), (None, ""),
+    ]
+    rows = [(i, None if t is None else f"é first line of the text\n\n{t}\n\nlast line") for i, (t, _) in enumerate(cases)]
+    found = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), model).collect()}
+    assert [found[i].families for i in range(len(cases))] == [f for _, f in cases]
+    for i, (t, f) in enumerate(cases):
+        if f:
+            kind, a, b, *_ = found[i].found.split(":")
+            assert (rows[i][1][int(a) : int(b)], found[i].n_confirmed) == (t, 1)
+
+
 # near copies
 
 
