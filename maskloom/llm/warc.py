@@ -6,7 +6,7 @@ Both name the response in ``WARC-Refers-To`` (with its URI and date), each other
 ``WARC-Concurrent-To``, and carry the response's payload digest beside the digest of their own block.
 Record ids follow from the response's id and the type, so a repeated run gives the same records.
 
-Digests are ``sha256:`` and lowercase hex. Edge cases: a NULL payload is empty; a NULL URI or header is
+Digests that are computed are ``sha256:`` and lowercase hex; one that the response names is kept as it is. Edge cases: a NULL payload is empty; a NULL URI or header is
 empty in the records; repeated responses give repeated records; an empty table gives none; an
 unclosed comment, script or style is left to the rule for tags; other columns of pages are not read.
 """
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
 from collections.abc import Iterator
 from typing import BinaryIO
 
@@ -92,7 +93,13 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame
 
 
 def derivatives(responses: DataFrame, *keep: str) -> DataFrame:
-    """Two records of each response, with the columns ``keep``."""
+    """Two records of each response, with the columns ``keep``.
+
+    The source's digest is ``payload_digest``, if there and not NULL, else that of ``payload_bytes``, if there,
+    else that of ``payload``. The source's own headers go on with ``keep``: ``derivatives(read, "fields")``."""
+    own = set(responses.columns)
+    named = [F.col("payload_digest")] if "payload_digest" in own else []
+    whole = F.coalesce(F.col("payload_bytes"), F.lit(b"")) if "payload_bytes" in own else F.coalesce("payload", F.lit(""))
     payload, header = F.coalesce("payload", F.lit("")), F.coalesce("http_header", F.lit(""))
     metadata, conversion = (record_id(F.lit(kind), F.col("record_id")) for kind in ("metadata", "conversion"))
     source = responses.select(
@@ -100,7 +107,7 @@ def derivatives(responses: DataFrame, *keep: str) -> DataFrame:
         F.col("record_id").alias("refers_to"),
         F.coalesce("target_uri", F.lit("")).alias("target_uri"),
         F.col("warc_date"),
-        digest(payload).alias("source_digest"),
+        F.coalesce(*named, digest(whole)).alias("source_digest"),
         F.to_json(F.struct(title(payload).alias("title"), links(payload).alias("links"), header.alias("http_header"))).alias("json"),
         plain_text(payload).alias("plain"),
         metadata.alias("metadata_id"),
@@ -186,13 +193,42 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(work, "fields map<string,string>, block binary")
 
 
+def _decoded_block(block: bytes) -> tuple[str, str]:
+    """HTTP header and payload as text: by the header's charset, else UTF-8; wrong bytes are replaced."""
+    head, found, body = block.partition(b"\r\n\r\n")
+    if not found:
+        head, body = b"", block
+    named = re.search(rb"(?im)^content-type:[^\r\n]*?charset\s*=\s*[\"']?([\w.:-]+)", head)
+    try:
+        text = body.decode(named[1].decode("ascii", "replace") if named else "utf-8", "replace")
+    except (LookupError, UnicodeError):
+        text = body.decode("utf-8", "replace")
+    return head.decode("utf-8", "replace"), text
+
+
 def responses_of(records: DataFrame) -> DataFrame:
-    """Response records that were read from files, as ``derivatives`` takes them; bytes that are not UTF-8 are replaced."""
+    """Response records that were read from files, as ``derivatives`` takes them.
+
+    ``payload`` is decoded by the charset of the HTTP header, ``payload_bytes`` are its bytes, ``fields`` are the record's
+    own WARC headers, and ``payload_digest`` is the one that the record names, NULL if none."""
     field = lambda name: F.get(F.map_values(F.map_filter("fields", lambda k, _: k == name)), F.lit(0))
-    text = F.decode(F.col("block"), "UTF-8")
-    at = F.instr(text, CRLF * 2)
-    return records.filter(field("warc-type") == "response").select(
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks = [b or b"" for b in batch.column(5).to_pylist()]
+            texts = [_decoded_block(b) for b in blocks]
+            bodies = [b.partition(b"\r\n\r\n")[2] if b"\r\n\r\n" in b else b for b in blocks]
+            columns = [*batch.columns[:3], pa.array([h for h, _ in texts], pa.string()), pa.array([t for _, t in texts], pa.string())]
+            columns += [pa.array(bodies, pa.binary()), batch.column(3), batch.column(4)]
+            names = ["record_id", "target_uri", "warc_date", "http_header", "payload", "payload_bytes", "payload_digest", "fields"]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    chosen = records.filter(field("warc-type") == "response").select(
         field("warc-record-id").alias("record_id"), field("warc-target-uri").alias("target_uri"), field("warc-date").alias("warc_date"),
-        F.when(at > 0, F.substring(text, F.lit(1), at - 1)).otherwise(F.lit("")).alias("http_header"),
-        F.when(at > 0, F.substring(text, at + 4, F.length(text))).otherwise(text).alias("payload"),
+        field("warc-payload-digest").alias("payload_digest"), "fields", "block",
     )
+    return chosen.mapInArrow(
+        work,
+        "record_id string, target_uri string, warc_date string, http_header string, payload string, payload_bytes binary, "
+        "payload_digest string, fields map<string,string>",
+    )

@@ -543,6 +543,23 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
 
 
+def test_warc_keeps_digests_and_reads_other_charsets(spark, tmp_path):
+    def record(name, http, body, more):
+        block = http + b"\r\n\r\n" + body
+        head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <{name}>\r\nWARC-Date: d\r\nWARC-Target-URI: u\r\n{more}Content-Length: {len(block)}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+
+    body = "<p>café</p>".encode("latin-1")
+    latin, plain = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=ISO-8859-1", b"HTTP/1.1 200 OK"
+    sha1 = "WARC-Payload-Digest: sha1:ABC\r\nWARC-IP-Address: 1.2.3.4\r\n"
+    (tmp_path / "a.warc").write_bytes(record("a", latin, body, sha1) + record("b", plain, body, "") + record("c", plain, b"<p>ok</p>", ""))
+    made = warc.derivatives(warc.responses_of(warc.read_warc(spark, str(tmp_path))), "fields").filter("warc_type = 'conversion'")
+    found = {r.refers_to: r for r in made.collect()}
+    assert {k: r.block for k, r in found.items()} == {"<a>": "café", "<b>": "caf\ufffd", "<c>": "ok"}
+    assert found["<a>"].source_digest == "sha1:ABC" and found["<a>"].fields["warc-ip-address"] == "1.2.3.4"
+    assert found["<b>"].source_digest == "sha256:" + hashlib.sha256(body).hexdigest()
+
+
 # secrets
 
 
