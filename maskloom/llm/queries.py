@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from maskloom.llm import licenses, secrets, warc
+from maskloom.llm import language, licenses, repair, secrets, trie, warc
 from maskloom.llm.common import table
 from maskloom.llm.digest import edited_likeness
 from maskloom.llm.mixing import schedule
@@ -60,6 +60,20 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.learn(docs))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.learn(docs))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return repair.summaries(repair.damaged(turns), turns)
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(trie.rebuilt(trie.sequences(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_best_fit_packing": op1_best_fit_packing,
@@ -72,4 +86,7 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_warc_derivatives": op9_warc_derivatives,
     "op10_secret_scan": op10_secret_scan,
+    "op11_language_id": op11_language_id,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_conversation_trie": op13_conversation_trie,
 }

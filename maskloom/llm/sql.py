@@ -80,3 +80,115 @@ FROM two
 """
 
 SQL["op9_warc_derivatives"] = WARC
+
+
+def _crc32(text: str) -> str:
+    """The unsigned CRC-32 of ASCII text."""
+    bits = "list_reduce(range(8), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)), xor(crc, byte))"
+    codes = f"list_transform(range(1, length({text}) + 1), lambda k: CAST(unicode(substr({text}, k, 1)) AS BIGINT))"
+    return f"xor(list_reduce({codes}, lambda crc, byte: {bits}, CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+def _edit(label: str, price: str, letter: str) -> str:
+    """A label is a cost in nine digits and an audit, so the least label is the cheapest, then the least audit."""
+    return f"lpad(CAST(CAST(left({label}, 9) AS BIGINT) + {price} AS VARCHAR), 9, '0') || '{letter}' || substr({label}, 10)"
+
+
+def _after_row(state: int, kept: dict[int, int], next_part: int, next_state: int) -> str:
+    """The least label before a row of part ``p`` and fault ``f``, whose deletion, keeping and change lead to known labels."""
+    more = "CASE f WHEN 3 THEN 5 ELSE 0 END"
+    ways = [_edit(f"f{state}", "2", "D")]
+    ways += [f"CASE WHEN f IN (0, 3) AND p = {part} THEN {_edit(f'f{to}', more, 'K')} END" for part, to in kept.items()]
+    ways.append(f"CASE WHEN f IN (0, 3) AND p <> {next_part} THEN {_edit(f'f{next_state}', '1 + ' + more, 'R')} END")
+    return f"least({', '.join(ways)}) AS b{state}"
+
+
+_INSERTED = f"""least(b0, {_edit('c2', '5', 'I')}) AS f0, least(b1, {_edit('c2', '5', 'I')}) AS f1, c2 AS f2, least(b3, {_edit('b2', '5', 'I')}) AS f3
+    FROM (SELECT *, least(b2, {_edit('b3', '5', 'I')}) AS c2"""
+
+# Parts: 1 system, 2 user, 3 assistant. States: 0 start, 1 after a system turn, 2 a user's, 3 an assistant's.
+REPAIR = f"""
+WITH RECURSIVE given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations
+), hit AS (SELECT *, {_crc32('key')} % 20 AS damage FROM given),
+damaged AS (
+  SELECT conv_id, turn, CASE damage WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE damage WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM hit CROSS JOIN range(2) copies(copy) WHERE damage <> 0 AND (copy = 0 OR damage = 3)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS place,
+         rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body,
+         CASE left(role, 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 WHEN 'a' THEN 3 ELSE 0 END AS part
+  FROM damaged
+), faulty AS (
+  SELECT *, CASE WHEN body = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 2 WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY place) || left(role, 1) NOT IN ('su', 'ua', 'au') AS broken
+  FROM placed
+), ids AS (SELECT DISTINCT conv_id FROM conversations),
+counted AS (
+  SELECT ids.conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+         count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (broken) AS illegal,
+         coalesce(list(part ORDER BY place) FILTER (place IS NOT NULL), []) AS parts,
+         coalesce(list(fault ORDER BY place) FILTER (place IS NOT NULL), []) AS faults
+  FROM ids LEFT JOIN faulty ON faulty.conv_id IS NOT DISTINCT FROM ids.conv_id GROUP BY ids.conv_id
+), lattice(conv_id, i, parts, faults, f0, f1, f2, f3) AS (
+  SELECT conv_id, i, parts, faults, {_INSERTED} FROM (
+    SELECT conv_id, len(parts) AS i, parts, faults, '000000000' AS b0, CAST(NULL AS VARCHAR) AS b1, CAST(NULL AS VARCHAR) AS b2, '000000000' AS b3 FROM counted))
+  UNION ALL
+  SELECT conv_id, i, parts, faults, {_INSERTED} FROM (
+    SELECT conv_id, i - 1 AS i, parts, faults, {_after_row(0, {1: 1, 2: 2}, 2, 2)}, {_after_row(1, {2: 2}, 2, 2)},
+           {_after_row(2, {3: 3}, 3, 3)}, {_after_row(3, {2: 2}, 2, 2)}
+    FROM (SELECT *, parts[i] AS p, faults[i] AS f FROM lattice WHERE i > 0)))
+), cheapest AS (
+  SELECT conv_id, CAST(left(f0, 9) AS BIGINT) AS cost, substr(f0, 10) AS audit FROM lattice WHERE i = 0
+), letters AS (
+  SELECT conv_id, k, substr(audit, k, 1) AS letter, length(replace(left(audit, k), 'I', '')) AS place
+  FROM cheapest CROSS JOIN LATERAL (SELECT unnest(range(1, length(audit) + 1)) AS k)
+), stays AS (
+  SELECT l.conv_id, l.letter, r.role, r.text, r.part, row_number() OVER (PARTITION BY l.conv_id ORDER BY k) AS j
+  FROM letters l LEFT JOIN faulty r ON l.letter <> 'I' AND r.conv_id IS NOT DISTINCT FROM l.conv_id AND r.place = l.place WHERE l.letter <> 'D'
+), headed AS (
+  SELECT *, first_value(CASE WHEN letter = 'K' AND part = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY j) AS system FROM stays
+), repaired AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (j - system) % 2 = 1 THEN 'user' ELSE 'assistant' END
+         || ':' || CASE letter WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS turns FROM headed GROUP BY conv_id
+)
+SELECT c.conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, sha256(coalesce(turns, '')) AS repaired_sha256
+FROM counted c JOIN cheapest a ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+TRIE = f"""
+WITH given AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), placed AS (
+  SELECT conv_id, md5(length(role) || ':' || role || text) AS digest, length(text) AS chars,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, digest) AS place FROM given
+), conv AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, {_crc32('key')} % 6 AS h FROM (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS key FROM given)
+), taken AS (
+  SELECT conv.conv_id, 0 AS part, place, digest, chars FROM conv JOIN placed ON placed.conv_id = base AND place <= h
+  UNION ALL
+  SELECT conv.conv_id, 1, place, digest, chars FROM conv JOIN placed ON placed.conv_id = conv.conv_id AND place > h
+), paths AS (
+  SELECT conv_id, row_number() OVER o AS depth, chars, string_agg(digest, '') OVER o AS path FROM taken
+  WINDOW o AS (PARTITION BY conv_id ORDER BY part, place ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT conv_id, 0, 0, '' FROM conv
+), ended AS (
+  SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+  FROM (SELECT conv_id, arg_max(path, depth) AS path FROM paths GROUP BY conv_id) GROUP BY path
+), node AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars, left(path, 32 * (depth - 1)) AS above
+  FROM paths GROUP BY path, depth
+), kids AS (SELECT above, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY above),
+below AS (
+  SELECT left(node.path, 32 * up) AS path, CAST(count(*) FILTER (kids.above IS NULL) AS BIGINT) AS n_leaves, CAST(sum((n_convs - 1) * chars) AS BIGINT) AS saved_tokens
+  FROM node LEFT JOIN kids ON kids.above = node.path CROSS JOIN LATERAL (SELECT unnest(range(node.depth + 1)) AS up) GROUP BY 1
+)
+SELECT node.conv_id, node.depth, p.conv_id AS parent_conv_id, node.n_convs, coalesce(kids.n_children, 0) AS n_children, n_leaves, saved_tokens,
+       sha256(coalesce(ids, '')) AS ends_sha256
+FROM node JOIN below USING (path) LEFT JOIN kids ON kids.above = node.path LEFT JOIN ended ON ended.path = node.path
+LEFT JOIN node p ON node.depth > 0 AND p.path = node.above AND p.depth = node.depth - 1
+"""
+
+SQL |= {"op12_conversation_repair": REPAIR, "op13_conversation_trie": TRIE}
