@@ -9,9 +9,7 @@ Texts that agree in a sketch are sorted by their next sketches and each is paire
 sketch and no task gathers a group: the sort is by range, which splits a group of any size. Texts
 at or above the threshold agree in about half of all sketches, and then in most of the next ones, so they
 stand side by side in some of the sorts; a similar pair outside these pairs joins through
-the texts between them. Where texts of a sketch are still in different groups, they are sorted anew by
-other sketches, and a text is paired with those before it that are in other groups, until a round
-links no two groups. These sorts only spare work. What they leave is paired in full: texts of
+the texts between them. These sorts only spare work. What they leave is paired in full: texts of
 a sketch that still holds several groups are joined by an exact prefix filter. In one order of all
 runs, common ones last, two texts at the threshold share one of the first ``n - ceil(SIMILARITY * n) + 1``
 runs of each; runs of many texts are joined in blocks of about ``BLOCK`` against blocks. So two texts at
@@ -43,12 +41,11 @@ from maskloom.llm.words import mix, run_hashes, word_hashes, words_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, TAKEN, PARTNERS = 16, 3, 3
-#: Steps between the sketches by which texts in different groups are sorted anew; odd, so that they reach all.
-STEPS = (3, 5, 7)
-#: Counters by which runs are ordered; runs that share one change the work, not the result.
-COUNTER_BITS = 21
-#: Texts of a run that one task joins with as many others.
-BLOCK = 1000
+#: Bits of the counters by which runs are ordered, by the number of runs, of which there is one to about as many
+#: characters; runs that share a counter change the work, not the result.
+LEAST_BITS, MOST_BITS, RUN_CHARS = 16, 22, 6
+#: Texts of a run that one task joins with as many others, and parts by which rows of one run are dealt before.
+BLOCK, SALTS = 1000, 64
 
 
 def shingled(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,32 +179,26 @@ def _candidates(classes: DataFrame) -> DataFrame:
 
 
 def _parted(rows: DataFrame, name: str) -> DataFrame:
-    """Values of ``name`` with texts of several groups, and how many rows have them."""
-    return rows.groupBy(name).agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("rows")).filter("low <> high")
+    """The rows whose ``name`` is one of texts of several groups, and in how many ``blocks`` these are joined.
 
-
-def _rest(texts: DataFrame, checked: DataFrame) -> DataFrame:
-    """Pairs, not in ``checked``, of texts that agree in a sketch and are in different groups."""
-    buckets = texts.select("k", "c", "group", "s", F.posexplode("s").alias("j", "x")).withColumn("key", F.xxhash64("j", "x"))
-    parted = _parted(buckets, "key")
-    at = lambda i: F.get("s", (F.col("j") + i * F.col("step")) % SKETCHES)
-    buckets = buckets.join(parted.select("key"), "key").withColumn("step", F.explode(F.array(*map(F.lit, STEPS)))).select(
-        F.xxhash64("key", "step").alias("key"), at(1).alias("one"), at(2).alias("two"), at(3).alias("three"), "group", "k", "c"
-    )
-    found = _side_by_side(buckets, ["key", "one", "two", "three", "group", "k", "c"])
-    return found.join(checked, ["ak", "ac", "bk", "bc"], "left_anti")
+    Rows of one value are dealt by text as well, so a value of very many texts is no task's alone.
+    """
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("n"), F.lit(SALTS)).cast("int"))
+    some = rows.groupBy(name, "salt").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("rows"))
+    whole = some.groupBy(name).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("rows").alias("rows")).filter("low <> high")
+    known = some.select(name, "salt").join(whole.select(name, F.ceil(F.col("rows") / BLOCK).alias("blocks")), name)
+    return rows.join(known, [name, "salt"]).drop("salt")
 
 
 def _left_apart(docs: DataFrame, texts: DataFrame, checked: DataFrame) -> DataFrame:
     """All pairs, not in ``checked``, that can be at the threshold, of texts in different groups that
     stand in sketches of several groups."""
     buckets = texts.select("n", "group", F.posexplode("s").alias("j", "x")).select("n", "group", F.xxhash64("j", "x").alias("key"))
-    apart = buckets.join(_parted(buckets, "key"), "key", "left_semi").select("n").distinct()
+    apart = _parted(buckets, "key").select("n").distinct()
     apart = texts.join(apart, "n").select("k", "c", "n", "group")
     apart = stored(docs.select(*_keyed(docs)).join(apart, ["k", "c"]).dropDuplicates(["n"]).select("n", "group", "text"), "apart")
     postings = stored(_postings(apart), "postings")
-    posted = postings.join(_parted(postings, "mark").select("mark", F.ceil(F.col("rows") / BLOCK).alias("blocks")), "mark")
-    posted = posted.withColumn("block", F.pmod(F.xxhash64("n", "mark"), "blocks"))
+    posted = _parted(postings, "mark").withColumn("block", F.pmod(F.xxhash64("n", "mark"), "blocks"))
     side = lambda x: [F.col(c).alias(x + c) for c in ("n", "group", "size", "place")]
     left = posted.select("mark", F.col("block").alias("low"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("high"), *side("a_"))
     right = posted.select("mark", F.col("block").alias("high"), F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("low"), *side("b_"))
@@ -225,10 +216,12 @@ def _left_apart(docs: DataFrame, texts: DataFrame, checked: DataFrame) -> DataFr
 
 def _postings(apart: DataFrame) -> DataFrame:
     """``mark, n, group, size, place``: the runs of each text of which two texts at the threshold share one."""
-    shift = np.uint64(64 - COUNTER_BITS)
+    chars = apart.agg(F.sum(F.length("text"))).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, int(chars // RUN_CHARS).bit_length() + 1))
+    shift = np.uint64(64 - bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << COUNTER_BITS, np.int64)
+        counts = np.zeros(1 << bits, np.int64)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             np.add.at(counts, (labelled_runs(*shingled(*text_bytes(batch.column(0)))) >> shift).astype(np.int64), 1)
@@ -240,7 +233,7 @@ def _postings(apart: DataFrame) -> DataFrame:
         yield from pa.table([pa.array(some), pa.array(counts[some])], ["counter", "seen"]).to_batches(1 << 16)
 
     total = apart.select("text").mapInArrow(count, "counter long, seen long").groupBy("counter").agg(F.sum("seen").alias("seen")).toArrow()
-    counts = np.zeros(1 << COUNTER_BITS, np.int64)
+    counts = np.zeros(1 << bits, np.int64)
     counts[total["counter"].to_numpy()] = total["seen"].to_numpy()
     shared = apart.sparkSession.sparkContext.broadcast(counts)
 
@@ -331,14 +324,8 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     checked = stored(_candidates(texts), "pairs")
     links = stored(_verified(docs, checked), "links")
     texts = texts.withColumn("n", F.xxhash64("c"))
-    while True:
-        node = _in_groups(texts, links)
-        pairs = stored(_rest(node, checked), "pairs")
-        more = stored(_verified(docs, pairs), "links")
-        if more.isEmpty():
-            break
-        links, checked = links.unionAll(more), checked.unionAll(pairs)
-    more = stored(_verified(docs, stored(_left_apart(docs, node, checked.unionAll(pairs)), "pairs")), "links")
+    node = _in_groups(texts, links)
+    more = stored(_verified(docs, stored(_left_apart(docs, node, checked), "pairs")), "links")
     if not more.isEmpty():
         node = _in_groups(texts, links.unionAll(more))
     node = node.select("c", "k", "copies", "group")
