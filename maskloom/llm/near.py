@@ -230,10 +230,12 @@ def _postings(apart: DataFrame) -> DataFrame:
         for _ in by_slices(work, 1 << 20)(batches):
             pass
         some = np.flatnonzero(counts)
-        yield from pa.table([pa.array(some), pa.array(counts[some])], ["counter", "seen"]).to_batches(1 << 16)
+        yield from pa.table([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["counter", "seen"]).to_batches(1 << 16)
 
-    total = apart.select("text").mapInArrow(count, "counter long, seen long").groupBy("counter").agg(F.sum("seen").alias("seen")).toArrow()
-    counts = np.zeros(1 << bits, np.int64)
+    # Only the order of runs is wanted: a byte for each counter, four steps to a doubling.
+    total = apart.select("text").mapInArrow(count, "counter int, seen long").groupBy("counter").agg(F.sum("seen").alias("seen"))
+    total = total.select("counter", F.least(F.floor(4 * F.log2("seen")), F.lit(127)).cast("tinyint").alias("seen")).toArrow()
+    counts = np.full(1 << bits, -1, np.int8)
     counts[total["counter"].to_numpy()] = total["seen"].to_numpy()
     shared = apart.sparkSession.sparkContext.broadcast(counts)
 
@@ -327,7 +329,10 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     node = _in_groups(texts, links)
     more = stored(_verified(docs, stored(_left_apart(docs, node, checked), "pairs")), "links")
     if not more.isEmpty():
-        node = _in_groups(texts, links.unionAll(more))
+        one, two = (node.select(F.col("n").alias(x), F.col("group").alias(f"{x}_group")) for x in ("a", "b"))
+        apart = more.join(one, "a").join(two, "b").select("a_group", "b_group").distinct()
+        found = components(apart, "a_group", "b_group")
+        node = node.drop("node", "component").join(found, node.group == found.node, "left").withColumn("group", F.coalesce("component", "group"))
     node = node.select("c", "k", "copies", "group")
     first = node.groupBy("group").agg(F.min(F.struct("k", "c", "copies")).alias("first"))
     node = node.select("c", "group").join(first, "group").select(
