@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from maskloom.functions import dates
 from maskloom.functions.hashing import MAX_MODULUS, md5_index, text_array
 from maskloom.functions.pools import DEFAULT_CATEGORY, DEFAULT_POOLS, Pools
 
@@ -127,9 +128,12 @@ def _shift(day: Column, offset: Column, pattern: str) -> Column:
 def mask_date(value: Column, offset: Column | int, formats: list[str] | None = None) -> Column:
     """Shift a date text by ``offset`` days; NULL where it cannot be read or leaves year 9999.
 
-    ``formats`` names further patterns to accept; each is written back in its own pattern.
+    ``formats`` names further patterns to accept; each is written back in its own pattern. With
+    ``dd/MM/yyyy`` among them and ``MM/dd/yyyy`` not, months don't come first.
     """
     text, days = value.cast("string"), _literal(offset)
+    if formats and dates.replaces_default(formats):
+        return F.coalesce(*[dates.shift(text, pattern, days) for pattern in formats])
     day = parse_date(text)
     # Far from year 9999 no test of the result is needed, so the text is parsed only once.
     near = isinstance(offset, int) and abs(offset) > 36500
@@ -138,7 +142,7 @@ def mask_date(value: Column, offset: Column | int, formats: list[str] | None = N
     masked = guarded if near else F.when(F.right(text, F.lit(4)) < "9900", plain).otherwise(guarded)
     if not formats:
         return masked
-    return F.coalesce(masked, *[_shift(F.try_to_date(text, pattern), days, pattern) for pattern in formats])
+    return F.coalesce(masked, *[dates.shift(text, pattern, days) for pattern in formats if pattern != dates.DEFAULT])
 
 
 def read_amount(value: Column, numeric: bool) -> Column:
