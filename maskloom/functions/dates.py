@@ -1,6 +1,6 @@
 """Patterns in which dates are written: which of them read a value, and shifting a date in its pattern.
 
-A pattern with a time stands for its day and whatever time follows; the time is kept as it stands.
+Two-digit years are those from 1969 to 2068. A pattern with a time stands for its day and whatever time follows; the time is kept as it stands.
 """
 
 from __future__ import annotations
@@ -56,7 +56,9 @@ def _timed(pattern: str) -> bool:
 def read_day(text: Column, pattern: str) -> Column:
     """The day a text stands for in this pattern, else NULL."""
     day = F.regexp_extract(text, r"^[0-9/-]+", 0) if _timed(pattern) else text
-    return F.try_to_date(F.when(text.rlike(f"^{SHAPES[pattern]}\\z"), day), _day_pattern(pattern))
+    read = F.try_to_date(F.when(text.rlike(f"^{SHAPES[pattern]}\\z"), day), _day_pattern(pattern))
+    # Spark reads two digits as 2000 to 2099; those of 1969 to 1999 are meant by 69 and more.
+    return F.when(F.year(read) < 2069, read).otherwise(F.add_months(read, -1200)) if pattern.endswith("/yy") else read
 
 
 def pattern_bits(text: Column) -> Column:

@@ -88,3 +88,8 @@ def test_elimination_is_one_scan_and_counts_move(spark, tmp_path):
     spark.range(1000).select(F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")), "dd/MM/yyyy").alias("d"), F.lit("x").alias("o")).write.parquet(f"{tmp_path}/t")
     plan = date_patterns(spark.read.parquet(f"{tmp_path}/t"), ["d"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and "ReadSchema: struct<d:string>" in plan and plan.index("Exchange") < plan.rindex("HashAggregate")
+
+
+def test_two_digit_years(spark):
+    got = spark.range(1).select(*[fields.mask_date(F.lit(v), 366, ["MM/dd/yy"]) for v in ("02/28/99", "02/28/00", "03/01/68", "03/01/69")]).first()
+    assert tuple(got) == ("02/29/00", "02/28/01", "03/02/69", "03/02/70")

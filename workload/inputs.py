@@ -233,3 +233,64 @@ def unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get(text_array(["US", "DE", "JP", "BR", "ZZ"]), (F.col("o_custkey") % 5).cast("int")).alias("code"),
     )
     return business(base, "row_key").select("row_key", *DETECT_COLUMNS)
+
+
+#: Columns of the 21 frames: the type in question, the scenario, the header, and the column of ``unlabelled`` the values
+#: come from. The first scenario has a fitting header, the second one that says nothing, the third one that is wrong.
+FRAMES = [(kind, 1, kind, column) for kind, scenario, column in LABELLED if scenario == 1]
+FRAMES += [(kind, 2, f"col_{i}", column) for i, (kind, scenario, column) in enumerate(LABELLED) if scenario == 1]
+FRAMES += [
+    ("name", 3, "full_name", "priority"), ("email", 3, "email_address", "account_id"), ("country", 3, "nation", "status"), ("date", 3, "created_on", "status"),
+    ("amount", 3, "total", "code"), ("description", 3, "memo", "status"), ("id", 3, "account_no", "priority"),
+]
+
+
+def framed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders in frames of 25 keys; of each frame and column of the 21, a sample of two values under its header."""
+    frame = F.floor(F.col("row_key").cast("bigint") / FRAME_ROWS).cast("int")
+    cells = [F.struct(F.lit(header).alias("column"), F.col(c).alias("value")) for _, _, header, c in FRAMES]
+    long = unlabelled(spark, sf_dir).select(frame.alias("position"), F.md5("row_key").alias("hash"), F.inline(F.array(*cells)))
+    rank = F.row_number().over(Window.partitionBy("position", "column").orderBy("hash", "value"))
+    return long.where(F.col("value").isNotNull()).withColumn("rn", rank).where(F.col("rn") <= FRAME_SAMPLE).drop("hash")
+
+
+DATE_COLUMNS = ["months_first", "days_first", "unclear", "iso", "mixed", "month_name", "short_month", "stamped", "two_digits", "no_date"]
+
+
+def written_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders' days in many patterns; ``unclear`` has only days up to the twelfth."""
+    k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    write = lambda pattern: F.date_format(day, pattern)
+    return table(spark, sf_dir, "orders").select(
+        k.cast("string").alias("row_key"), write("MM/dd/yyyy").alias("months_first"), write("dd/MM/yyyy").alias("days_first"),
+        F.when(F.dayofmonth(day) <= 12, write("dd/MM/yyyy")).alias("unclear"), write("yyyy-MM-dd").alias("iso"),
+        F.when(k % 3 == 0, write("dd.MM.yyyy")).when(k % 3 == 1, write("yyyy/MM/dd")).otherwise("none").alias("mixed"),
+        write("MMMM d, yyyy").alias("month_name"), write("dd-MMM-yyyy").alias("short_month"),
+        F.concat(write("yyyy-MM-dd"), F.lit(" 10:00:12")).alias("stamped"), write("MM/dd/yy").alias("two_digits"), F.col("o_orderpriority").alias("no_date"),
+    )
+
+
+def hard_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns that rules take for something else: dates in many patterns, keys, money, names and labels."""
+    from maskloom.operators.generate import business
+
+    k, price = F.col("row_key").cast("bigint"), F.abs(F.col("revenue").cast("double"))
+    labels = F.array(*[F.lit(x) for x in ("Food & Drink", "Travel", "Home & Garden", "Gifts")])
+    made = business(written_dates(spark, sf_dir), "row_key")
+    digest = F.md5("row_key")
+    uuid = F.concat_ws("-", *[F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    last, first = F.substring_index("name", " ", -1), F.substring_index("name", " ", 1)
+    return made.select(
+        "row_key", *DATE_COLUMNS[:-1], F.concat(F.lit("CUST"), F.lpad(k.cast("string"), 7, "1")).alias("customer_ref"), uuid.alias("token"),
+        F.upper("name").alias("in_capitals"), F.concat(last, F.lit(", "), first).alias("turned"), F.element_at(labels, (k % 4 + 1).cast("int")).alias("kind"),
+        F.floor(price).cast("string").alias("Amount"), F.concat(F.lit("$"), F.format_number(price, 2)).alias("paid"),
+        F.replace(F.format_string("%.2f", price), F.lit("."), F.lit(",")).alias("paid_eur"),
+        F.concat(F.lit("+1 555 "), F.lpad((k % 900 + 100).cast("string"), 3, "0"), F.lit(" "), F.lpad((k % 9000 + 1000).cast("string"), 4, "0")).alias("mobile"),
+    )
+
+
+#: What ``hard_columns`` hold, but for ``mixed``: a third of its values are no dates, so it is not sure to be one.
+HARD_TYPES = {
+    **{c: "date" for c in DATE_COLUMNS[:-1] if c != "mixed"}, "customer_ref": "id", "token": "id", "in_capitals": "name", "turned": "name", "kind": "category",
+    "Amount": "amount", "paid": "amount", "paid_eur": "amount", "mobile": "id",
+}

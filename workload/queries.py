@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from maskloom.functions import fields
 from maskloom.functions.hashing import digest_mod, md5_hex
 from maskloom.functions.pools import COUNTRIES
-from maskloom.operators import audit, detect, generate, messiness, policy
+from maskloom.operators import audit, dates, detect, generate, learned, messiness, policy
 from maskloom.operators.masking import mask_column, mask_side_by_side, mask_table, mask_values
 from maskloom.operators.selection import by_count
 from maskloom.plans import jobs
@@ -341,6 +341,37 @@ def detect_accuracy(spark, sf_dir) -> DataFrame:
     return detect.detect_accuracy(found)
 
 
+@query
+def date_patterns(spark, sf_dir) -> DataFrame:
+    """What each date column is written in, by elimination over all its values."""
+    return dates.date_patterns(inputs.written_dates(spark, sf_dir), inputs.DATE_COLUMNS)
+
+
+@query
+def detect_trained(spark, sf_dir) -> DataFrame:
+    """The trained scorer on columns that the rules mistake, and the date patterns of all their values."""
+    found = learned.propose(inputs.hard_columns(spark, sf_dir), row_key="row_key")
+    return found.withColumn("confidence", F.round("confidence", 2))
+
+
+@query
+def detect_accuracy_trained(spark, sf_dir) -> DataFrame:
+    """The trained scorer on all 21 columns, headers included, in frames of 25 rows."""
+    known = {header: (kind, scenario) for kind, scenario, header, _ in inputs.FRAMES}
+    pick = lambda i: F.create_map(*[F.lit(x) for header, of in known.items() for x in (header, of[i])])[F.col("column")]
+    found = learned.classify(inputs.framed_samples(spark, sf_dir))
+    return detect.detect_accuracy(found.select(pick(0).alias("col_type"), pick(1).alias("scenario"), F.col("type").alias("predicted"), "confidence"))
+
+
+@query
+def mask_detected_dates(spark, sf_dir) -> DataFrame:
+    """Every date column masked in the patterns found, days first included; nothing is left unconverted."""
+    written = inputs.written_dates(spark, sf_dir).select("row_key", *inputs.DATE_COLUMNS[:-1])
+    found = dates.date_patterns(written, inputs.DATE_COLUMNS[:-1]).collect()  # a row for each column
+    policy_of = {r["column"]: {"type": "date", "formats": r["formats"].split("; ")} if r["formats"] else "date" for r in found}
+    return mask_table(written, policy_of, SALT)
+
+
 @query
 def sample_column_keyless(spark, sf_dir) -> DataFrame:
     """Columns of few values in a table without a key: how many values were drawn, and how many different ones."""

@@ -308,6 +308,57 @@ def _detected() -> str:
     """
 
 
+STRPTIME = {
+    "MM/dd/yyyy": "%m/%d/%Y", "dd/MM/yyyy": "%d/%m/%Y", "yyyy-MM-dd": "%Y-%m-%d", "dd.MM.yyyy": "%d.%m.%Y", "yyyy/MM/dd": "%Y/%m/%d",
+    "MM-dd-yyyy": "%m-%d-%Y", "dd-MM-yyyy": "%d-%m-%Y", "MM/dd/yy": "%m/%d/%y", "dd/MM/yy": "%d/%m/%y", "dd-MMM-yyyy": "%d-%b-%Y",
+    "MMMM d, yyyy": "%B %d, %Y", "MMM d, yyyy": "%b %d, %Y", "d MMMM yyyy": "%d %B %Y", "d MMM yyyy": "%d %b %Y",
+    "yyyy-MM-dd HH:mm": "%Y-%m-%d %H:%M:%S", "MM/dd/yyyy HH:mm": "%m/%d/%Y %H:%M:%S", "dd/MM/yyyy HH:mm": "%d/%m/%Y %H:%M:%S",
+}
+WRITTEN_DATES = """
+SELECT CAST(o_orderkey AS VARCHAR) AS row_key, strftime(d, '%m/%d/%Y') AS months_first, strftime(d, '%d/%m/%Y') AS days_first,
+       CASE WHEN day(d) <= 12 THEN strftime(d, '%d/%m/%Y') END AS unclear, strftime(d, '%Y-%m-%d') AS iso,
+       CASE o_orderkey % 3 WHEN 0 THEN strftime(d, '%d.%m.%Y') WHEN 1 THEN strftime(d, '%Y/%m/%d') ELSE 'none' END AS mixed,
+       strftime(d, '%B %-d, %Y') AS month_name, strftime(d, '%d-%b-%Y') AS short_month, strftime(d, '%Y-%m-%d') || ' 10:00:12' AS stamped,
+       strftime(d, '%m/%d/%y') AS two_digits, o_orderpriority AS no_date
+FROM (SELECT *, CAST(o_orderdate AS DATE) AS d FROM orders)"""
+
+
+def _written_shape(pattern: str) -> str:
+    """A pattern as lengths of digits and letters, for values as the input writes them."""
+    shape = {"MMMM": "[A-Za-z]{3,9}", "MMM": "[A-Za-z]{3}", "yyyy": r"\d{4}", "yy": r"\d{2}", "MM": r"\d{2}", "dd": r"\d{2}", "d": r"\d{1,2}", "HH:mm": r"\d\d:\d\d:\d\d", ".": r"\."}
+    out, rest = "", pattern
+    while rest:
+        part = next((p for p in shape if rest.startswith(p)), rest[0])
+        out, rest = out + shape.get(part, part), rest[len(part):]
+    return out
+
+
+def _date_patterns() -> str:
+    bits = " + ".join(
+        f"CASE WHEN regexp_full_match(value, {text(_written_shape(p))}) AND try_strptime(value, {text(q)}) IS NOT NULL THEN {1 << i} ELSE 0 END"
+        for i, (p, q) in enumerate(STRPTIME.items())
+    )
+    at = {p: 1 << i for i, p in enumerate(STRPTIME)}
+    both = [at["MM/dd/yyyy"] | at["dd/MM/yyyy"], at["MM-dd-yyyy"] | at["dd-MM-yyyy"], at["MM/dd/yy"] | at["dd/MM/yy"], at["MM/dd/yyyy HH:mm"] | at["dd/MM/yyyy HH:mm"]]
+    orders = lambda x: "(" + " OR ".join(f"{x} & {b} = {b}" for b in both) + ")"
+    cells = " UNION ALL ".join(
+        f"SELECT CAST({i} AS INTEGER) AS position, {text(c)} AS \"column\", {c} AS value FROM w" for i, c in enumerate(inputs.DATE_COLUMNS)
+    )
+    listed = [f"CASE WHEN taken & {b} <> 0 THEN {text(p)} END" for p, b in at.items()]
+    default = f"CASE WHEN taken & 1 <> 0 AND taken & {at['dd/MM/yyyy']} <> 0 THEN 'MM/dd/yyyy' END"
+    return f"""
+    WITH w AS ({WRITTEN_DATES}), cells AS ({cells}), marked AS (SELECT *, {bits} AS b FROM cells WHERE value IS NOT NULL),
+    found AS (SELECT position, "column", count(*) FILTER (b <> 0) AS dates, count(*) FILTER (b = 0) AS others,
+                     coalesce(bit_and(b) FILTER (b <> 0), 0) AS common, coalesce(list(DISTINCT b) FILTER (b <> 0), []) AS sets FROM marked GROUP BY ALL),
+    sure AS (SELECT *, coalesce(list_reduce(list_filter(sets, lambda x: bit_count(x) = 1), lambda a, x: a | x, 0), 0) AS sure FROM found),
+    rest AS (SELECT *, list_filter(sets, lambda x: x & sure = 0) AS rest FROM sure),
+    picked AS (SELECT *, CASE WHEN common <> 0 THEN common & -common ELSE sure | list_reduce(rest, lambda a, x: a | (x & -x), 0) END AS taken,
+                      CASE WHEN common <> 0 THEN {orders('common')} ELSE len(list_filter(rest, lambda x: {orders('x')})) > 0 OR {orders('sure')} END AS ambiguous
+               FROM rest)
+    SELECT position, "column", dates, others, nullif(concat_ws('; ', {', '.join(listed)}), '') AS patterns,
+           nullif(concat_ws('; ', {', '.join([default, *listed[1:]])}), '') AS formats, ambiguous FROM picked"""
+
+
 def _frame_samples() -> str:
     cells = " UNION ALL ".join(
         f"SELECT CAST(row_key AS BIGINT) // 25 AS position, {text(f'{kind}_{scenario}')} AS \"column\", row_key, {c} AS value FROM u"
@@ -563,6 +614,15 @@ def _sql() -> dict[str, str]:
     SELECT part, total, passed, passed * 100.0::DOUBLE / total AS pct,
            CASE WHEN part = 'core' THEN passed * 100.0::DOUBLE / total >= 90 END AS meets_bar FROM counted"""
 
+    out["date_patterns"] = _date_patterns()
+    moved = lambda c, q: f"coalesce(strftime(try_strptime({c}, {text(q)}) + to_days({offset(text(queries.SALT))}), {text(q.replace('%B %d', '%B %-d'))}), {c}) AS {c}"
+    simple = {
+        "months_first": "%m/%d/%Y", "days_first": "%d/%m/%Y", "unclear": "%m/%d/%Y", "iso": "%Y-%m-%d", "month_name": "%B %d, %Y",
+        "short_month": "%d-%b-%Y", "stamped": "%Y-%m-%d 10:00:12", "two_digits": "%m/%d/%y",
+    }
+    mixed = moved("mixed", "%d.%m.%Y").removesuffix(", mixed) AS mixed") + ", " + moved("mixed", "%Y/%m/%d").removeprefix("coalesce(")
+    out["mask_detected_dates"] = f"SELECT row_key, {', '.join(moved(c, q) for c, q in simple.items())}, {mixed} FROM ({WRITTEN_DATES})"
+
     out["gen_base"] = f"WITH keys AS ({KEYS}) {people()}"
     out["gen_sample"] = f"WITH keys AS ({KEYS}) {business('keys')}"
     for key, step in MESS.items():
