@@ -228,13 +228,32 @@ def table_difference(a: DataFrame, b: DataFrame, columns: list[str] | None = Non
     return both.groupBy(*picked).agg(F.sum("__n").alias("n")).where(F.col("n") != 0)
 
 
+#: Buckets of row hashes (a power of two). Halves of hashes are summed, so that sums stay in a BIGINT for 10^12 rows.
+BUCKETS = 1024
+
+
 def _difference_report(a: DataFrame, b: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Counts only, so 128 bits of hash stand for a row in the shuffle; NULLs are hashed as flags."""
+    """How many rows stand more often in one table than in the other.
+
+    A row is 128 bits of hash; NULLs are hashed as flags. Sums of hash parts are the same for the same rows in
+    any order, so the first pass compares sums of hash buckets and shuffles only these. It runs when this
+    is called. Rows of buckets that differ are counted, one shuffled hash for each; of equal tables there are none.
+    """
     columns = columns if columns is not None else a.columns
     parts = [x for c in columns for x in (column(c).isNull(), column(c))]
     digest = [F.xxhash64(F.lit(seed), *parts).alias(f"__h{seed}") for seed in (1, 2)]
-    both = a.select(*digest, F.lit(1).alias("__n")).unionAll(b.select(*digest, F.lit(-1)))
-    counted = both.groupBy("__h1", "__h2").agg(F.sum("__n").alias("n")).agg(
+    both = a.select(*digest, F.lit(1).cast("long").alias("__n")).unionAll(b.select(*digest, F.lit(-1).cast("long")))
+    bucket = F.col("__h1").bitwiseAND(BUCKETS - 1)
+    pieces = [piece for h in ("__h1", "__h2") for piece in (F.col(h).bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(h, 32))]
+    sums = [F.sum(F.col("__n") * piece).alias(f"__s{i}") for i, piece in enumerate(pieces)]
+    differing = F.col("__n") != 0
+    for i in range(len(sums)):
+        differing = differing | (F.col(f"__s{i}") != 0)
+    found = both.groupBy(bucket.alias("__b")).agg(F.sum("__n").alias("__n"), *sums).where(differing).select("__b").collect()
+    if not found:
+        return a.sparkSession.createDataFrame([(0, 0, True)], "only_in_first BIGINT, only_in_second BIGINT, ok BOOLEAN")
+    rows = both.where(bucket.isin([r[0] for r in found])) if len(found) < BUCKETS else both
+    counted = rows.groupBy("__h1", "__h2").agg(F.sum("__n").alias("n")).agg(
         F.coalesce(F.sum(F.greatest("n", F.lit(0))), F.lit(0)).alias("only_in_first"),
         F.coalesce(F.sum(F.greatest(-F.col("n"), F.lit(0))), F.lit(0)).alias("only_in_second"),
     )

@@ -121,6 +121,18 @@ def _with_salt(masked: Column, value: Column, salt: Column | str) -> Column:
     return F.when(missing, F.raise_error(F.lit("a date or amount without a salt"))).otherwise(masked)
 
 
+def _salted(df: DataFrame, salt: Column) -> tuple[DataFrame, str, str]:
+    """Shift and factor of each row in columns of their own, so that a salt is hashed once a row; NULL without a salt."""
+    names = []
+    for wanted in ("__offset", "__multiplier"):
+        while wanted.lower() in {c.lower() for c in df.columns}:
+            wanted += "_"
+        names.append(wanted)
+    known = F.when(F.coalesce(salt.cast("string"), F.lit("")) != "", salt.cast("string"))
+    offset, multiplier = names
+    return df.withColumns({offset: fields.derive_offset(known), multiplier: fields.derive_multiplier(known)}), offset, multiplier
+
+
 def _is_numeric(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, T.NumericType)
 
@@ -147,8 +159,14 @@ def mask_side_by_side(
     """
     entries = as_entries(policy)
     _check(df, entries, salt)
-    offset = fields.derive_offset(salt) if salt is not None else None
-    multiplier = fields.derive_multiplier(salt) if salt is not None else None
+    by_row = isinstance(salt, Column) and any(entry.field_type in ("date", "amount") for entry in entries)
+    added: list[str] = []
+    if by_row:
+        df, *added = _salted(df, salt)
+        offset, multiplier = map(column, added)
+    else:
+        offset = fields.derive_offset(salt) if salt is not None else None
+        multiplier = fields.derive_multiplier(salt) if salt is not None else None
 
     done: set[str] = set()
     pending: dict[str, Column] = {}
@@ -172,10 +190,13 @@ def mask_side_by_side(
         )
         if entry.field_type in ("date", "amount"):
             original = source if _is_numeric(df, entry.column) else source.cast("string")
-            masked = _with_salt(fields.keep_on_error(masked, original, on_error), source, salt)
+            masked = fields.keep_on_error(masked, original, on_error)
+            if by_row:
+                missing = source.isNotNull() & offset.isNull()
+                masked = F.when(missing, F.raise_error(F.lit("a date or amount without a salt"))).otherwise(masked)
         pending[entry.column + MASKED] = masked
         done.add(entry.column)
-    return df.withColumns(pending) if pending else df
+    return (df.withColumns(pending) if pending else df).drop(*added)
 
 
 def mask_table(df: DataFrame, policy, salt: Column | str | None = None, **kwargs) -> DataFrame:

@@ -14,7 +14,7 @@ from maskloom.operators.policy import (
     policy_entries, policy_file_write, policy_table_read, policy_table_write, read_policy_file,
 )
 from maskloom.session import column, scratch_path, tune
-from maskloom.sources.tables import anon_path, csv_scan, csv_sink, parquet_scan, parquet_sink
+from maskloom.sources.tables import anon_path, csv_scan, csv_sink, has_quoted_breaks, parquet_scan, parquet_sink
 
 OUTPUT_NAME = "output_name"
 
@@ -29,6 +29,8 @@ def mask_csv(spark: SparkSession, path: str | list[str], policy, output: str, *,
     """
     if isinstance(policy, (str, Path)):
         policy = read_policy_file(policy)
+    if multi_line is None:  # looked for once, as that is a scan of all lines
+        multi_line = has_quoted_breaks(spark, path)
     plain = csv_scan(tune(spark), path, multi_line=multi_line).columns
     taken = list(plain)
     for wanted in (OUTPUT_NAME, "__file_name", "__file_path"):
@@ -72,9 +74,14 @@ def propose_policy(spark: SparkSession, df: DataFrame, path: str, threshold: flo
     return spark.read.parquet(path)
 
 
-def detect_and_mask(spark: SparkSession, df: DataFrame, policy_path: str | Path, salt, row_key: str | None = None, **kwargs) -> DataFrame:
-    """Detect the columns' types, keep the proposal as a policy file, and mask the table by that file."""
-    policy_file_write(detect.detect_columns(df, row_key=row_key, **kwargs), policy_path)
+def detect_and_mask(
+    spark: SparkSession, df: DataFrame, policy_path: str | Path, salt, row_key: str | None = None, detector=detect.detect_columns, **kwargs
+) -> DataFrame:
+    """Detect the columns' types, keep the proposal as a policy file, and mask the table by that file.
+
+    ``detector`` is ``detect.detect_columns`` or, for the trained scorer, ``learned.propose``.
+    """
+    policy_file_write(detector(df, row_key=row_key, **kwargs), policy_path)
     return mask_table(df, read_policy_file(policy_path), salt)
 
 

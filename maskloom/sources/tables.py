@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,13 +38,31 @@ def csv_scan(
     big files are split. By default the files are searched for such breaks first, in a scan of
     their lines that is itself split. ``na_tokens`` become NULL (pass
     none to keep the text). Short records are filled up with NULL. A record with more fields than
-    the header is an error that names its file, unless ``surplus`` is ``"drop"``. ``file_name`` and
+    the header is an error that names its file; with ``surplus="drop"`` its further fields are cut,
+    with ``"reject"`` it is left out and stands in ``csv_rejects``. ``file_name`` and
     ``file_path`` add the decoded name and path of each row's file.
     """
-    if surplus not in ("error", "drop"):
-        raise ValueError(f"surplus is 'error' or 'drop', not {surplus!r}")
+    if surplus not in ("error", "drop", "reject"):
+        raise ValueError(f"surplus is 'error', 'drop' or 'reject', not {surplus!r}")
     if multi_line is None:
         multi_line = has_quoted_breaks(spark, path)
+    reader, names = _reader(spark, path, multi_line, mode)
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
+    if surplus != "drop" and mode == "PERMISSIVE":
+        df, record = _with_record(reader, schema, path)
+        kept = _without_surplus(record, names) if surplus == "error" else ~_is_surplus(record, names)
+        df = df.where(kept).drop(record)
+    else:
+        df = reader.schema(schema).csv(path)
+    if file_name is not None:
+        df = df.withColumn(file_name, file_name_column())
+    if file_path is not None:
+        df = df.withColumn(file_path, _decoded("_metadata.file_path"))
+    return csv_na_normalise(df, na_tokens, names) if na_tokens else df
+
+
+def _reader(spark: SparkSession, path: str | list[str], multi_line: bool, mode: str) -> tuple[DataFrameReader, list[str]]:
+    """A reader of files with one header, and the names of its columns."""
     options = {"multiLine": multi_line, "escape": '"', "mode": mode, "encoding": "UTF-8"}
     header = spark.read.options(header=False, **options).csv(path).first()
     if header is None:
@@ -52,25 +70,49 @@ def csv_scan(
     # Without a header Spark names file columns _c0, _c1, ...; the rest stand in folder names.
     titles = [header[c] for c in header.__fields__ if re.fullmatch(r"_c\d+", c)]
     names = distinct_names(titles)
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
     # Unique names let Spark check every file's header against the schema: files whose columns
     # stand in another order would otherwise be masked under the wrong rule.
     enforce = names != titles
     if enforce:
         _check_headers(spark, path)
-    reader = spark.read.options(header=True, enforceSchema=enforce, **options)
-    if surplus == "error" and mode == "PERMISSIVE":
-        record = _unused("_record", names)
-        whole = T.StructType([*schema.fields, T.StructField(record, T.StringType())])
-        reader = reader.options(columnNameOfCorruptRecord=record, columnPruning=False)
-        df = reader.schema(whole).csv(path).where(_without_surplus(record, names)).drop(record)
-    else:
-        df = reader.schema(schema).csv(path)
-    if file_name is not None:
-        df = df.withColumn(file_name, file_name_column())
-    if file_path is not None:
-        df = df.withColumn(file_path, _decoded("_metadata.file_path"))
-    return csv_na_normalise(df, na_tokens, names) if na_tokens else df
+    return spark.read.options(header=True, enforceSchema=enforce, **options), names
+
+
+def _with_record(reader: DataFrameReader, schema: T.StructType, path: str | list[str]) -> tuple[DataFrame, str]:
+    """The table with the text of malformed records in a further column, and that column's name."""
+    record = _unused("_record", schema.names)
+    whole = T.StructType([*schema.fields, T.StructField(record, T.StringType())])
+    return reader.options(columnNameOfCorruptRecord=record, columnPruning=False).schema(whole).csv(path), record
+
+
+def csv_rejects(spark: SparkSession, path: str | list[str], *, multi_line: bool | None = None) -> DataFrame:
+    """``file_path, expected, fields, record``: the records that ``csv_scan(surplus="reject")`` leaves out."""
+    if multi_line is None:
+        multi_line = has_quoted_breaks(spark, path)
+    reader, names = _reader(spark, path, multi_line, "PERMISSIVE")
+    df, record = _with_record(reader, T.StructType([T.StructField(name, T.StringType()) for name in names]), path)
+    return df.where(_is_surplus(record, names)).select(
+        _decoded("_metadata.file_path").alias("file_path"), F.lit(len(names)).alias("expected"), field_count(column(record)).alias("fields"),
+        column(record).alias("record"),
+    )
+
+
+def field_count(record: Column) -> Column:
+    """How many fields the parser takes a record for (INT).
+
+    Only a quote at the start of a field opens a quoted one; any other, like an inch mark, is text. A
+    quoted field that is never closed goes on to the end of the record.
+    """
+    bare = F.replace(record, F.lit('""'), F.lit(""))
+    bare = F.regexp_replace(F.regexp_replace(bare, '(^|,)"[^"]*"', "$1"), '(^|,)"[^"]*\\z', "$1")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
+
+
+def _is_surplus(record: str, names: list[str]) -> Column:
+    """Spark keeps the text of records that are too short or too long; the fields tell which."""
+    # Spark refuses to read the text alone, so the (empty) beginning of a column is read with it.
+    read = F.substring(F.coalesce(column(names[0]), F.lit("")), 1, 0) == ""
+    return F.coalesce((field_count(column(record)) > len(names)) & read, F.lit(False))
 
 
 def _unused(name: str, taken: list[str]) -> str:
@@ -80,18 +122,9 @@ def _unused(name: str, taken: list[str]) -> str:
 
 
 def _without_surplus(record: str, names: list[str]) -> Column:
-    """True, or an error where a malformed record has more fields than ``names``.
-
-    Spark keeps the text of records that are too short or too long; the separators that stand
-    outside quotes tell which. A doubled quote ends one quoted part and begins the next.
-    """
-    bare = F.regexp_replace(column(record), '"[^"]*"', "")
-    separators = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit("")))
-    # Spark refuses to read the text alone, so the (empty) beginning of a column is read with it.
-    nothing = F.substring(F.coalesce(column(names[0]), F.lit("")), 1, 0)
-    problem = F.concat(F.lit("surplus fields in "), _decoded("_metadata.file_path"), F.lit(": "), column(record), nothing)
-    surplus = column(record).isNotNull() & (separators >= len(names))
-    return F.when(surplus, F.raise_error(problem).cast("boolean")).otherwise(F.lit(True))
+    """True, or an error where a malformed record has more fields than ``names``."""
+    problem = F.concat(F.lit("surplus fields in "), _decoded("_metadata.file_path"), F.lit(": "), column(record))
+    return F.when(_is_surplus(record, names), F.raise_error(problem).cast("boolean")).otherwise(F.lit(True))
 
 
 def _check_headers(spark: SparkSession, path: str | list[str]) -> None:

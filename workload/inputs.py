@@ -149,6 +149,22 @@ def quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rough_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of CSV, one for each customer; the numbers tell which fault a line has."""
+    k, n = F.col("c_custkey").cast("string"), F.col("c_custkey")
+    name, segment = F.col("c_name"), F.col("c_mktsegment")
+    line = (
+        F.when(n % 7 == 0, F.concat(k, F.lit(',5" pipe,3" of '), name))
+        .when(n % 11 == 0, F.concat(k, F.lit(',5" pipe,'), segment, F.lit(',6" nut')))
+        .when(n % 13 == 0, F.concat(k, F.lit(","), name, F.lit(","), segment, F.lit(",one,more")))
+        .when(n % 17 == 0, F.concat(k, F.lit(',"quoted ""twice"", and a comma",'), segment, F.lit(',"x,y"')))
+        .when(n % 5 == 0, F.concat(k, F.lit(","), name))
+        .when(n % 3 == 0, F.concat(k, F.lit(',"'), name, F.lit(', ""Ltd""",'), segment))
+        .otherwise(F.concat(k, F.lit(","), name, F.lit(","), segment))
+    )
+    return table(spark, sf_dir, "customer").select(line.alias("line"))
+
+
 def policy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON policy per part, with a plain, a detected, and a linked rule."""
     doc = F.concat(

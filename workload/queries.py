@@ -62,6 +62,27 @@ def csv_scan(spark, sf_dir) -> DataFrame:
     return tables.csv_scan(spark, path)
 
 
+def _rough_csv(spark, sf_dir, label: str) -> str:
+    """Records as they come from elsewhere: stray quotes, inch marks, short ones, and ones with too many fields."""
+    path = scratch_path(spark, label)
+    # Lines are written as they are: the header is the name of the only column.
+    lines = inputs.rough_lines(spark, sf_dir).withColumnRenamed("line", "row_key,label,segment")
+    lines.write.options(header=True, sep="\u0001", quote="", escape="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return path
+
+
+@query
+def csv_scan_rough(spark, sf_dir) -> DataFrame:
+    """Records with as many fields as the header or fewer; none loses a field behind a stray quote."""
+    return tables.csv_scan(spark, _rough_csv(spark, sf_dir, "csv_scan_rough"), surplus="reject")
+
+
+@query
+def csv_rejects(spark, sf_dir) -> DataFrame:
+    """The other records, whole, with the number of their fields."""
+    return tables.csv_rejects(spark, _rough_csv(spark, sf_dir, "csv_rejects")).drop("file_path")
+
+
 @query
 def mask_csv(spark, sf_dir) -> DataFrame:
     """The whole job over many files in two folders: CSV in, masked by policy, CSV out."""
@@ -397,6 +418,12 @@ def gen_base(spark, sf_dir) -> DataFrame:
     return generate.people(inputs.order_keys(spark, sf_dir), "row_key")
 
 
+@query
+def gen_base_distinct(spark, sf_dir) -> DataFrame:
+    """People with an address of their own each, by a keyed permutation of the row number."""
+    return generate.distinct_people(inputs.order_keys(spark, sf_dir), "row_key", F.col("row_key").cast("long"))
+
+
 @query
 def gen_sample(spark, sf_dir) -> DataFrame:
     return generate.business(inputs.order_keys(spark, sf_dir), "row_key")

@@ -615,6 +615,25 @@ def _sql() -> dict[str, str]:
            CASE WHEN part = 'core' THEN passed * 100.0::DOUBLE / total >= 90 END AS meets_bar FROM counted"""
 
     out["date_patterns"] = _date_patterns()
+    out["csv_scan_rough"] = """
+    SELECT CAST(k AS VARCHAR) AS row_key,
+           CASE WHEN k % 7 = 0 THEN '5" pipe' WHEN k % 5 = 0 THEN c_name WHEN k % 3 = 0 THEN c_name || ', "Ltd"' ELSE c_name END AS label,
+           CASE WHEN k % 7 = 0 THEN '3" of ' || c_name WHEN k % 5 = 0 THEN NULL ELSE c_mktsegment END AS segment
+    FROM (SELECT *, c_custkey AS k FROM customer) WHERE k % 7 = 0 OR (k % 11 <> 0 AND k % 13 <> 0 AND k % 17 <> 0)"""
+    out["csv_rejects"] = """
+    SELECT CAST(3 AS INTEGER) AS expected, CAST(CASE WHEN k % 11 <> 0 AND k % 13 = 0 THEN 5 ELSE 4 END AS INTEGER) AS fields,
+           CASE WHEN k % 11 = 0 THEN k || ',5" pipe,' || c_mktsegment || ',6" nut' WHEN k % 13 = 0 THEN k || ',' || c_name || ',' || c_mktsegment || ',one,more'
+                ELSE k || ',"quoted ""twice"", and a comma",' || c_mktsegment || ',"x,y"' END AS record
+    FROM (SELECT *, c_custkey AS k FROM customer) WHERE k % 7 <> 0 AND (k % 11 = 0 OR k % 13 = 0 OR k % 17 = 0)"""
+    number, half = "CAST(row_key AS BIGINT)", 2**20 - 1
+    rounds = f"SELECT *, ({number} >> 20) & {half} AS l0, {number} & {half} AS r0 FROM (SELECT * FROM made)"
+    for i in range(4):
+        mixed = f"(((r{i} + {1 + 42 * (2 * i + 1)}) * {0x5DEECE66D + 2 * i}) % {2**61 - 1} >> 13) & {half}"
+        rounds = f"SELECT *, r{i} AS l{i + 1}, xor(l{i}, {mixed}) AS r{i + 1} FROM ({rounds})"
+    boxes = [f"{user}%@{host}" for user in generate.MAIL_USERS for host in generate.MAIL_HOSTS]
+    out["gen_base_distinct"] = f"""
+    WITH keys AS ({KEYS}), made AS ({people()}), numbered AS (SELECT *, (l4 << 20) + r4 AS number FROM ({rounds}))
+    SELECT row_key, name, replace({words(boxes)}[number % {len(boxes)} + 1], '%', CAST(number AS VARCHAR)) AS email, country FROM numbered"""
     moved = lambda c, q: f"coalesce(strftime(try_strptime({c}, {text(q)}) + to_days({offset(text(queries.SALT))}), {text(q.replace('%B %d', '%B %-d'))}), {c}) AS {c}"
     simple = {
         "months_first": "%m/%d/%Y", "days_first": "%d/%m/%Y", "unclear": "%m/%d/%Y", "iso": "%Y-%m-%d", "month_name": "%B %d, %Y",
