@@ -51,23 +51,18 @@ def with_nulls(spark):
 
 @pytest.fixture
 def colliding(spark):
-    return people(
-        spark,
-        [
-            ("Nia Okafor", "nia@mail.test", "GH"),
-            ("Nia Okafor", "nia@mail.test", "GH"),
-            ("Nia Okafor", "nia.o@mail.test", "GH"),
-            ("Nia Okafor", "okafor@mail.test", "GH"),
-            ("Tom Okafor", "desk@mail.test", "GH"),
-            ("Ada Okafor", "desk@mail.test", "GH"),
-        ],
-    )
+    """One name under three addresses, one of them twice, and one address under three names."""
+    shared = [(name, "front.office@mail.test", "IS") for name in ("Runa Berg", "Oda Berg", "Pal Dahl")]
+    return people(spark, shared + [("Runa Berg", f"{box}@mail.test", "IS") for box in ("runa", "r.berg", "runa", "berg7")])
 
 
 @pytest.fixture
 def scripts(spark):
-    names = ["Zoë", "Zoe", "Åsa", "Győző", "Łukasz", "王芳", "فاطمة", "Ольга", "鈴木 Suzuki", "Zoë Łukasz", "Mia🎈"]
-    return people(spark, [(n, f"user{i}@example.org", "ES") for i, n in enumerate(names)])
+    """Two names that an accent tells apart, names in three scripts, one in two scripts, and one with a sign."""
+    accent, plain = "Renée Faure", "Renee Faure"
+    whole = ["Δήμος Ράλλης", "გიორგი ბერიძე", "अनिता राव"]
+    names = [*whole, accent, plain, f"{whole[1]} {plain}", f"{plain} 🌊"]
+    return people(spark, [(n, f"box{len(n)}.{i}@example.org", "GE") for i, n in enumerate(names)])
 
 
 @pytest.fixture

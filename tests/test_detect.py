@@ -83,18 +83,21 @@ def test_sample_bounds_what_is_shuffled(spark):
 
 
 def scenario_values(kind, rng, n=400):
+    part = lambda words: rng.choice(words.split())
     make = {
-        "email": lambda: f"{rng.choice(['ann', 'joe'])}{rng.randint(1, 99)}@mail.example",
-        "country": lambda: rng.choice(["France", "Chad", "Peru", "New Zealand", "Japan", "Mali"]),
-        "date": lambda: f"{rng.randint(1, 12):02d}/{rng.randint(1, 28):02d}/{rng.randint(2020, 2025)}",
-        "amount": lambda: f"{rng.uniform(-50000, 50000):.2f}",
-        "description": lambda: rng.choice(["HARBOR DINER {}", "PAPERMILL*Web", "Garden Hut #{}", "RADIOBOX.NET", "Cab *Trip {}"]).format(rng.randint(1000, 9999)),
-        "id": lambda: f"ACC-{rng.randint(10000, 99999)}",
-        "name": lambda: rng.choice(["Ann Lee", "J. Smith", "María García", "Liam O'Brien", "Zoë Ng"]),
-        "category": lambda: rng.choice(["Small", "Medium", "Large"]),
-        "codes": lambda: f"REF-{rng.randint(1000, 9999)}",
-        "labels": lambda: rng.choice(["OPEN", "SHUT", "HALF", "N/A", "SOON", "WAITING", "–", "P", "Q", "R"]),
-        "letters": lambda: rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+        "name": lambda: part("Runa Pal Oda J. María") + " " + part("Berg Dahl O'Neil García"),
+        "email": lambda: f"{part('runa pal oda')}_{rng.randint(3, 70)}@{part('post mail')}.example",
+        "country": lambda: part("Iceland Ghana Nepal Chile Malta"),
+        "date": lambda: f"{rng.randint(1, 12):02d}/{rng.randint(1, 28):02d}/{rng.randint(1995, 2019)}",
+        "amount": lambda: f"{rng.uniform(-800, 12_500):.2f}",
+        # A capital, and a digit or a mark behind it.
+        "description": lambda: f"{part('Quay Birch Orchid')} {part('Bakers Cycles')} No.{rng.randint(2, 88)}",
+        "id": lambda: f"{part('KD LOT')}-{rng.randint(500, 7999)}",
+        "category": lambda: part("Narrow Wide Round"),
+        "codes": lambda: f"ZX-{rng.randint(120, 9_000)}",
+        # Words, a phrase, a letter and marks, some of them often.
+        "labels": lambda: rng.choice(["on hold", "moved", "moved", "tbd", "x", "§", "?"]),
+        "letters": lambda: chr(rng.randint(ord("A"), ord("Z"))),
     }[kind]
     return [make() for _ in range(n)]
 

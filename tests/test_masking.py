@@ -28,9 +28,12 @@ def test_nothing_original_remains(small, policy):
 
 
 def test_equal_in_equal_out(colliding, policy):
-    a, b, c, d, e, f = rows(mask_table(colliding, policy))
-    assert a == b and a[0] == c[0] == d[0] and c[1] != d[1]
-    assert e[1] == f[1] and e[0] != f[0]
+    both = list(zip(rows(colliding), rows(mask_table(colliding, policy)), strict=True))
+    for column in range(3):
+        outputs = {}
+        for before, after in both:
+            assert outputs.setdefault(before[column], after[column]) == after[column]
+        assert column == 2 or len(set(outputs.values())) > 1
 
 
 def test_two_runs_and_any_column_order(small, policy):
@@ -41,7 +44,7 @@ def test_two_runs_and_any_column_order(small, policy):
 
 def test_scripts_and_emoji(scripts, policy):
     masked = rows(mask_table(scripts, policy))
-    assert all(all(r) for r in masked) and masked[0][0] != masked[1][0]
+    assert all(all(r) for r in masked) and masked[3][0] != masked[4][0]
 
 
 def test_card_payments(card_payments, card_policy):
