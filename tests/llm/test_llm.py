@@ -15,6 +15,8 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from maskloom.llm import digest, licenses, mixing, near, packing, quality, secrets, substrings, tokens, vectors, warc
 from maskloom.llm.common import components, text_bytes
 from maskloom.llm.queries import QUERIES
@@ -505,6 +507,31 @@ def test_mixing_deviates_by_less_than_a_block(spark):
     assert min(left[s] - had[s] for s in had) <= 1
 
 
+def test_mixing_of_many_sources_deviates_by_less_than_a_block(spark):
+    """A large source among a thousand small ones: at every slot each has had its exact weight's share."""
+    small, large = 1000, 4000
+    name = F.when(F.col("id") < large, F.lit("large")).otherwise(F.concat(F.lit("s"), F.col("id") % small))
+    docs = spark.range(large + 20 * small).select(F.col("id").alias("doc_id"), name.alias("source"))
+    found = mixing.schedule(docs).select("source", "slot", "position").collect()
+    assert sorted(r.position for r in found) == list(range(large + 20 * small))
+    taken = {r.slot: r.source for r in found}
+    last = {}
+    for r in found:
+        last[r.source] = max(last.get(r.source, 0), r.slot)
+    total = large**0.5 + small * 20**0.5
+    share = {s: (large if s == "large" else 20) ** 0.5 / total for s in last}
+    had, late = dict.fromkeys(last, 0), dict.fromkeys(last, -1)
+    for slot in range(min(last.values())):  # until the first source has run out
+        source = taken[slot]  # no slot stands empty before
+        # Behind just before a block, ahead just after it.
+        assert slot * share[source] - had[source] < 1
+        had[source] += 1
+        late[source] = slot
+        assert had[source] - (slot + 1) * share[source] < 1
+    for source, n in had.items():
+        assert min(last.values()) * share[source] - n < 1
+
+
 def test_mixing_is_native_and_edges(edge, nothing, spark):
     mixed = mixing.mixed(edge)
     assert mixed.columns == edge.columns and sorted(rows_of(mixed), key=repr) == sorted(rows_of(edge), key=repr)
