@@ -38,6 +38,22 @@ JOIN slot ON slot.turn = shares.turn AND slot.nth = (d.r // 8) % share
 
 SQL = {"op8_mix_sources": MIX}
 
+#: All pairs of usable vectors, and everything that each reaches by links.
+SQL["op2_embedding_near_dedup"] = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id < b.vec_id
+  WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.95 ELSE false END
+), links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reached AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+lowest AS (SELECT a, min(b) AS low FROM reached GROUP BY a)
+SELECT v.vec_id, coalesce(c.n, 0) AS n_links, least(v.vec_id, coalesce(m.low, v.vec_id)) AS component_id,
+       v.vec_id <= coalesce(m.low, v.vec_id) AS kept
+FROM embeddings v LEFT JOIN counts c ON c.a = v.vec_id LEFT JOIN lowest m ON m.a = v.vec_id"""
+
 _HIDDEN = "|".join(f"<{x}\\b[^>]*>.*?</{x}[ \\t\\r\\n]*>" for x in ("script", "style", "noscript", "template"))
 _PLAIN = f"regexp_replace(html, '(?is)<!--.*?-->|{_HIDDEN}', '', 'g')"
 _PLAIN = f"""regexp_replace({_PLAIN}, '(?i)</?(address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|td|th|title|tr|ul)\\b[^>]*>', chr(10), 'g')"""

@@ -84,6 +84,19 @@ class Cells:
         return near
 
 
+class OneCell(Cells):
+    """All vectors of a length that the sample of pivots has missed: they are at home in one cell."""
+
+    def __init__(self, r: float) -> None:
+        super().__init__(np.zeros((1, 0)), r)
+
+    def homes(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.zeros(len(v), np.int64), np.zeros(len(v))
+
+    def reached(self, v: np.ndarray, home: np.ndarray) -> np.ndarray:
+        return np.zeros((len(v), 1), bool)
+
+
 def linked(a: np.ndarray, b: np.ndarray, least: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Places in ``a`` and ``b`` of all pairs at the threshold, sorted; of one side with itself, each pair once."""
     left, right = [], []
@@ -129,10 +142,10 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, cell: int = CELL, til
     by_size: dict[int, list[bytes]] = {}
     for x in sample.collect():
         by_size.setdefault(len(x.u), []).append(bytes(x.u))
-    # A length that the sample misses has one cell, around the first axis.
-    for x in distinct.select(F.octet_length("u").alias("size")).distinct().limit(PIVOTS).collect():
-        by_size.setdefault(x["size"], [np.eye(1, x["size"] // 8).tobytes()])
     cells = {size: Cells(np.frombuffer(b"".join(p), np.float64).reshape(len(p), -1), r) for size, p in by_size.items()}
+    # One row for each length of vectors.
+    for x in distinct.select(F.octet_length("u").alias("size")).distinct().collect():
+        cells.setdefault(x["size"], OneCell(r))
 
     def by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
         sizes = np.array([len(u) for u in batch.column("u").to_pylist()])

@@ -170,6 +170,14 @@ def test_vectors_equal_brute_force(spark, cell, tile):
     assert sorted(((r.vec_id, r.n_links, r.component_id) for r in found), key=repr) == brute_vectors(rows)
 
 
+def test_vectors_of_more_lengths_than_pivots(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "PIVOTS", 4)
+    rng = np.random.default_rng(4)
+    rows = [(10 * n + i, (v + rng.normal(size=n) * 0.05 * i).tolist()) for n in range(1, 31) for v in [rng.normal(size=n)] for i in range(3)]
+    found = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cell=8).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in found), key=repr) == brute_vectors(rows)
+
+
 def test_vectors_query(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()]
     found = QUERIES["op2_embedding_near_dedup"](spark, SF).collect()
