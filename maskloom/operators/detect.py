@@ -308,10 +308,14 @@ def detect_columns(
     scorer: Callable | None = None,
     most: int = SAMPLE_MAX,
     category_share: float = CATEGORY_DISTINCT_SHARE,
+    sample: DataFrame | None = None,
 ) -> DataFrame:
-    """``position, column, type, confidence, formats, status``, one row for every column of the table."""
+    """``position, column, type, confidence, formats, status``, one row for every column of the table.
+
+    ``sample`` replaces the two scans by a sample at hand, as of a stored sketch (``sketches.sample_of``).
+    """
     columns = columns if columns is not None else [c for c in df.columns if c != row_key]
-    sample = sample_column(df, columns, row_key=row_key, most=most)
+    sample = sample if sample is not None else sample_column(df, columns, row_key=row_key, most=most)
     classified = classify_columns(sample, countries, scorer, category_share)
     # One row per column of the schema.
     listed = df.sparkSession.createDataFrame(
