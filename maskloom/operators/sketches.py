@@ -142,3 +142,21 @@ def audit_estimates(sketch: DataFrame) -> DataFrame:
         F.when(whole, F.lit(0.0)).otherwise(F.lit(ERROR)).alias("error"),
         whole.alias("exact"),
     )
+
+
+def distinct_values(pairs: DataFrame, columns: list[str]) -> DataFrame:
+    """``column, inputs, outputs, leaked`` counted exactly, in one scan; values are reduced before they are shuffled."""
+    cells = [
+        F.struct(F.lit(i).alias("at"), value.cast("string").alias("value"), F.lit(before).alias("before"))
+        for i, c in enumerate(columns)
+        for value, before in ((column(c), True), (twin(c), False))
+    ]
+    seen = pairs.select(F.inline(F.array(*cells))).where(F.col("value").isNotNull()).groupBy("at", "value")
+    seen = seen.agg(F.bool_or("before").alias("before"), F.bool_or(~F.col("before")).alias("after"))
+    counted = seen.agg(*[
+        F.count_if((F.col("at") == i) & test).alias(f"{name}_{i}")
+        for i in range(len(columns))
+        for name, test in (("inputs", F.col("before")), ("outputs", F.col("after")), ("leaked", F.col("before") & F.col("after")))
+    ])
+    entries = [F.struct(F.lit(c).alias("column"), *[F.col(f"{m}_{i}").alias(m) for m in ("inputs", "outputs", "leaked")]) for i, c in enumerate(columns)]
+    return counted.select(F.inline(F.array(*entries)))

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from maskloom.functions import fields
 from maskloom.functions.hashing import digest_mod, md5_hex
 from maskloom.functions.pools import COUNTRIES
-from maskloom.operators import audit, dates, detect, generate, learned, messiness, policy
+from maskloom.operators import audit, dates, detect, generate, learned, messiness, policy, sketches
 from maskloom.operators.masking import mask_column, mask_side_by_side, mask_table, mask_values
 from maskloom.operators.selection import by_count
 from maskloom.plans import jobs
 from maskloom.session import scratch_path
 from maskloom.sources import tables
-from maskloom.streaming.stream import mask_stream
+from maskloom.streaming.stream import mask_stream, mask_stream_with_reports, stream_report
 from workload import inputs
 
 SALT = "orders.csv"
@@ -315,9 +315,54 @@ def mask_stream_query(spark, sf_dir) -> DataFrame:
     return spark.read.parquet(output).select("event_id", *EVENT_POLICY)
 
 
+@query
+def mask_stream_report(spark, sf_dir) -> DataFrame:
+    """The events as a file stream, and the sum of its batches' reports after a restart that finds nothing new."""
+    schema = inputs.table(spark, sf_dir, "events").schema
+    output, reports, checkpoint = (scratch_path(spark, f"mask_stream_report_{x}") for x in ("out", "reports", "checkpoint"))
+    for _ in range(2):
+        mask_stream_with_reports(
+            spark, f"{sf_dir}/events*.parquet", schema, EVENT_POLICY, "events.csv", output, reports, checkpoint,
+            prepare=inputs.event_day,
+        ).awaitTermination()
+    return stream_report(spark, reports)
+
+
 # Detection
 
 
+def _halves(df: DataFrame, key: str) -> list[DataFrame]:
+    """A table in two parts, as if they came one after the other."""
+    late = F.xxhash64(key) < 0
+    return [df.where(~late), df.where(late)]
+
+
+def _merged_sketch(spark, df: DataFrame, key: str, make, merge) -> DataFrame:
+    """Each part sketched and stored; the stored sketches merged."""
+    stored = []
+    for part in _halves(df, key):
+        path = scratch_path(spark, "sketch")
+        make(part).write.parquet(path)
+        stored.append(spark.read.parquet(path))
+    return merge(*stored)
+
+
+@query
+def sample_column_one_scan(spark, sf_dir) -> DataFrame:
+    """The sample of ``sample_column`` from one scan."""
+    return sketches.sample_of(sketches.column_sketch(inputs.unlabelled(spark, sf_dir), inputs.DETECT_COLUMNS, "row_key"))
+
+
+@query
+def detect_columns_merged(spark, sf_dir) -> DataFrame:
+    """Detection by stored sketches of two parts of the table."""
+    df = inputs.unlabelled(spark, sf_dir)
+    sketch = _merged_sketch(
+        spark, df, "row_key", lambda part: sketches.column_sketch(part, row_key="row_key"), sketches.merge_column_sketches
+    )
+    return detect.detect_columns(df, row_key="row_key", sample=sketches.sample_of(sketch))
+
+
 @query
 def sample_column(spark, sf_dir) -> DataFrame:
     return detect.sample_column(inputs.unlabelled(spark, sf_dir), inputs.DETECT_COLUMNS, row_key="row_key")
@@ -556,6 +601,21 @@ def audit_collision(spark, sf_dir) -> DataFrame:
     return audit.audit_collision(_customer_pairs(spark, sf_dir), "email")
 
 
+@query
+def audit_estimates(spark, sf_dir) -> DataFrame:
+    """Stored sketches of two parts of the customers, merged, beside exact numbers: is each within five errors?"""
+    columns = ["name", "email", "country"]
+    pairs = _customer_pairs(spark, sf_dir)
+    sketch = _merged_sketch(
+        spark, pairs, "row_key", lambda part: sketches.value_sketch(part, columns), sketches.merge_value_sketches
+    )
+    estimated = sketches.audit_estimates(sketch).withColumnsRenamed({c: f"{c}_like" for c in ("inputs", "outputs", "leaked")})
+    exact = sketches.distinct_values(pairs, columns).join(estimated.drop("shared"), "column")
+    most = F.greatest("inputs", "outputs")
+    near = {c: F.abs(F.col(f"{c}_like") - F.col(c)) <= 5 * F.col("error") * (most if c == "leaked" else F.col(c)) for c in ("inputs", "outputs", "leaked")}
+    return exact.select("column", "inputs", "outputs", "leaked", *[test.alias(f"{c}_near") for c, test in near.items()])
+
+
 @query
 def audit_pool(spark, sf_dir) -> DataFrame:
     return audit.audit_pool(_customer_pairs(spark, sf_dir), CUSTOMER_POLICY)

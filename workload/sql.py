@@ -572,6 +572,16 @@ def _sql() -> dict[str, str]:
     SELECT event_id, {category('event_type')} AS event_type, {amount('value', multiplier(events))} AS value,
            {date(event_day, offset(events))} AS day, {email(event_user)} AS user FROM events"""
 
+    out["mask_stream_report"] = f"""
+    WITH e AS (SELECT event_type, value, {event_day} AS day, {event_user} AS user FROM events),
+         m AS (SELECT *, {category('event_type')} AS event_type_m, {amount('value', multiplier(events))} AS value_m,
+                      {date('day', offset(events))} AS day_m, {email('user')} AS user_m FROM e)""" + " UNION ALL ".join(
+        f"""
+    SELECT CAST({i} AS INTEGER) AS position, '{c}' AS "column", count(*) AS rows, count({c}) AS filled,
+           count(*) FILTER ({c} = {c}_m) AS unchanged FROM m"""
+        for i, c in enumerate(queries.EVENT_POLICY)
+    )
+
     drawn = "least(count({c}), greatest(1, CAST(floor(count({c}) * 0.1::DOUBLE) AS BIGINT)), 50)"
     out["sample_column_keyless"] = per_column(
         ["l_returnflag", "l_linestatus"],
@@ -587,8 +597,10 @@ def _sql() -> dict[str, str]:
            CAST(o_orderkey * 37 + 100000 AS VARCHAR) AS account, {amount('o_totalprice', SALT_FACTOR)} AS price
     FROM orders"""
     out["sample_column"] = f"WITH {_sample()} SELECT * FROM sample"
+    out["sample_column_one_scan"] = out["sample_column"]
     out["classify_columns"] = f"WITH {_sample()}, {_classified()} SELECT * FROM classified"
     out["detect_columns"] = _detected() + 'SELECT position, "column", type, confidence, formats, status FROM detections'
+    out["detect_columns_merged"] = out["detect_columns"]
     out["build_policy"] = _detected() + (
         "SELECT position, \"column\", type AS field_type, formats FROM detections WHERE status = 'detected'"
     )
@@ -745,6 +757,12 @@ def _sql() -> dict[str, str]:
     out["audit_collision"] = WITH_CUSTOMERS + """
     SELECT m.email AS output, count(DISTINCT c.email) AS inputs, CAST(count(*) AS BIGINT) AS rows
     FROM c JOIN m USING (row_key) WHERE c.email IS NOT NULL GROUP BY m.email"""
+    out["audit_estimates"] = WITH_CUSTOMERS + per_column(
+        ["name", "email", "country"],
+        "SELECT '{c}' AS \"column\", (SELECT count(DISTINCT {c}) FROM c) AS inputs, (SELECT count(DISTINCT {c}) FROM m) AS outputs, "
+        "(SELECT count(*) FROM (SELECT {c} FROM c INTERSECT SELECT {c} FROM m) WHERE {c} IS NOT NULL) AS leaked, "
+        "true AS inputs_near, true AS outputs_near, true AS leaked_near",
+    )
     pools = {
         "name": NAMES, "email": [f"{u}@{d}" for u in EMAIL_USERS for d in EMAIL_DOMAINS], "country": COUNTRIES,
         "segment": CATEGORIES,
