@@ -208,3 +208,25 @@ LEFT JOIN node p ON node.depth > 0 AND p.path = node.above AND p.depth = node.de
 """
 
 SQL |= {"op12_conversation_repair": REPAIR, "op13_conversation_trie": TRIE}
+
+# The contract's own words: a window goes where its words also start earlier.
+REPEATS = r"""
+WITH doc AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), places AS (
+  SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS start FROM doc
+), win AS (
+  SELECT doc_id, start, row_number() OVER (PARTITION BY md5(array_to_string(words[start:start + 19], ' ')) ORDER BY doc_id, start) AS nth FROM places
+), gone AS (
+  SELECT doc_id, list(DISTINCT place) AS places
+  FROM (SELECT doc_id, unnest(range(start, start + 20)) AS place FROM win WHERE nth > 1) GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS text, count(*) AS n
+  FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM doc)
+  ANTI JOIN (SELECT doc_id, unnest(places) AS place FROM gone) USING (doc_id, place) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM doc LEFT JOIN kept USING (doc_id)
+"""
+
+SQL["op5_suffix_automata"] = REPEATS
