@@ -70,6 +70,23 @@ def drawn_below(digest: Column, slot: int, rate: float) -> Column:
     return word(digest, slot) < F.lit(f"{round(rate * 2**32):08x}")
 
 
+#: Pools of more entries are handed over as one text, as a literal for each entry takes long to plan.
+MANY_ENTRIES = 1000
+#: A pool travels with every task, so its text is bounded.
+POOL_CHARS_MAX = 2**26
+
+
 def text_array(pool) -> Column:
-    """A pool as one literal array; Catalyst folds it once per plan."""
-    return F.array(*[F.lit(entry) for entry in pool])
+    """A pool as one literal array; Catalyst folds it once per plan.
+
+    A pool of more than ``POOL_CHARS_MAX`` characters is an error.
+    """
+    if len(pool) <= MANY_ENTRIES:
+        return F.array(*[F.lit(entry) for entry in pool])
+    between = next((c for c in map(chr, range(1, 32)) if not any(c in entry for entry in pool)), None)
+    if between is None:
+        raise ValueError("no control character is left to separate the entries of a pool")
+    joined = between.join(pool)
+    if len(joined) > POOL_CHARS_MAX:
+        raise ValueError(f"a pool of {len(joined)} characters, of at most {POOL_CHARS_MAX}")
+    return F.split(F.lit(joined), f"\\x{ord(between):02x}", -1)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskloom.functions import fields
+from maskloom.functions.hashing import MANY_ENTRIES, text_array
 from maskloom.functions.pools import DEFAULT_POOLS, Pools
 from maskloom.operators.masking import MASKED, mask_side_by_side, mask_table, mask_value
 from maskloom.operators.policy import as_entries
@@ -315,24 +316,53 @@ def audit_collision_estimate(pairs: DataFrame, columns: list[str], error: float
     return _long(counted, columns, ["inputs", "outputs"])
 
 
+def _pool_parts(field_type: str, pools: Pools) -> dict[str, list[str]]:
+    """The words that a value, or each part of an address, is made of."""
+    if field_type == "email":
+        return {"user": list(pools.email_users), "domain": list(pools.email_domains)}
+    return {"value": pools.outputs(field_type)}
+
+
+def _split_address(value: Column) -> dict[str, Column]:
+    domain = F.substring_index(value, "@", -1)
+    user = F.substring(value, F.lit(1), F.length(value) - F.length(domain) - F.lit(1))
+    return {"value": value, "user": F.when(value.contains("@"), user), "domain": domain}
+
+
+def _outside_many(pairs: DataFrame, entry, pools: Pools) -> DataFrame:
+    """One row ``column, rows, outside``: outputs are counted, then joined with the pool as a table."""
+    counted = pairs.groupBy(twin(entry.column).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    inside = F.lit(True)
+    for part, words in _pool_parts(entry.field_type, pools).items():
+        found = pairs.sparkSession.range(1).select(F.explode(text_array(words)).alias(f"__{part}")).distinct()
+        counted = counted.join(found, _split_address(F.col("__v"))[part] == F.col(f"__{part}"), "left")
+        inside = inside & F.col(f"__{part}").isNotNull()
+    outside = F.sum(F.when(F.col("__v").isNotNull() & ~inside, F.col("__n")))
+    return counted.agg(
+        F.coalesce(F.sum("__n"), F.lit(0)).alias("rows"), F.coalesce(outside, F.lit(0)).alias("outside")
+    ).select(F.lit(entry.column).alias("column"), "rows", "outside")
+
+
 def audit_pool(pairs: DataFrame, policy, pools: Pools = DEFAULT_POOLS) -> DataFrame:
     """Masked values outside their pool, per pooled column.
 
-    The pools are plan literals, so no join is needed. An address is tested in two parts, as users
-    times domains can be many.
+    Pools are plan literals, so no join is needed; one of more than ``MANY_ENTRIES`` words is joined as a table
+    with the different outputs, in a scan of its own. An address is tested in two parts, as users times domains
+    can be many.
     """
     entries = [e for e in as_entries(policy) if e.field_type not in ("date", "amount", "id")]
+    many = [e for e in entries if max(map(len, _pool_parts(e.field_type, pools).values())) > MANY_ENTRIES]
+    few = [e for e in entries if e not in many]
 
     def inside(entry) -> Column:
-        value = twin(entry.column)
-        if entry.field_type != "email":
-            return value.isin(pools.outputs(entry.field_type))
-        domain = F.substring_index(value, "@", -1)
-        user = F.substring(value, F.lit(1), F.length(value) - F.length(domain) - F.lit(1))
-        return value.contains("@") & user.isin(list(pools.email_users)) & domain.isin(list(pools.email_domains))
-
-    outside = [twin(e.column).isNotNull() & ~inside(e) for e in entries]
-    return _violations(pairs, [e.column for e in entries], {"outside": outside}).withColumn("ok", F.col("outside") == 0)
+        parts = _split_address(twin(entry.column))
+        tests = [F.coalesce(parts[part].isin(words), F.lit(False)) for part, words in _pool_parts(entry.field_type, pools).items()]
+        return reduce(Column.__and__, tests)
+
+    outside = [twin(e.column).isNotNull() & ~inside(e) for e in few]
+    reports = [_violations(pairs, [e.column for e in few], {"outside": outside})] if few or not many else []
+    reports += [_outside_many(pairs, e, pools) for e in many]
+    return reduce(DataFrame.unionByName, reports).withColumn("ok", F.col("outside") == 0)
 
 
 def audit_salt_effect(df: DataFrame, policy, salt_a, salt_b) -> DataFrame:

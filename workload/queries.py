@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from maskloom.functions import fields
 from maskloom.functions.hashing import digest_mod, md5_hex
-from maskloom.functions.pools import COUNTRIES
+from maskloom.functions.pools import COUNTRIES, Pools
 from maskloom.operators import audit, dates, detect, generate, learned, messiness, policy, sketches
 from maskloom.operators.masking import mask_column, mask_side_by_side, mask_table, mask_values
 from maskloom.operators.selection import by_count
@@ -41,6 +41,8 @@ SHIPMENT_POLICY = {
 }
 EVENT_POLICY = {"event_type": "category", "value": "amount", "day": "date", "user": "email"}
 MODULI = (6, 8, 10, 20, 30, 35, 551, 2001)
+#: Made by rule: ``Person 0`` and on.
+MANY_NAMES = 200_000
 QUERIES: dict = {}
 
 
@@ -282,6 +284,24 @@ def mask_table_customers(spark, sf_dir) -> DataFrame:
     return mask_table(inputs.customers(spark, sf_dir), CUSTOMER_POLICY)
 
 
+def _many_names() -> Pools:
+    return Pools(names=tuple(f"Person {i}" for i in range(MANY_NAMES)))
+
+
+@query
+def mask_table_many_names(spark, sf_dir) -> DataFrame:
+    """A pool of 200,000 names, so that few inputs share an output."""
+    customers = inputs.customers(spark, sf_dir).select("row_key", "name")
+    return mask_table(customers, {"name": "name"}, pools=_many_names())
+
+
+@query
+def audit_pool_many_names(spark, sf_dir) -> DataFrame:
+    """The outputs of that pool and of the short ones beside it."""
+    pairs = mask_side_by_side(inputs.customers(spark, sf_dir), CUSTOMER_POLICY, pools=_many_names())
+    return audit.audit_pool(pairs, CUSTOMER_POLICY, _many_names())
+
+
 @query
 def mask_table_category_first(spark, sf_dir) -> DataFrame:
     """The category is masked before the description reads it, so all rows use Default."""

@@ -549,6 +549,11 @@ def _sql() -> dict[str, str]:
            {kept(money, 'amount_text')} AS amount_kept, {money} AS amount_null FROM ({PAYMENTS})"""
     out["mask_column"] = f"SELECT row_key, {name('name')} AS name, email FROM ({CUSTOMERS})"
     out["mask_table"] = WITH_PAYMENTS + "SELECT * FROM m"
+    out["mask_table_many_names"] = WITH_CUSTOMERS + f"""
+    SELECT row_key, 'Person ' || {mod_md5('name', queries.MANY_NAMES)} AS name FROM c"""
+    out["audit_pool_many_names"] = WITH_CUSTOMERS + per_column(
+        CUSTOMER_COLUMNS, "SELECT '{c}' AS \"column\", count(*) AS rows, CAST(0 AS BIGINT) AS outside, true AS ok FROM c"
+    )
     out["mask_table_customers"] = WITH_CUSTOMERS + "SELECT * FROM m"
     out["mask_csv"] = WITH_CUSTOMERS + """
     SELECT row_key, CASE WHEN CAST(row_key AS BIGINT) % 11 <> 0 THEN name END AS name, email, country, segment FROM m"""
