@@ -336,7 +336,7 @@ def mask_stream_query(spark, sf_dir) -> DataFrame:
 
 
 @query
-def mask_stream_report(spark, sf_dir) -> DataFrame:
+def stream_report_query(spark, sf_dir) -> DataFrame:
     """The events as a file stream, and the sum of its batches' reports after a restart that finds nothing new."""
     schema = inputs.table(spark, sf_dir, "events").schema
     output, reports, checkpoint = (scratch_path(spark, f"mask_stream_report_{x}") for x in ("out", "reports", "checkpoint"))

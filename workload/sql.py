@@ -577,7 +577,7 @@ def _sql() -> dict[str, str]:
     SELECT event_id, {category('event_type')} AS event_type, {amount('value', multiplier(events))} AS value,
            {date(event_day, offset(events))} AS day, {email(event_user)} AS user FROM events"""
 
-    out["mask_stream_report"] = f"""
+    out["stream_report"] = f"""
     WITH e AS (SELECT event_type, value, {event_day} AS day, {event_user} AS user FROM events),
          m AS (SELECT *, {category('event_type')} AS event_type_m, {amount('value', multiplier(events))} AS value_m,
                       {date('day', offset(events))} AS day_m, {email('user')} AS user_m FROM e)""" + " UNION ALL ".join(
